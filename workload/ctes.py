@@ -115,8 +115,8 @@ cte(
     """
 SELECT date, icao24, seg_start, seg_end, n, callsign, on_ground,
   icao24 || '_' || date::VARCHAR || '_' || printf('%04d', row_number() OVER (PARTITION BY date ORDER BY icao24, seg_start) - 1) AS flight_id
-FROM (SELECT date, icao24, seg_start, seg_end, count(*) AS n, arg_min(callsign, ts) AS callsign,
-  arg_min(on_ground, ts) AS on_ground FROM seg GROUP BY ALL)""",
+FROM (SELECT date, icao24, seg_start, seg_end, count(*) AS n, first(callsign ORDER BY ts) AS callsign,
+  first(on_ground ORDER BY ts) AS on_ground FROM seg GROUP BY ALL)""",
 )
 cte(
     "points",

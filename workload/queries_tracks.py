@@ -123,15 +123,15 @@ def w2(spark, d):
 @query(
     "w3_resample",
     build(
-        "SELECT date, icao24, seg_start, ts, callsign, on_ground, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt, 4) AS alt_ft, "
-        "round(spd, 5) AS speed_kts, round(hdg, 5) AS heading_deg, round(vr, 5) AS vrate_fpm FROM points",
+        "SELECT date, icao24, seg_start, ts, callsign, on_ground, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt, 6) AS alt_ft, "
+        "round(spd, 6) AS speed_kts, round(hdg, 6) AS heading_deg, round(vr, 6) AS vrate_fpm FROM points",
         "points",
     ),
 )
 def w3(spark, d):
     return derived.points(spark, d).select(
-        *tracks.FLIGHT, "ts", "callsign", "on_ground", r("lat"), r("lon"), r("alt_ft", 4),
-        r("speed_kts", 5), r("heading_deg", 5), r("vrate_fpm", 5),
+        *tracks.FLIGHT, "ts", "callsign", "on_ground", r("lat"), r("lon"), r("alt_ft"),
+        r("speed_kts"), r("heading_deg"), r("vrate_fpm"),
     )
 
 
@@ -157,7 +157,7 @@ def w4(spark, d):
     "a7_features",
     build(
         """SELECT flight_id, date, icao24, callsign, n_points, first_ts, last_ts, duration_sec, round(distance_nm, 5) AS distance_nm,
-  round(max_alt_ft, 4) AS max_alt_ft, round(avg_speed_kts, 5) AS avg_speed_kts, round(heading_change_total, 3) AS heading_change_total,
+  round(max_alt_ft, 4) AS max_alt_ft, round(avg_speed_kts, 6) AS avg_speed_kts, round(heading_change_total, 3) AS heading_change_total,
   climb_count, descent_count FROM flights""",
         "flights",
     ),
@@ -166,7 +166,7 @@ def a7(spark, d):
     return derived.flights(spark, d).select(
         "flight_id", "date", "icao24", "callsign", F.size("points").alias("n_points"),
         F.get("points", F.lit(0))["ts"].alias("first_ts"), F.element_at("points", -1)["ts"].alias("last_ts"),
-        "duration_sec", r("distance_nm", 5), r("max_alt_ft", 4), r("avg_speed_kts", 5),
+        "duration_sec", r("distance_nm", 5), r("max_alt_ft", 4), r("avg_speed_kts"),
         r("heading_change_total", 3), "climb_count", "descent_count",
     )
 
@@ -174,14 +174,14 @@ def a7(spark, d):
 @query(
     "a1_grid_density",
     build(
-        "SELECT date, hour, grid_lat, grid_lon, flight_count, point_count, round(avg_altitude_ft, 5) AS avg_altitude_ft, "
-        "round(avg_speed_kts, 5) AS avg_speed_kts FROM grid",
+        "SELECT date, hour, grid_lat, grid_lon, flight_count, point_count, round(avg_altitude_ft, 6) AS avg_altitude_ft, "
+        "round(avg_speed_kts, 6) AS avg_speed_kts FROM grid",
         "grid",
     ),
 )
 def a1(spark, d):
     return derived.grid_density(spark, d).select(
-        *grid.CELL_HOUR, "flight_count", "point_count", r("avg_altitude_ft", 5), r("avg_speed_kts", 5)
+        *grid.CELL_HOUR, "flight_count", "point_count", r("avg_altitude_ft"), r("avg_speed_kts")
     )
 
 
