@@ -105,8 +105,12 @@ def planes_in_cells(points: DataFrame, cells: DataFrame, resolution: float = GRI
         scaled = F.col(x) / res
         below = F.floor(scaled).cast("double") * res + F.lit(0.0)
         above = F.ceil(scaled).cast("double") * res + F.lit(0.0)
-        inside = F.filter(F.array_distinct(F.array(below, above)), lambda c: F.col(x).between(c - half, c + half))
-        return F.explode(inside)
+        in_below, in_above = F.col(x) <= below + half, F.col(x) >= above - half
+        return F.explode(
+            F.when(in_below & in_above & (below < above), F.array(below, above))
+            .when(in_below, F.array(below))
+            .when(in_above, F.array(above))
+        )
 
     first_seen = (
         points.select("flight_id", "ts", "lat", "lon", "alt_ft")

@@ -22,7 +22,7 @@ def live_planes(predictions: DataFrame, anomalies: DataFrame, limit: int = MAX_L
     )
     flights = (
         rows.groupBy("flight_id")
-        .agg(F.array_sort(F.collect_list(F.struct("horizon_sec", "actual", "guess"))).alias("legs"))
+        .agg(F.sort_array(F.collect_list(F.struct("horizon_sec", "actual", "guess"))).alias("legs"))
         .orderBy("flight_id")
         .limit(limit)
     )

@@ -1,6 +1,6 @@
-"""Consecutive numbers over a sort order without sorting everything in one task.
+"""Consecutive numbers over a sort order without sorting all rows in one task.
 
-Rows are counted per key, keys are grouped by a text prefix (which keeps the sort order), and running sums are
+For row numbers over a whole table, rows are counted per key, keys are grouped by a text prefix (which keeps the sort order), and running sums are
 taken twice: over the keys inside a prefix, and over the prefixes. With 24-bit aircraft addresses in hex a prefix of
 three characters gives at most 4096 prefixes of at most 4096 addresses each.
 """
@@ -33,13 +33,21 @@ def running_base(counts: DataFrame, group: list[str], key: str, n: str = "n") ->
 
 
 def flight_bases(starts: DataFrame) -> DataFrame:
-    """Per date and aircraft, how many flights of the date come before it in aircraft order."""
+    """Per date and aircraft, how many flights of the date belong to smaller aircraft ids.
+
+    Counted per aircraft first, so the window of a date has one row per aircraft seen that day: a 24-bit address
+    space is its upper bound, however many reports there are.
+    """
+    before = Window.partitionBy("date").orderBy("icao24").rowsBetween(Window.unboundedPreceding, -1)
     counts = starts.groupBy("date", "icao24").agg(F.count("*").alias("n"))
-    return running_base(counts, ["date"], "icao24").drop("n")
+    return counts.select("date", "icao24", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
 def number_rows(df: DataFrame, order: str, bucket_chars: int = 6) -> DataFrame:
-    """Adds ``row_no``, the 0-based position in the order of the unique text column ``order``."""
+    """Adds ``row_no``, the 0-based position in the order of the unique text column ``order``.
+
+    Reads ``df`` more than once: pass a stored table.
+    """
     bucketed = df.withColumn("_bucket", F.substring(order, 1, bucket_chars))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("n"))
     bases = running_base(counts.withColumn("_all", F.lit(0)), ["_all"], "_bucket").drop("n", "_all")

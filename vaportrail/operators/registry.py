@@ -59,7 +59,7 @@ def next_version(models: DataFrame, history: DataFrame | None, run_date: Column,
         F.min("training_window_start").alias("training_start"),
         F.max("training_window_end").alias("training_end"),
         # registration order: forecast model first
-        F.reverse(F.array_sort(F.collect_set("model_id"))).alias("models"),
+        F.reverse(F.sort_array(F.collect_set("model_id"))).alias("models"),
     ).select(
         F.format_string("v%s--%03d", F.date_format(run_date, "yyyyMMdd"), number).alias("data_version"),
         number.alias("model_version"),
@@ -74,7 +74,7 @@ def date_index(predictions: DataFrame) -> DataFrame:
     """One row: the distinct dates named in flight ids, first and last of them."""
     dates = predictions.select(flight_date_text(F.col("flight_id")).alias("d")).where("d is not null").distinct()
     return dates.agg(
-        F.array_sort(F.collect_list("d")).alias("available_dates"),
+        F.sort_array(F.collect_list("d")).alias("available_dates"),
         F.min("d").alias("first_date"),
         F.max("d").alias("last_date"),
     )

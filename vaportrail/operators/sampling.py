@@ -47,7 +47,7 @@ def hour_tracks(flights: DataFrame, hour: int | None = None, min_points: int = 2
     return (
         flights.withColumn("points", points)
         .where(F.size("points") >= min_points)
-        .withColumn("points", F.array_sort("points"))
+        .withColumn("points", F.sort_array("points"))
     )
 
 

@@ -29,6 +29,12 @@ POINT_FIELDS = ["ts", *MEASURES.values()]
 
 _EVER = (Window.unboundedPreceding, Window.unboundedFollowing)
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
+# per-flight columns that ride along from reports to points
+_CARRIED = ["seg_idx", "flight_id"]
+
+
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in _CARRIED if c in df.columns]
 
 
 def segment(reports: DataFrame, max_gap: int = MAX_GAP_SEC) -> DataFrame:
@@ -37,6 +43,7 @@ def segment(reports: DataFrame, max_gap: int = MAX_GAP_SEC) -> DataFrame:
     Adds ``seg_start`` (first timestamp) and ``seg_idx`` (0-based number among the kept segments of the aircraft-day).
     """
     by_time = Window.partitionBy(*AIRCRAFT_DAY).orderBy("timestamp")
+    so_far = by_time.rowsBetween(*_SO_FAR)
     ts = F.col("timestamp")
     opens = F.coalesce(ts - F.lag(ts).over(by_time) > max_gap, F.lit(True))
     closes = F.coalesce(F.lead(ts).over(by_time) - ts > max_gap, F.lit(True))
@@ -44,8 +51,8 @@ def segment(reports: DataFrame, max_gap: int = MAX_GAP_SEC) -> DataFrame:
         reports.withColumns({"_opens": opens, "_closes": closes})
         .withColumns(
             {
-                "seg_start": F.last(F.when(F.col("_opens"), ts), ignorenulls=True).over(by_time),
-                "seg_idx": F.count(F.when(F.col("_opens") & ~F.col("_closes"), 1)).over(by_time) - 1,
+                "seg_start": F.last(F.when(F.col("_opens"), ts), ignorenulls=True).over(so_far),
+                "seg_idx": F.count(F.when(F.col("_opens") & ~F.col("_closes"), 1)).over(so_far) - 1,
             }
         )
         .where(~(F.col("_opens") & F.col("_closes")))
@@ -85,7 +92,7 @@ def resample(segmented: DataFrame, step: int = RESAMPLE_STEP_SEC) -> DataFrame:
     ts, start = F.col("timestamp"), F.col("seg_start")
     rows = segmented.select(
         *FLIGHT,
-        "seg_idx",
+        *_carried(segmented),
         "timestamp",
         *MEASURES,
         F.first("callsign").over(whole).alias("callsign"),
@@ -108,7 +115,7 @@ def resample(segmented: DataFrame, step: int = RESAMPLE_STEP_SEC) -> DataFrame:
     rows = rows.withColumns(slopes).withColumn("_ticks", ticks)
     ticked = rows.select(
         *FLIGHT,
-        "seg_idx",
+        *_carried(segmented),
         "callsign",
         "on_ground",
         "timestamp",
@@ -118,7 +125,7 @@ def resample(segmented: DataFrame, step: int = RESAMPLE_STEP_SEC) -> DataFrame:
     )
     return ticked.select(
         *FLIGHT,
-        "seg_idx",
+        *_carried(segmented),
         "callsign",
         "on_ground",
         "ts",
@@ -155,10 +162,10 @@ def trajectories(points: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     return (
         steps(points)
-        .groupBy(*FLIGHT, "seg_idx")
+        .groupBy(*FLIGHT, *_carried(points))
         .agg(
             F.first("callsign").alias("callsign"),
-            F.array_sort(F.collect_list(F.struct(*POINT_FIELDS))).alias("points"),
+            F.sort_array(F.collect_list(F.struct(*POINT_FIELDS))).alias("points"),
             (F.max("ts") - F.min("ts")).alias("duration_sec"),
             F.coalesce(F.sum("step_nm"), zero).alias("distance_nm"),
             F.coalesce(F.max("alt_ft"), zero).alias("max_alt_ft"),
@@ -171,24 +178,28 @@ def trajectories(points: DataFrame) -> DataFrame:
     )
 
 
-def with_flight_ids(df: DataFrame, starts: DataFrame) -> DataFrame:
-    """Adds ``flight_id``. ``starts`` holds one row per kept segment; ``df`` any rows with ``seg_idx``.
+def with_flight_ids(segmented: DataFrame) -> DataFrame:
+    """Adds ``flight_id`` to segmented reports: numbers run over the date in aircraft, then time order.
 
-    The join key equals the shuffle key of the windows above, so ``df`` is not moved again.
+    The join key equals the shuffle key of the windows above, so the reports are not moved again; the other side has
+    one slim row per aircraft-day and is hashed partition by partition, never broadcast.
     """
-    numbered = df.join(flight_bases(starts), AIRCRAFT_DAY)
-    return numbered.withColumn(
-        "flight_id", flight_id(F.col("icao24"), F.col("date"), F.col("base") + F.col("seg_idx"))
-    ).drop("base")
+    bases = flight_bases(segment_starts(segmented)).hint("shuffle_hash")
+    return (
+        segmented.join(bases, AIRCRAFT_DAY)
+        .withColumn("flight_id", flight_id(F.col("icao24"), F.col("date"), F.col("base") + F.col("seg_idx")))
+        .drop("base")
+    )
+
+
+def build_points(reports: DataFrame, max_gap: int = MAX_GAP_SEC, step: int = RESAMPLE_STEP_SEC) -> DataFrame:
+    """Clean reports to resampled track points with flight ids."""
+    return resample(with_flight_ids(segment(reports, max_gap)), step)
 
 
-def build_trajectories(
-    reports: DataFrame, max_gap: int = MAX_GAP_SEC, step: int = RESAMPLE_STEP_SEC
-) -> DataFrame:
+def build_trajectories(reports: DataFrame, max_gap: int = MAX_GAP_SEC, step: int = RESAMPLE_STEP_SEC) -> DataFrame:
     """Clean reports to flights with ids."""
-    segmented = segment(reports, max_gap)
-    flights = trajectories(resample(segmented, step))
-    return with_flight_ids(flights, segment_starts(segmented))
+    return trajectories(build_points(reports, max_gap, step))
 
 
 def explode_points(flights: DataFrame, *keep: str) -> DataFrame:

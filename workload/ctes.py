@@ -1,5 +1,7 @@
 """SQL restatement of the derived tables, as common table expressions with their dependencies."""
 
+from workload.rounding import expand_round
+
 CTES: dict[str, tuple[list[str], str]] = {}
 
 
@@ -21,7 +23,7 @@ def build(select: str, *needs: str) -> str:
     for name in needs:
         visit(name)
     body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order)
-    return f"WITH {body}\n{select}" if order else select
+    return expand_round(f"WITH {body}\n{select}" if order else select)
 
 
 def _haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

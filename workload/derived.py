@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from vaportrail.functions.geo import epoch_date
 from vaportrail.operators import anomaly, clean, forecast, grid, stress, tracks
-from vaportrail.schemas import conform, BRONZE
+from vaportrail.schemas import BRONZE, conform
+from vaportrail.session import stage
 
 EPOCH0 = 1766685600  # 2025-12-25 18:00 UTC
 
@@ -83,10 +84,15 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.build_trajectories(reports(spark, sf_dir))
 
 
+def flight_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per flight, without its points."""
+    reported = tracks.with_flight_ids(segmented(spark, sf_dir))
+    return reported.where(F.col("timestamp") == F.col("seg_start")).select(*tracks.FLIGHT, "flight_id")
+
+
 def flight_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long points with flight ids."""
-    seg = segmented(spark, sf_dir)
-    return tracks.with_flight_ids(tracks.resample(seg), tracks.segment_starts(seg))
+    return tracks.build_points(reports(spark, sf_dir))
 
 
 def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +112,17 @@ def stress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stress.stress_index(grid.grid_density(pts), pts)
 
 
-def fixture_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anomalies_of(stored_flights: DataFrame) -> DataFrame:
     """Anomaly records with a score that SQL can restate: 0.5 + (flight number mod 100) / 200.
 
     Type and explanation are the real ones; only the forest score is replaced.
     """
-    features = anomaly.flight_features(flights(spark, sf_dir))
+    features = anomaly.flight_features(stored_flights)
     stats = anomaly.scaler_columns(anomaly.scaler(features))
     number = F.get(F.split("flight_id", "_"), F.lit(2)).cast("int")
     scored = features.withColumn("anomaly_score", F.lit(0.5) + (number % 100) / 200.0)
     return anomaly.to_anomalies(anomaly.with_explanation(scored, stats), threshold=0.7)
+
+
+def fixture_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies_of(stage(flights(spark, sf_dir), "flights"))

@@ -8,10 +8,7 @@ from vaportrail.session import stage
 from workload import derived
 from workload.ctes import build, risk
 from workload.registry import query
-
-
-def r(col: str, digits: int = 6):
-    return F.round(F.col(col), digits).alias(col.split(".")[-1])
+from workload.rounding import r, rd
 
 
 PRED_COLS = (
@@ -26,10 +23,10 @@ def flat_predictions(pred):
     guess, actual = F.get("predicted_points", F.lit(0)), F.get("actual_points", F.lit(0))
     return pred.select(
         "flight_id", "date", "prediction_ts", "horizon_sec", guess["ts"].alias("target_ts"),
-        F.round(guess["lat"], 6).alias("lat"), F.round(guess["lon"], 6).alias("lon"),
-        F.round(guess["alt_ft"], 4).alias("alt_ft"), F.round(guess["confidence"], 6).alias("confidence"),
-        actual["ts"].alias("actual_ts"), F.round(actual["lat"], 6).alias("actual_lat"),
-        F.round(actual["lon"], 6).alias("actual_lon"), F.round(actual["alt_ft"], 4).alias("actual_alt_ft"),
+        rd(guess["lat"], 6).alias("lat"), rd(guess["lon"], 6).alias("lon"),
+        rd(guess["alt_ft"], 4).alias("alt_ft"), rd(guess["confidence"], 6).alias("confidence"),
+        actual["ts"].alias("actual_ts"), rd(actual["lat"], 6).alias("actual_lat"),
+        rd(actual["lon"], 6).alias("actual_lon"), rd(actual["alt_ft"], 4).alias("actual_alt_ft"),
         r("error_metrics.mae_lateral_nm"), r("error_metrics.mae_vertical_ft", 4),
     )
 
@@ -53,8 +50,8 @@ def s5(spark, d):
     c = [F.col(x) for x in ("latitude", "longitude", "altitude", "velocity", "heading", "vertical_rate")]
     at = geo.dead_reckon(*c, F.lit(60))
     return derived.reports(spark, d).select(
-        "icao24", "timestamp", F.round(at["lat"], 6).alias("lat"), F.round(at["lon"], 6).alias("lon"),
-        F.round(at["alt_ft"], 4).alias("alt_ft"), at["confidence"].alias("confidence"),
+        "icao24", "timestamp", rd(at["lat"], 6).alias("lat"), rd(at["lon"], 6).alias("lon"),
+        rd(at["alt_ft"], 4).alias("alt_ft"), at["confidence"].alias("confidence"),
     )
 
 
@@ -79,8 +76,8 @@ def j4(spark, d):
 def w6(spark, d):
     mid = forecast.midpoint(F.col("points"))
     return derived.flights(spark, d).select(
-        "flight_id", mid["ts"].alias("ts"), F.round(mid["lat"], 6).alias("lat"), F.round(mid["lon"], 6).alias("lon"),
-        F.round(geo.zero_if_missing(mid["alt_ft"]), 4).alias("alt_ft"),
+        "flight_id", mid["ts"].alias("ts"), rd(mid["lat"], 6).alias("lat"), rd(mid["lon"], 6).alias("lon"),
+        rd(geo.zero_if_missing(mid["alt_ft"]), 4).alias("alt_ft"),
     )
 
 
@@ -139,7 +136,7 @@ def j1(spark, d):
 
     cell = Window.partitionBy(*grid.CELL)
     return derived.grid_density(spark, d).select(
-        *grid.CELL_HOUR, "flight_count", F.round(F.avg("flight_count").over(cell), 6).alias("mean_flights"),
+        *grid.CELL_HOUR, "flight_count", rd(F.avg("flight_count").over(cell), 6).alias("mean_flights"),
         F.max("flight_count").over(cell).alias("max_flights"),
     )
 
@@ -206,7 +203,7 @@ def j2(spark, d):
     pts = derived.points(spark, d)
     seen = grid.with_cell(pts).select(*grid.CELL, "hour").distinct()
     per_hour = grid.grid_density(pts).groupBy(*grid.CELL, "hour").agg(
-        F.round(F.avg("flight_count"), 6).alias("mean_flights"), F.count("*").alias("n")
+        rd(F.avg("flight_count"), 6).alias("mean_flights"), F.count("*").alias("n")
     )
     return seen.join(per_hour, [*grid.CELL, "hour"], "left").fillna(0, ["n"])
 
@@ -240,7 +237,7 @@ def j6(spark, d):
 def j5(spark, d):
     conf = F.get("predicted_points", F.lit(0))["confidence"]
     return derived.predictions(spark, d).groupBy("horizon_sec").agg(
-        F.count("*").alias("n"), F.round(F.min(conf), 6).alias("confidence")
+        F.count("*").alias("n"), rd(F.min(conf), 6).alias("confidence")
     )
 
 
@@ -258,8 +255,8 @@ def s15(spark, d):
     scaled = labels.what_if_stress(F.col("stress_index"), 150.0)
     both = derived.density(spark, d).join(derived.stress_table(spark, d), grid.CELL_HOUR)
     return both.select(
-        *grid.CELL_HOUR, F.round(labels.what_if_density(F.col("density_score"), 150.0), 6).alias("score"),
-        F.round(scaled, 6).alias("stress_index"), labels.risk_level(scaled).alias("risk_level"),
+        *grid.CELL_HOUR, rd(labels.what_if_density(F.col("density_score"), 150.0), 6).alias("score"),
+        rd(scaled, 6).alias("stress_index"), labels.risk_level(scaled).alias("risk_level"),
     )
 
 
@@ -278,7 +275,7 @@ def m1(spark, d):
     ),
 )
 def m4(spark, d):
-    features = anomaly.flight_features(derived.flights(spark, d))
+    features = stage(anomaly.flight_features(derived.flights(spark, d)), "features")
     stats = anomaly.scaler_columns(anomaly.scaler(features))
     return anomaly.with_explanation(features, stats).select(
         "flight_id", "anomaly_type", "explanation.primary_factor", r("explanation.deviation_pct", 4),
@@ -301,7 +298,7 @@ def m5(spark, d):
     features = stage(anomaly.flight_features(derived.flights(spark, d)), "features")
     detector = anomaly.fit_detector(features)
     if detector is None:
-        return derived.fixture_anomalies(spark, d).limit(0)
+        return derived.anomalies_of(stage(derived.flights(spark, d), "flights")).limit(0)
     # 0.5 is the forest's own decision boundary
     return anomaly.to_anomalies(detector.score(features), threshold=0.5)
 
@@ -384,7 +381,7 @@ W7_SQL = "(SELECT flight_id FROM (SELECT flight_id, row_number() OVER (ORDER BY
 
 @query("w7_sample_flights", build(f"SELECT flight_id FROM {W7_SQL}", "ids"))
 def w7(spark, d):
-    return sampling.sample_flights(derived.flights(spark, d)).select("flight_id")
+    return sampling.sample_flights(stage(derived.flight_ids(spark, d).select("flight_id"), "ids"))
 
 
 THIN_SQL = """SELECT flight_id, ts, round(lat, 6) AS lat, round(lon, 6) AS lon, round(coalesce(alt, 0), 4) AS alt_ft FROM (
@@ -445,13 +442,8 @@ def a11(spark, d):
     build("SELECT flight_id, date::VARCHAR AS day, icao24 || '_' || date::VARCHAR AS stem FROM ids", "ids"),
 )
 def s11(spark, d):
-    ids = w5_ids(spark, d)
+    ids = derived.flight_ids(spark, d)
     return ids.select(
         "flight_id", text.flight_date_text(F.col("flight_id")).alias("day"),
         F.regexp_replace("flight_id", r"_\d+$", "").alias("stem"),
     )
-
-
-def w5_ids(spark, d):
-    starts = tracks.segment_starts(derived.segmented(spark, d))
-    return tracks.with_flight_ids(starts, starts)

@@ -7,10 +7,7 @@ from vaportrail.operators import clean, grid, tracks
 from workload import derived
 from workload.ctes import bearing, build, haversine
 from workload.registry import query
-
-
-def r(col: str, digits: int = 6):
-    return F.round(F.col(col), digits).alias(col)
+from workload.rounding import r, rd
 
 
 @query(
@@ -137,8 +134,7 @@ def w3(spark, d):
 
 @query("w5_flight_ids", build("SELECT date, icao24, seg_start, flight_id FROM ids", "ids"))
 def w5(spark, d):
-    starts = tracks.segment_starts(derived.segmented(spark, d))
-    return tracks.with_flight_ids(starts, starts).select("date", "icao24", "seg_start", "flight_id")
+    return derived.flight_ids(spark, d).select("date", "icao24", "seg_start", "flight_id")
 
 
 @query(
@@ -215,7 +211,7 @@ def s1(spark, d):
     w = Window.partitionBy("date", "icao24").orderBy("timestamp")
     lat, lon = F.col("latitude"), F.col("longitude")
     nm = geo.haversine_nm(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon)
-    return derived.reports(spark, d).select("icao24", "timestamp", F.round(nm, 6).alias("nm"))
+    return derived.reports(spark, d).select("icao24", "timestamp", rd(nm, 6).alias("nm"))
 
 
 @query(
@@ -263,7 +259,7 @@ def s12(spark, d):
     w = Window.partitionBy("date", "icao24").orderBy("timestamp")
     lat, lon = F.col("latitude"), F.col("longitude")
     angle = geo.initial_bearing(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon)
-    return derived.reports(spark, d).select("icao24", "timestamp", F.round(angle, 6).alias("bearing"))
+    return derived.reports(spark, d).select("icao24", "timestamp", rd(angle, 6).alias("bearing"))
 
 
 @query(
