@@ -11,4 +11,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from workload import queries_gold, queries_tracks, queries_views  # noqa: E402,F401
+from workload import queries_gold, queries_sources, queries_tracks, queries_views  # noqa: E402,F401
