@@ -13,7 +13,12 @@ def spark():
     session = get_session(
         "tests",
         "local[8]",
-        {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
+        {
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "10000",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -25,14 +25,19 @@ def forecast(
 
     Works inside each flight's array: no shuffle.
     """
-    mid = flights.where(F.size("points") >= min_points).select(
-        "flight_id", "date", "points", midpoint(F.col("points")).alias("mid")
+    points, mid = F.col("points"), midpoint(F.col("points"))
+    legs = F.transform(
+        F.array(*[F.lit(h) for h in horizons]),
+        lambda h: F.struct(
+            h.alias("horizon_sec"),
+            (mid["ts"] + h).alias("target_ts"),
+            first_at_or_after(points, mid["ts"] + h).alias("actual"),
+        ),
+    )
+    # the legs are found inside the array, so that the tracks themselves are not repeated per horizon
+    ahead = flights.where(F.size("points") >= min_points).select(
+        "flight_id", "date", mid.alias("mid"), F.inline(legs)
     )
-    ahead = mid.withColumn("horizon_sec", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    target = F.col("mid.ts") + F.col("horizon_sec")
-    ahead = ahead.withColumns(
-        {"target_ts": target, "actual": first_at_or_after(F.col("points"), target)}
-    ).drop("points")
     guess = dead_reckon(
         *[F.col(f"mid.{f}") for f in ("lat", "lon", "alt_ft", "speed_kts", "heading_deg", "vrate_fpm")],
         F.col("horizon_sec"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaportrail import schemas
+from vaportrail.functions.text import file_date
 from vaportrail.sources import archives, tables, traces
 from vaportrail.session import stage
 
@@ -20,10 +21,12 @@ def ingest_archives(
     Files stored by an earlier run are not read again.
     """
     paths = archives.list_files(spark, folder, pattern)
-    if tables.exists(spark, bronze_path):
-        stored = tables.read_table(spark, bronze_path, schemas.BRONZE).select("_source_file").distinct()
-        names = spark.createDataFrame([(p, os.path.basename(p)) for p in paths], "path string, _source_file string")
-        paths = sorted(r["path"] for r in names.join(stored, "_source_file", "left_anti").collect())
+    names = spark.createDataFrame(
+        [(p, os.path.basename(p)) for p in paths], "path string, _source_file string"
+    ).withColumn("date", file_date(F.col("_source_file")))
+    dates = [r["date"] for r in names.select("date").distinct().collect()]
+    done = tables.stored_files(spark, bronze_path, dates)
+    paths = sorted(r["path"] for r in names.join(done, ["date", "_source_file"], "left_anti").collect())
     batch = archives.open_files(spark, paths)
     if batch.bronze is not None:
         tables.append_bronze(batch.bronze, bronze_path)
@@ -32,8 +35,9 @@ def ingest_archives(
         "source_file string, error string",
     )
     if batch.bronze is None:
-        return listed.select("source_file", F.lit(None).cast("date").alias("date"), F.lit(0).cast("bigint").alias("total_rows"), "error")
-    stats = archives.file_stats(tables.read_table(spark, bronze_path, schemas.BRONZE))
+        return schemas.conform(listed.withColumn("total_rows", F.lit(0)), FILE_REPORT)
+    stored = tables.read_table(spark, bronze_path, schemas.BRONZE).where(F.col("date").isin(dates))
+    stats = archives.file_stats(stored)
     return listed.join(stats, "source_file", "left").select(
         "source_file", "date", F.coalesce("total_rows", F.lit(0)).alias("total_rows"), "error"
     )
@@ -43,5 +47,6 @@ def ingest_traces(spark: SparkSession, folder: str, bronze_path: str, date: str
     """Stores the trace files of a folder; one row: files processed, files failed, points."""
     files = traces.list_traces(spark, folder)
     rows = stage(traces.decode_traces(files, date), "traces")
-    tables.append_bronze(rows, bronze_path)
+    dates = [r["date"] for r in rows.select("date").distinct().collect()]
+    tables.append_bronze(rows, bronze_path, done=tables.stored_files(spark, bronze_path, dates))
     return traces.trace_stats(files, rows)

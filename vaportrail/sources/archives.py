@@ -4,6 +4,7 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +48,9 @@ def to_bronze(raw: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Paths under ``folder`` (not below it) that match ``pattern``. File contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return sorted(r["path"] for r in files.select("path").collect())
+    """Paths in ``folder`` that match ``pattern``, empty files included; a listing only, no contents are read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).inputFiles()
+    return sorted(unquote(path) for path in found)
 
 
 @dataclass

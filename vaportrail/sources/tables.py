@@ -54,22 +54,29 @@ def between_dates(df: DataFrame, start=None, end=None) -> DataFrame:
     return df
 
 
-def not_yet_ingested(bronze: DataFrame, path: str) -> DataFrame:
-    """Rows whose file has not been stored for that date before, so that running an ingest twice adds nothing."""
-    spark = bronze.sparkSession
+def stored_files(spark: SparkSession, path: str, dates: list) -> DataFrame:
+    """(date, _source_file) pairs stored under the given dates; only those partitions are read."""
     if not exists(spark, path):
-        return bronze
-    done = read_table(spark, path, schemas.BRONZE).select("date", "_source_file").distinct()
-    if done.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
-        done = F.broadcast(done)
-    return bronze.join(done, ["date", "_source_file"], "left_anti")
+        return spark.createDataFrame([], "date date, _source_file string")
+    stored = read_table(spark, path, schemas.BRONZE).where(F.col("date").isin(dates))
+    return stored.select("date", "_source_file").distinct()
 
 
-def append_bronze(bronze: DataFrame, path: str, rows_per_file: int = BRONZE_ROWS_PER_FILE) -> None:
-    """Adds new files' rows under their dates; straight from the scan, without a shuffle."""
-    fresh = schemas.conform(not_yet_ingested(bronze, path), schemas.BRONZE)
+def append_bronze(
+    bronze: DataFrame, path: str, done: DataFrame | None = None, rows_per_file: int = BRONZE_ROWS_PER_FILE
+) -> None:
+    """Adds rows under their dates, straight from the scan, without a shuffle.
+
+    ``done`` names files already stored, as given by :func:`stored_files`: their rows are left out, so that running an
+    ingest twice adds nothing. The list is shipped to the tasks only while it is short.
+    """
+    if done is not None:
+        if done.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+            done = F.broadcast(done)
+        bronze = bronze.join(done, ["date", "_source_file"], "left_anti")
     (
-        fresh.write.mode("append")
+        schemas.conform(bronze, schemas.BRONZE)
+        .write.mode("append")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("date")

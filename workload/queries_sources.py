@@ -119,8 +119,11 @@ def b6(spark, d):
 
 def stored_bronze(spark, d, times=1):
     path = new_stage_path(spark, "bronze")
+    rows = derived.state_vectors(spark, d)
     for _ in range(times):
-        tables.append_bronze(derived.state_vectors(spark, d), path)
+        dates = [r["date"] for r in rows.select("date").distinct().collect()] if times > 1 else []
+        done = tables.stored_files(spark, path, dates) if dates else None
+        tables.append_bronze(rows, path, done)
     return path
 
 
