@@ -38,9 +38,8 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            # tables of a few megabytes: keep all cores busy, and skip per-call debugging records
+            # tables of a few megabytes: keep all cores busy
             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
         },
     )

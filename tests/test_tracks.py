@@ -137,7 +137,7 @@ def test_climbs_descents_turns_and_distance(spark):
 def test_numbers_count_kept_segments_in_aircraft_order(spark):
     rows = [report(t, icao="b") for t in (0, 5, 1000, 2000, 2005)] + [report(t, icao="a") for t in (50, 55)]
     rows += [report(t, icao="c") for t in (1, 2)]
-    got = tracks.with_flight_ids(tracks.segment(frame(spark, rows))).select("seg_start", "flight_id").distinct().collect()
+    got = tracks.with_flight_ids(tracks.with_flight_numbers(tracks.segment(frame(spark, rows)))).select("seg_start", "flight_id").distinct().collect()
     assert sorted((r["flight_id"], r["seg_start"]) for r in got) == [
         ("a_2026-01-15_0000", 50), ("b_2026-01-15_0001", 0), ("b_2026-01-15_0002", 2000), ("c_2026-01-15_0003", 1),
     ]

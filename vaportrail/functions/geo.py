@@ -34,9 +34,18 @@ def initial_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return (F.degrees(F.atan2(east, north)) + 360) % 360
 
 
+def cell_index(x: Column, resolution: float = GRID_DEG) -> Column:
+    """Number of the cell holding ``x``, counted from zero degrees; ties go to the even cell."""
+    return F.rint(x / F.lit(resolution)).cast("int")
+
+
+def cell_centre(index: Column, resolution: float = GRID_DEG) -> Column:
+    return index.cast("double") * F.lit(resolution)
+
+
 def snap_to_grid(x: Column, resolution: float = GRID_DEG) -> Column:
-    """Centre of the cell holding ``x``; ties go to the even cell, and zero is never negative."""
-    return F.rint(x / F.lit(resolution)) * F.lit(resolution) + F.lit(0.0)
+    """Centre of the cell holding ``x``; zero is never negative."""
+    return cell_centre(cell_index(x, resolution), resolution)
 
 
 def hour_of_day(ts: Column) -> Column:

@@ -42,7 +42,10 @@ def base_name(path: Column) -> Column:
 
 
 def flight_id(icao24: Column, day: Column, number: Column) -> Column:
-    return F.format_string("%s_%s_%04d", icao24, day.cast("string"), number)
+    """``aircraft_date_number``, the number padded to four digits but never cut."""
+    digits = number.cast("string")
+    padded = F.when(number < 10000, F.lpad(digits, 4, "0")).otherwise(digits)
+    return F.concat_ws("_", icao24, day.cast("string"), padded)
 
 
 def flight_date_text(fid: Column) -> Column:

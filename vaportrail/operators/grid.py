@@ -5,21 +5,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from vaportrail.defaults import GRID_DEG
-from vaportrail.functions.geo import hour_of_day, snap_to_grid
+from vaportrail.functions.geo import cell_centre, cell_index, hour_of_day
 from vaportrail.operators.tracks import FLIGHT
 
 CELL = ["grid_lat", "grid_lon"]
 CELL_HOUR = ["date", "hour", *CELL]
+# Cells are grouped and joined by integer index; the coordinates are worked out at the end.
+INDEX = ["lat_index", "lon_index"]
 
 
-def with_cell(points: DataFrame, resolution: float = GRID_DEG) -> DataFrame:
-    return points.withColumns(
+def with_index(df: DataFrame, resolution: float = GRID_DEG, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    return df.withColumns(
+        {"lat_index": cell_index(F.col(lat), resolution), "lon_index": cell_index(F.col(lon), resolution)}
+    )
+
+
+def with_centre(df: DataFrame, resolution: float = GRID_DEG) -> DataFrame:
+    """Replaces the cell index by the coordinates of the cell's centre."""
+    return df.withColumns(
         {
-            "hour": hour_of_day(F.col("ts")),
-            "grid_lat": snap_to_grid(F.col("lat"), resolution),
-            "grid_lon": snap_to_grid(F.col("lon"), resolution),
+            "grid_lat": cell_centre(F.col("lat_index"), resolution),
+            "grid_lon": cell_centre(F.col("lon_index"), resolution),
         }
-    )
+    ).drop(*INDEX)
+
+
+def with_cell_hour(points: DataFrame, resolution: float = GRID_DEG) -> DataFrame:
+    return with_index(points, resolution).withColumn("hour", hour_of_day(F.col("ts")))
 
 
 def grid_density(points: DataFrame, flight: list[str] = FLIGHT, resolution: float = GRID_DEG) -> DataFrame:
@@ -30,8 +42,8 @@ def grid_density(points: DataFrame, flight: list[str] = FLIGHT, resolution: floa
     """
     flight = [c for c in flight if c != "date"]
     per_flight = (
-        with_cell(points, resolution)
-        .groupBy(*CELL_HOUR, *flight)
+        with_cell_hour(points, resolution)
+        .groupBy("date", "hour", *INDEX, *flight)
         .agg(
             F.count("*").alias("n"),
             F.sum("alt_ft").alias("alt_sum"),
@@ -40,12 +52,13 @@ def grid_density(points: DataFrame, flight: list[str] = FLIGHT, resolution: floa
             F.count("speed_kts").alias("speed_n"),
         )
     )
-    return per_flight.groupBy(*CELL_HOUR).agg(
+    cells = per_flight.groupBy("date", "hour", *INDEX).agg(
         F.count("*").alias("flight_count"),
         F.sum("n").alias("point_count"),
         F.try_divide(F.sum("alt_sum"), F.sum("alt_n")).alias("avg_altitude_ft"),
         F.try_divide(F.sum("speed_sum"), F.sum("speed_n")).alias("avg_speed_kts"),
     )
+    return with_centre(cells, resolution)
 
 
 def cell_history(grid: DataFrame) -> DataFrame:
@@ -79,9 +92,9 @@ def traffic_density(grid: DataFrame) -> DataFrame:
 
 
 def cell_dispersion(points: DataFrame, resolution: float = GRID_DEG) -> DataFrame:
-    """Population deviation of altitude, heading and speed per cell and hour, all dates together."""
-    zeroed = with_cell(points, resolution).fillna(0.0, ["alt_ft", "heading_deg", "speed_kts"])
-    return zeroed.groupBy(*CELL, "hour").agg(
+    """Population deviation of altitude, heading and speed per cell index and hour, all dates together."""
+    zeroed = with_cell_hour(points, resolution).fillna(0.0, ["alt_ft", "heading_deg", "speed_kts"])
+    return zeroed.groupBy(*INDEX, "hour").agg(
         F.stddev_pop("alt_ft").alias("alt_std"),
         F.stddev_pop("heading_deg").alias("heading_std"),
         F.stddev_pop("speed_kts").alias("speed_std"),
@@ -93,19 +106,22 @@ def max_cells(resolution: float = GRID_DEG) -> int:
     return int(180 / resolution + 1) * int(360 / resolution + 1)
 
 
-def planes_in_cells(points: DataFrame, cells: DataFrame, resolution: float = GRID_DEG) -> DataFrame:
+def planes_in_cells(
+    points: DataFrame, cells: DataFrame, flight: list[str] | None = None, resolution: float = GRID_DEG
+) -> DataFrame:
     """Flights with a point inside each cell's box (edges included) and the altitude at the first such point.
 
-    ``cells`` has ``grid_lat`` and ``grid_lon``. A point can only lie in the boxes centred just below and just above
-    it, so it is expanded to those, tested, and folded per cell and flight before the join.
+    ``cells`` has ``grid_lat`` and ``grid_lon``; ``flight`` names the columns of ``points`` that identify a flight. A
+    point can only lie in the boxes centred just below and just above it, so it is expanded to those, tested, and
+    folded per cell and flight before the join.
     """
+    flight = flight or ["flight_id"]
     res, half = F.lit(resolution), F.lit(resolution / 2)
 
-    def centres(x: str):
-        scaled = F.col(x) / res
-        below = F.floor(scaled).cast("double") * res + F.lit(0.0)
-        above = F.ceil(scaled).cast("double") * res + F.lit(0.0)
-        in_below, in_above = F.col(x) <= below + half, F.col(x) >= above - half
+    def indexes(x: str):
+        below, above = F.floor(F.col(x) / res).cast("int"), F.ceil(F.col(x) / res).cast("int")
+        in_below = F.col(x) <= cell_centre(below, resolution) + half
+        in_above = F.col(x) >= cell_centre(above, resolution) - half
         return F.explode(
             F.when(in_below & in_above & (below < above), F.array(below, above))
             .when(in_below, F.array(below))
@@ -113,13 +129,13 @@ def planes_in_cells(points: DataFrame, cells: DataFrame, resolution: float = GRI
         )
 
     first_seen = (
-        points.select("flight_id", "ts", "lat", "lon", "alt_ft")
-        .withColumn("grid_lat", centres("lat"))
-        .withColumn("grid_lon", centres("lon"))
-        .groupBy(*CELL, "flight_id")
+        points.select(*flight, "ts", "lat", "lon", "alt_ft")
+        .withColumn("lat_index", indexes("lat"))
+        .withColumn("lon_index", indexes("lon"))
+        .groupBy(*INDEX, *flight)
         .agg(F.min_by("alt_ft", "ts").alias("alt_ft"))
     )
-    wanted = cells.select(*CELL).distinct()
-    if max_cells(resolution) <= 300_000:  # 16 bytes a row: a few megabytes at most
+    wanted = with_index(cells, resolution, *CELL).select(*INDEX).distinct()
+    if max_cells(resolution) <= 300_000:  # 8 bytes a row: a few megabytes at most
         wanted = F.broadcast(wanted)
-    return first_seen.join(wanted, CELL)
+    return with_centre(first_seen.join(wanted, INDEX), resolution)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vaportrail.defaults import GRID_DEG
 from vaportrail.functions.labels import risk_level
-from vaportrail.operators.grid import CELL, CELL_HOUR, cell_dispersion
+from vaportrail.operators.grid import CELL, CELL_HOUR, INDEX, cell_dispersion, with_centre, with_index
 
 # Weights (sum 100), scales, and the density of a cell without density rows.
 WEIGHT_DENSITY, WEIGHT_MANEUVER, WEIGHT_HEADING, WEIGHT_ANOMALY = 40, 35, 20, 5
@@ -27,16 +27,16 @@ def stress_index(
     Both sides are aggregated to one row per cell and hour before they meet, so the join sees no skew.
     """
     busiest = grid.agg(F.greatest(F.max("flight_count"), F.lit(1))).scalar()
-    density = grid.groupBy(*CELL, "hour").agg(
+    density = with_index(grid, resolution, *CELL).groupBy(*INDEX, "hour").agg(
         F.avg("flight_count").alias("mean_flights"), F.min("date").alias("date")
     )
     parts = (
         cell_dispersion(points, resolution)
-        .join(density, [*CELL, "hour"], "left")
+        .join(density, [*INDEX, "hour"], "left")
         .select(
             F.coalesce("date", F.current_date()).alias("date"),
             "hour",
-            *CELL,
+            *INDEX,
             F.coalesce(F.col("mean_flights") / busiest, F.lit(DEFAULT_DENSITY)).alias("density"),
             (
                 (_capped(F.col("alt_std") / ALT_SCALE_FT) + _capped(F.col("speed_std") / SPEED_SCALE_KTS)) / 2
@@ -51,7 +51,7 @@ def stress_index(
         + F.col("heading") * WEIGHT_HEADING
         + F.col("anomaly") * WEIGHT_ANOMALY
     )
-    return parts.select(
+    return with_centre(parts, resolution).select(
         *CELL_HOUR,
         index.alias("stress_index"),
         F.struct(

@@ -29,8 +29,8 @@ POINT_FIELDS = ["ts", *MEASURES.values()]
 
 _EVER = (Window.unboundedPreceding, Window.unboundedFollowing)
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
-# per-flight columns that ride along from reports to points
-_CARRIED = ["seg_idx", "flight_id"]
+# per-flight numbers that ride along from reports to points
+_CARRIED = ["seg_idx", "flight_no"]
 
 
 def _carried(df: DataFrame) -> list[str]:
@@ -142,28 +142,40 @@ def steps(points: DataFrame, key: list[str] = FLIGHT) -> DataFrame:
     A turn compares with the last known heading. A missing vertical rate counts as level.
     """
     flight = Window.partitionBy(*key).orderBy("ts")
-    known_before = F.last("heading_deg", ignorenulls=True).over(flight.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = flight.rowsBetween(Window.unboundedPreceding, -1)
     rate = F.coalesce(F.col("vrate_fpm"), F.lit(0.0))
-    before = F.lag(rate).over(flight)
-    return points.withColumns(
+    # one window value each; the formulas below use some of them several times
+    before = points.withColumns(
         {
-            "step_nm": haversine_nm(
-                F.lag("lat").over(flight), F.lag("lon").over(flight), F.col("lat"), F.col("lon")
-            ),
-            "turn_deg": heading_difference(known_before, F.col("heading_deg")),
-            "climb_start": F.coalesce((before <= 0) & (rate > 500), F.lit(False)).cast("int"),
-            "descent_start": F.coalesce((before >= 0) & (rate < -500), F.lit(False)).cast("int"),
+            "_lat": F.lag("lat").over(flight),
+            "_lon": F.lag("lon").over(flight),
+            "_rate": F.lag(rate).over(flight),
+            "_heading": F.last("heading_deg", ignorenulls=True).over(earlier),
         }
     )
+    was = F.col("_rate")
+    return before.withColumns(
+        {
+            "step_nm": haversine_nm(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")),
+            "turn_deg": heading_difference(F.col("_heading"), F.col("heading_deg")),
+            "climb_start": F.coalesce((was <= 0) & (rate > 500), F.lit(False)).cast("int"),
+            "descent_start": F.coalesce((was >= 0) & (rate < -500), F.lit(False)).cast("int"),
+        }
+    ).drop("_lat", "_lon", "_rate", "_heading")
 
 
 def trajectories(points: DataFrame) -> DataFrame:
-    """One row per flight: its points in time order and its features. A flight is one row by definition."""
+    """One row per flight: its points in time order and its features. A flight is one row by definition.
+
+    The grouping key is a prefix of the order the step windows leave behind, so a sort-based aggregation streams
+    through it one flight at a time.
+    """
     zero = F.lit(0.0)
     return (
         steps(points)
-        .groupBy(*FLIGHT, *_carried(points))
+        .groupBy(*FLIGHT)
         .agg(
+            *[F.first(c).alias(c) for c in _carried(points)],
             F.first("callsign").alias("callsign"),
             F.sort_array(F.collect_list(F.struct(*POINT_FIELDS))).alias("points"),
             (F.max("ts") - F.min("ts")).alias("duration_sec"),
@@ -178,8 +190,8 @@ def trajectories(points: DataFrame) -> DataFrame:
     )
 
 
-def with_flight_ids(segmented: DataFrame) -> DataFrame:
-    """Adds ``flight_id`` to segmented reports: numbers run over the date in aircraft, then time order.
+def with_flight_numbers(segmented: DataFrame) -> DataFrame:
+    """Adds ``flight_no`` to segmented reports: flights of a date, counted in aircraft, then time order.
 
     The join key equals the shuffle key of the windows above, so the reports are not moved again; the other side has
     one slim row per aircraft-day and is hashed partition by partition, never broadcast.
@@ -187,19 +199,26 @@ def with_flight_ids(segmented: DataFrame) -> DataFrame:
     bases = flight_bases(segment_starts(segmented)).hint("shuffle_hash")
     return (
         segmented.join(bases, AIRCRAFT_DAY)
-        .withColumn("flight_id", flight_id(F.col("icao24"), F.col("date"), F.col("base") + F.col("seg_idx")))
-        .drop("base")
+        .withColumn("flight_no", F.col("base") + F.col("seg_idx"))
+        .drop("base", "seg_idx")
     )
 
 
+def with_flight_ids(numbered: DataFrame) -> DataFrame:
+    """Turns ``flight_no`` into the text ``flight_id``. Numbers sort and shuffle cheaper, so this comes last."""
+    return numbered.withColumn(
+        "flight_id", flight_id(F.col("icao24"), F.col("date"), F.col("flight_no"))
+    ).drop("flight_no")
+
+
 def build_points(reports: DataFrame, max_gap: int = MAX_GAP_SEC, step: int = RESAMPLE_STEP_SEC) -> DataFrame:
-    """Clean reports to resampled track points with flight ids."""
-    return resample(with_flight_ids(segment(reports, max_gap)), step)
+    """Clean reports to resampled track points with flight numbers."""
+    return resample(with_flight_numbers(segment(reports, max_gap)), step)
 
 
 def build_trajectories(reports: DataFrame, max_gap: int = MAX_GAP_SEC, step: int = RESAMPLE_STEP_SEC) -> DataFrame:
     """Clean reports to flights with ids."""
-    return trajectories(build_points(reports, max_gap, step))
+    return with_flight_ids(trajectories(build_points(reports, max_gap, step)))
 
 
 def explode_points(flights: DataFrame, *keep: str) -> DataFrame:

@@ -15,6 +15,10 @@ def get_session(app_name: str = "vaportrail", master: str | None = None, conf: d
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # collecting a flight's points: stream through sorted rows instead of hashing arrays
+        "spark.sql.execution.useObjectHashAggregateExec": "false",
+        # do not record a Python call site for every Column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **(conf or {}),
     }
     for key, value in settings.items():

@@ -86,13 +86,14 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flight_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per flight, without its points."""
-    reported = tracks.with_flight_ids(segmented(spark, sf_dir))
-    return reported.where(F.col("timestamp") == F.col("seg_start")).select(*tracks.FLIGHT, "flight_id")
+    reported = tracks.with_flight_numbers(segmented(spark, sf_dir))
+    starts = reported.where(F.col("timestamp") == F.col("seg_start")).select(*tracks.FLIGHT, "flight_no")
+    return tracks.with_flight_ids(starts)
 
 
 def flight_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long points with flight ids."""
-    return tracks.build_points(reports(spark, sf_dir))
+    return tracks.with_flight_ids(tracks.build_points(reports(spark, sf_dir)))
 
 
 def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:

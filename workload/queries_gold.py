@@ -149,7 +149,7 @@ def j1(spark, d):
     ),
 )
 def a4(spark, d):
-    return grid.cell_dispersion(derived.points(spark, d)).select(
+    return grid.with_centre(grid.cell_dispersion(derived.points(spark, d))).select(
         *grid.CELL, "hour", r("alt_std", 5), r("heading_std", 5), r("speed_std", 5)
     )
 
@@ -201,7 +201,7 @@ def a6(spark, d):
 )
 def j2(spark, d):
     pts = derived.points(spark, d)
-    seen = grid.with_cell(pts).select(*grid.CELL, "hour").distinct()
+    seen = grid.with_centre(grid.with_cell_hour(pts)).select(*grid.CELL, "hour").distinct()
     per_hour = grid.grid_density(pts).groupBy(*grid.CELL, "hour").agg(
         rd(F.avg("flight_count"), 6).alias("mean_flights"), F.count("*").alias("n")
     )
@@ -225,11 +225,15 @@ PLANES_SQL = f"""SELECT c.grid_lat, c.grid_lon, p.flight_id, round(first(p.alt O
 
 @query("j6_planes_in_cell", build(PLANES_SQL, "grid", "points"))
 def j6(spark, d):
-    pts = derived.flight_points(spark, d)
-    found = grid.planes_in_cells(pts, derived.grid_density(spark, d))
+    found = tracks.with_flight_ids(cell_planes(spark, d))
     return found.select(*grid.CELL, "flight_id", r("alt_ft", 4))
 
 
+def cell_planes(spark, d):
+    pts = tracks.build_points(derived.reports(spark, d))
+    return grid.planes_in_cells(pts, derived.grid_density(spark, d), ["date", "icao24", "flight_no"])
+
+
 @query(
     "j5_flights_by_horizon",
     build("SELECT horizon_sec, count(*) AS n, round(min(conf), 6) AS confidence FROM pred GROUP BY horizon_sec", "pred"),

@@ -7,7 +7,7 @@ from vaportrail.plans import views
 from vaportrail.session import stage
 from workload import derived
 from workload.ctes import bearing, build, risk
-from workload.queries_gold import AUDIT_SQL, ESTIMATE, PLANES_SQL, THIN_SQL
+from workload.queries_gold import AUDIT_SQL, ESTIMATE, PLANES_SQL, THIN_SQL, cell_planes
 from workload.registry import query
 from workload.rounding import r, rd
 
@@ -336,8 +336,7 @@ def j8(spark, d):
     ),
 )
 def q10(spark, d):
-    found = grid.planes_in_cells(derived.flight_points(spark, d), derived.grid_density(spark, d))
-    return found.groupBy(*grid.CELL).agg(F.count("*").alias("planes"))
+    return cell_planes(spark, d).groupBy(*grid.CELL).agg(F.count("*").alias("planes"))
 
 
 @query(
