@@ -25,18 +25,20 @@ def forecast(
 
     Works inside each flight's array: no shuffle.
     """
-    points, mid = F.col("points"), midpoint(F.col("points"))
+    points, mid_ts = F.col("points"), F.col("mid.ts")
     legs = F.transform(
         F.array(*[F.lit(h) for h in horizons]),
         lambda h: F.struct(
             h.alias("horizon_sec"),
-            (mid["ts"] + h).alias("target_ts"),
-            first_at_or_after(points, mid["ts"] + h).alias("actual"),
+            (mid_ts + h).alias("target_ts"),
+            first_at_or_after(points, mid_ts + h).alias("actual"),
         ),
     )
     # the legs are found inside the array, so that the tracks themselves are not repeated per horizon
-    ahead = flights.where(F.size("points") >= min_points).select(
-        "flight_id", "date", mid.alias("mid"), F.inline(legs)
+    ahead = (
+        flights.where(F.size("points") >= min_points)
+        .withColumn("mid", midpoint(points))
+        .select("flight_id", "date", "mid", F.inline(legs))
     )
     guess = dead_reckon(
         *[F.col(f"mid.{f}") for f in ("lat", "lon", "alt_ft", "speed_kts", "heading_deg", "vrate_fpm")],
