@@ -113,6 +113,21 @@ def test_traces(spark, tmp_path):
     assert (d["timestamp"], d["altitude"], d["callsign"], d["on_ground"], str(d["date"])) == (1768435260, None, "", None, "2026-01-15")
 
 
+def test_overwrite_of_all_or_of_own_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = spark.sql("select explode(sequence(date'2026-01-01', date'2026-01-03')) as date, 'f' as flight_id")
+
+    def dates():
+        return sorted(str(r["date"]) for r in tables.read_table(spark, path, "flight_id string, date date").collect())
+
+    tables.write_table(days, path, "flight_id string, date date")
+    one = days.where("date = date'2026-01-02'")
+    tables.write_table(one, path, "flight_id string, date date", only_own_partitions=True)
+    assert len(dates()) == 3
+    tables.write_table(one, path, "flight_id string, date date")
+    assert dates() == ["2026-01-02"]
+
+
 def test_date_pruning_reaches_the_scan(spark, folder, tmp_path):
     out = str(tmp_path / "bronze")
     bronze.ingest_archives(spark, str(folder), out)
@@ -132,6 +147,8 @@ def test_streaming_ingest_stores_each_file_once(spark, tmp_path):
     for n in (15, 16):
         (f / f"2026-01-{n}.csv").write_text("\n".join([HEAD, csv_line(MIDNIGHT)]) + "\n")
         ingest_new_files(spark, str(f), out, mark, names).awaitTermination(120)
+    # the batch ingest finds nothing left to do
+    assert bronze.ingest_archives(spark, str(f), out).count() == 0
     got = spark.read.parquet(out).groupBy("date").count().orderBy("date").collect()
     assert [(str(r["date"]), r["count"]) for r in got] == [("2026-01-15", 1), ("2026-01-16", 1)]
 

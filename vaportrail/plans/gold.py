@@ -48,6 +48,8 @@ def build_gold(
     if detector is not None:
         write("anomalies", anomaly.to_anomalies(detector.score(features), threshold))
         detector.save(f"{gold_path}/models/{anomaly.MODEL_ID}", mode="overwrite")
+    else:  # too few flights to train on: no outliers, and none left from an earlier run
+        write("anomalies", spark.createDataFrame([], schemas.struct_type(schemas.ANOMALY)))
 
     fixed = spark.createDataFrame([(start, end)], "training_start date, training_end date").withColumn(
         "training_days", F.datediff("training_end", "training_start") + 1

@@ -25,11 +25,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(
-    df: DataFrame, path: str, schema: str, partition: str | None = "date", mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    schema: str,
+    partition: str | None = "date",
+    mode: str = "overwrite",
+    only_own_partitions: bool = False,
 ) -> None:
     """Snappy Parquet in the declared schema, one folder per ``partition`` value.
 
-    Overwriting replaces only the partitions that ``df`` has rows for. Rows are rebalanced by partition value first:
+    Overwriting replaces the table, or with ``only_own_partitions`` just those that ``df`` has rows for. Rows are rebalanced by partition value first:
     small partitions end up in few files, and a partition holding much of the data is split over many tasks.
     """
     rows = schemas.conform(df, schema)
@@ -37,7 +42,8 @@ def write_table(
         rows = rows.hint("rebalance", partition)
     writer = rows.write.mode(mode).option("compression", "snappy")
     if partition:
-        writer = writer.partitionBy(partition).option("partitionOverwriteMode", "dynamic")
+        replaced = "dynamic" if only_own_partitions else "static"
+        writer = writer.partitionBy(partition).option("partitionOverwriteMode", replaced)
     writer.parquet(path)
 
 

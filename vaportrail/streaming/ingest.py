@@ -3,12 +3,12 @@
 The same parsing as the batch ingest, for folders whose files share one header.
 """
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from vaportrail.defaults import BRONZE_ROWS_PER_FILE
 from vaportrail.sources.archives import to_bronze
+from vaportrail.sources.tables import append_bronze, stored_files
 
 
 def ingest_new_files(
@@ -16,7 +16,8 @@ def ingest_new_files(
 ) -> StreamingQuery:
     """Starts a query that stores all files not stored before and then ends.
 
-    ``columns`` are the files' header names, in order. Each file is stored exactly once, also after a failure.
+    ``columns`` are the files' header names, in order. A batch that is repeated after a failure leaves out the files it
+    had stored, so each file is stored once, next to those of the batch ingest.
     """
     text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
@@ -26,13 +27,15 @@ def ingest_new_files(
         .option("enforceSchema", False)
         .csv(folder)
     )
+
+    def store(batch: DataFrame, _: int) -> None:
+        dates = [r["date"] for r in batch.select("date").distinct().collect()]
+        append_bronze(batch, bronze_path, done=stored_files(batch.sparkSession, bronze_path, dates))
+
     return (
         to_bronze(raw)
-        .writeStream.format("parquet")
-        .option("path", bronze_path)
+        .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", BRONZE_ROWS_PER_FILE)
-        .partitionBy("date")
         .trigger(availableNow=True)
         .start()
     )
