@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaportrail.llm import mixing, secrets, sql, tokens
+from vaportrail.llm import minhash, mixing, secrets, sql, tokens
 
 QUERIES: dict[str, tuple] = {}
 
@@ -20,7 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op4_secrets", sql.SECRETS)
+@query("op2_near_duplicates", sql.NEAR_DUPLICATES)
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_versions(table(spark, sf_dir, "documents"))
     base = F.filter("findings", lambda f: f["kind"].isin("assign", "access", "hex"))
