@@ -139,9 +139,14 @@ def star_candidates(classes: DataFrame, bands: DataFrame) -> DataFrame:
         .select(*_pairs(F.col("class"), F.col("pivot")))
         .distinct()
     )
-    signature = lambda c: classes.select(F.col("class").alias(c), F.col("signature").alias(f"sig_{c}"))
+    signature = lambda c: classes.select(
+        F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}")
+    )
     estimated = pairs.join(signature("a"), "a").join(signature("b"), "b")
-    return estimated.select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("estimate"))
+    sizes_allow = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    return estimated.select(
+        "a", "b", F.when(sizes_allow, estimate(F.col("sig_a"), F.col("sig_b"))).otherwise(0.0).alias("estimate")
+    )
 
 
 def _stored_by_id(texts: DataFrame, name: str) -> DataFrame:
@@ -209,18 +214,18 @@ def bucket_candidates(classes: DataFrame, bands: DataFrame, found: DataFrame) ->
     members = (
         labelled.join(open_buckets, "key")
         .withColumn("block", block)
-        .join(classes.select("class", "signature"), "class")
-        .select("key", "class", "comp", "block", "signature", F.explode(others).alias("task"))
-        .select("key", "task.i", "task.j", "class", "comp", "block", "signature")
+        .join(classes.select("class", "n", "signature"), "class")
+        .select("key", "class", "comp", "block", "n", "signature", F.explode(others).alias("task"))
+        .select("key", "task.i", "task.j", "class", "comp", "block", "n", "signature")
     )
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         """Rows of one task at a time; a task may span batches."""
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+            numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
             width = HASHES * BITS // 64
-            signatures = batch.column(6).flatten().to_numpy().view(np.uint64).reshape(-1, width)
+            signatures = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, width)
             key, i, j = numbers[:3]
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             edges = [0, *cuts.tolist(), batch.num_rows]
@@ -236,13 +241,14 @@ def bucket_candidates(classes: DataFrame, bands: DataFrame, found: DataFrame) ->
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, i, j, ids, comp, block, sigs in tasks(batches):
+        for _, i, j, ids, comp, block, n, sigs in tasks(batches):
             left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
             if i[0] == j[0] and len(ids) == len(left) and (comp == comp[0]).all():
                 continue
             for x in left:
                 y = right[comp[right] != comp[x]]
                 y = y[ids[y] > ids[x]] if i[0] == j[0] else y
+                y = y[100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])]
                 y = y[estimates(sigs[x], sigs[y]) >= ESTIMATE] if len(y) else y
                 if len(y):
                     low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
