@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaportrail.llm import minhash, mixing, secrets, sql, tokens, toxicity
+from vaportrail.llm import minhash, mixing, secrets, sql, tokens, toxicity, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -40,6 +40,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_warc", sql.WARC)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", warc.record_type(F.col("kind")).alias("record_type"), "refers_to")
+
+
 @query("op6_mixture", sql.MIXTURE)
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))

@@ -66,3 +66,26 @@ SELECT doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, rest - base)))::BIGINT AS taken
 FROM placed
 """
+
+# base32 of the SHA-1: each of its 32 digits is 5 of its 160 bits
+WARC = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+              ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+              [instr('0123456789abcdef', hex[i])]), '') AS b
+  FROM p
+), digests AS (
+  SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(0, 32), lambda i:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+             1 + 16 * b[5*i+1]::INT + 8 * b[5*i+2]::INT + 4 * b[5*i+3]::INT + 2 * b[5*i+4]::INT + b[5*i+5]::INT]), '') AS payload_digest
+  FROM bits
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM firsts
+"""
