@@ -89,3 +89,20 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id > first THEN first END AS refers_to
 FROM firsts
 """
+
+# turns of a conversation are numbered from 0 in the table and far fewer than a part holds
+CHAT = r"""
+WITH whole AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns,
+         string_agg('<|im_start|>' || coalesce(nullif(regexp_replace(role, '[^A-Za-z_]', '', 'g'), ''), 'unknown') || chr(10)
+                    || regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g')
+                    || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), prefixes AS (
+  SELECT DISTINCT turns[:k] AS turns FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM whole)
+), distinct_ones AS (
+  SELECT min(conv_id) AS conv_id, n_turns, count(*)::BIGINT AS copies, any_value(rendered) AS rendered
+  FROM whole GROUP BY turns, n_turns HAVING turns NOT IN (SELECT turns FROM prefixes)
+)
+SELECT conv_id, 0::BIGINT AS part, n_turns, copies, rendered FROM distinct_ones
+"""
