@@ -16,10 +16,10 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with a probability of 3e-6
 HASHES = BANDS * ROWS
 BITS = 4  # kept of each minimum
 PERCENT = 80  # linked from this similarity on
-# an estimate deviates by 0.033 at 0.8: six deviations below, one link in 10^9 is passed over
-ESTIMATE = 0.6
+# an estimate deviates by 0.033 at 0.8: five deviations below, one link in three million is passed over
+ESTIMATE = 0.635
 CHUNK = 2048  # shingles hashed at once
-BLOCK = 2048  # members of a bucket compared in one task with as many others
+BLOCK = 1024  # members of a bucket compared at once with as many others
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,44 +196,104 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, found, "a", "comp_a"), found, "b", "comp_b").where("comp_a != comp_b")
 
 
-def bucket_candidates(classes: DataFrame, bands: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b) of all that share a bucket, belong to different components, and pass the estimate.
+def _dealt_buckets(classes: DataFrame, bands: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, dealt to tasks (key, i, j) that compare block i with block j.
 
-    Only buckets that hold several components are looked at. A large bucket is dealt into blocks,
-    and each task compares two blocks; pairs within a component are never made.
+    The members of a bucket's largest component need no comparison with each other: their blocks (numbered below 0) meet
+    only the blocks of the others, which are few in a group of copies.
     """
     labelled = _labelled(bands, found, "class", "comp")
-    open_buckets = (
-        labelled.groupBy("key")
-        .agg(F.count("*").alias("members"), F.min("comp").alias("_c1"), F.max("comp").alias("_c2"))
-        .where("_c1 != _c2")
-        .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    buckets = (
+        sizes.groupBy("key")
+        .agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("members"))
+        .where(F.col("main.n") < F.col("members"))
+        .select(
+            "key",
+            F.col("main.comp").alias("main"),
+            blocks_of(F.col("main.n")).alias("mains"),
+            blocks_of(F.col("members") - F.col("main.n")).alias("others"),
+        )
     )
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    members = (
-        labelled.join(open_buckets, "key")
+    is_main = F.col("comp") == F.col("main")
+    place = F.xxhash64("class")
+    block = F.when(is_main, -1 - F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    meets = F.sequence(F.when(is_main, F.lit(0)).otherwise(-F.col("mains")), F.col("others") - 1)
+    tasks = F.transform(meets, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    return (
+        labelled.join(buckets, "key")
         .withColumn("block", block)
-        .join(classes.select("class", "n", "signature"), "class")
-        .select("key", "class", "comp", "block", "n", "signature", F.explode(others).alias("task"))
-        .select("key", "task.i", "task.j", "class", "comp", "block", "n", "signature")
+        .select("key", "class", "comp", "block", tasks.alias("tasks"))
+        .join(classes.select("class", "n", "signature", "bands"), "class")
     )
 
+
+class _Union(dict):
+    def root(self, x: int) -> int:
+        while (above := self.get(x, x)) != x:
+            x = above
+        return x
+
+
+def _links_between(rows: tuple, hashes: WordHashes) -> Iterator[tuple[int, int]]:
+    """Links that join components of one task: candidates from signatures, confirmed on full sets.
+
+    A pair is looked at in the first bucket that it shares, and only while its components are apart.
+    """
+    key, i, j, ids, comp, block, n, signatures, bands, texts = rows
+    left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+    sets: dict[int, np.ndarray] = {}
+    joined = _Union()
+
+    def full_set(row: int) -> np.ndarray:
+        if row not in sets:
+            sets[row] = shingle_set(texts[row] or "", hashes)
+        return sets[row]
+
+    for x in left:
+        y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
+        y = y[ids[y] > ids[x]] if i[0] == j[0] else y
+        if not len(y):
+            continue
+        like = estimates(signatures[x], signatures[y])
+        y, like = y[like >= ESTIMATE], like[like >= ESTIMATE]
+        shared = bands[y] == bands[x]
+        y, like = (a[shared.argmax(axis=1) == np.argmax(bands[x] == key[0])] for a in (y, like))
+        for z in y[np.argsort(-like, kind="stable")]:
+            a, b = joined.root(int(comp[x])), joined.root(int(comp[z]))
+            if a == b:
+                continue
+            s, t = full_set(x), full_set(z)
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * both >= PERCENT * (len(s) + len(t) - both):
+                joined[a] = b
+                yield int(ids[x]), int(ids[z])
+
+
+def bucket_links(classes: DataFrame, bands: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) that join components: every pair that shares a bucket, is still apart and passes the estimate is tried.
+
+    Pairs are never written out: members travel with their texts to the tasks of a bucket, which give back only links.
+    """
+    members = _dealt_buckets(classes, bands, found).join(texts, F.col("class") == texts["id"])
+    columns = ["key", "i", "j", "class", "comp", "block", "n", "signature", "bands", "text"]
+    dealt = members.withColumn("task", F.explode("tasks")).withColumns({"i": F.col("task.i"), "j": F.col("task.j")})
+
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         """Rows of one task at a time; a task may span batches."""
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
         for batch in batches:
-            numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
-            width = HASHES * BITS // 64
-            signatures = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, width)
-            key, i, j = numbers[:3]
+            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
+            for c, width in ((7, HASHES * BITS // 64), (8, BANDS)):
+                parts.append(batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, width))
+            parts[0] = parts[0].view(np.uint64)
+            parts.append(batch.column(9).to_numpy(zero_copy_only=False))
+            key, i, j = parts[:3]
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            edges = [0, *cuts.tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                part = (*(x[a:b] for x in numbers), signatures[a:b])
-                if held and tuple(x[0] for x in held[0][:3]) != tuple(x[0] for x in part[:3]):
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                part = tuple(x[a:b] for x in parts)
+                if held and tuple(x[0] for x in held[0][:3]) != (key[a], i[a], j[a]):
                     yield tuple(map(np.concatenate, zip(*held, strict=True)))
                     held = []
                 held.append(part)
@@ -241,21 +301,14 @@ def bucket_candidates(classes: DataFrame, bands: DataFrame, found: DataFrame) ->
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, i, j, ids, comp, block, n, sigs in tasks(batches):
-            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-            if i[0] == j[0] and len(ids) == len(left) and (comp == comp[0]).all():
-                continue
-            for x in left:
-                y = right[comp[right] != comp[x]]
-                y = y[ids[y] > ids[x]] if i[0] == j[0] else y
-                y = y[100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])]
-                y = y[estimates(sigs[x], sigs[y]) >= ESTIMATE] if len(y) else y
-                if len(y):
-                    low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+        hashes = WordHashes()
+        for rows in tasks(b for b in batches if b.num_rows):
+            if pairs := list(_links_between(rows, hashes)):
+                a, b = (pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
-    together = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return together.mapInArrow(compare, "a long, b long").distinct()
+    together = dealt.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return together.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +320,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents of equal sets form a class, and one stands for all. Classes that share a band of the MinHash signature are
     candidates if the b-bit estimate allows. First each bucket's members are tried with two of them (the most promising
     pair of every class, then one for each component still apart), which joins large groups of copies without making
-    their pairs; then all candidates that are still in different components are tried. Links are confirmed on full sets.
+    their pairs; then all candidates that are still in different components are tried, bucket by bucket. Links are
+    confirmed on full sets.
 
     Texts that are null, empty or blank have 0 shingles and stay alone. Rows that share an id count as one document when
     linking; rows without id are linked with nothing and have no component but are kept. Other columns are ignored.
@@ -305,9 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(links.unionByName(confirm(across, texts)), "minhash-links")
     found = components(links)
 
-    tested = best.unionByName(across)
-    rest = bucket_candidates(classes, bands, found).join(tested, ["a", "b"], "left_anti")
-    links = stage(links.unionByName(confirm(rest, texts)), "minhash-links")
+    links = stage(links.unionByName(bucket_links(classes, bands, found, texts)), "minhash-links")
     found = components(links)
 
     named = _labelled(classes.select(*same_set, "class"), found, "class", "component")
