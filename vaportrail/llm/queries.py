@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaportrail.llm import chat, decontaminate, minhash, mixing, nearest, secrets, sql, tokens, toxicity, warc
+from vaportrail.llm import chat, decontaminate, minhash, mixing, nearest, pii, secrets, sql, tokens, toxicity, warc
+
+# of the registered query only: a deployment passes its own secret
+PSEUDONYM_KEY = "vaportrail"
 
 QUERIES: dict[str, tuple] = {}
 
@@ -76,3 +79,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_tokens")
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
