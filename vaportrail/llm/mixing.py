@@ -47,6 +47,68 @@ def _seeded(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """Adds _id, _source, _size and _place, the seeded place of a document in its source."""
+    return docs.withColumns(
+        {
+            "_id": docs[id_col],
+            "_source": docs[source_col],
+            "_size": word_count(docs[text_col]),
+            "_place": _seeded(docs[id_col], seed),
+        }
+    )
+
+
+def _mix_ends(sizes: DataFrame, weights: list[int], share: float, max_epochs: int) -> DataFrame:
+    """One row per source: its target, whole repetitions, and the slice in which the rest of the target is met.
+
+    Running sums are taken over the slices of each source, so no task sorts a source.
+    """
+    # one row per source; few enough to sort, and written so that its readers know its size
+    named = sizes.select(F.col("_source").alias("source"), F.col("_size").alias("size"))
+    targets = stage(source_targets(named, weights, share, max_epochs), "mixing-targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = targets.withColumn("whole", whole).withColumn(
+        "rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")
+    )
+    slices = sizes.groupBy("_source", _slice().alias("slice")).agg(F.sum("_size").alias("slice_size"))
+    before = Window.partitionBy("_source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = slices.withColumn("base", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
+    reached = F.when(F.col("base") <= F.col("rest"), F.struct("slice", (F.col("rest") - F.col("base")).alias("left")))
+    ends = (
+        bases.join(targets, bases["_source"].eqNullSafe(targets["source"]))
+        .groupBy("source", "source_size", "target", "whole", "rest")
+        .agg(F.max(reached).alias("end"))
+    )
+    return stage(ends.drop("rest"), "mixing-ends")
+
+
+def _slice() -> Column:
+    return F.substring("_place", 1, 3)
+
+
+def _taken(measured: DataFrame, ends: DataFrame) -> DataFrame:
+    """Adds source_size, target and _taken. Only documents of the slice where a source's rest ends are sorted."""
+    keep = [F.col(c) for c in measured.columns]
+    placed = measured.join(ends, measured["_source"].eqNullSafe(ends["source"])).select(
+        *[measured[c] for c in measured.columns], "source_size", "target", "whole", "end"
+    )
+    whole = F.col("whole") * F.col("_size")
+    in_end = Window.partitionBy("_source", "_cut").orderBy("_place", "_id", "_size")
+    earlier = in_end.rowsBetween(Window.unboundedPreceding, -1)
+    sure = placed.where(_slice() != F.col("end.slice")).withColumn(
+        "_taken", whole + F.when(_slice() < F.col("end.slice"), F.col("_size")).otherwise(0)
+    )
+    left = F.col("end.left") - F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    last = (
+        placed.where(_slice() == F.col("end.slice"))
+        .withColumn("_cut", _slice())
+        .withColumn("_taken", whole + F.greatest(F.lit(0), F.least(F.col("_size"), left)))
+    )
+    out = [*keep, F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("_taken")]
+    return sure.select(*out).unionByName(last.select(*out))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -64,71 +126,44 @@ def mix_sources(
     source's taken words thus equal its target rounded down, no document is taken more than ``max_epochs`` times, and
     equal inputs give equal mixes.
 
-    Running sums are taken over 4096 slices of each source and then inside the one slice where the target is met, so no
-    task sorts a source. Null texts have size 0 and are taken 0 words; rows without source form a source of their own,
-    the last; repeated rows are separate documents; an empty table gives none; other columns are ignored.
+    Null texts have size 0 and are taken 0 words; rows without source form a source of their own, the last; repeated
+    rows are separate documents; an empty table gives none; other columns are ignored.
     """
-    sizes = stage(
-        docs.select(
-            docs[id_col].alias("id"),
-            docs[source_col].alias("source"),
-            word_count(docs[text_col]).alias("size"),
-            _seeded(docs[id_col], seed).alias("place"),
-        ),
-        "mixing-sizes",
+    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    sizes = stage(_measured(slim, "id", "text", "source", seed).drop("id", "text", "source"), "mixing-sizes")
+    mixed = _taken(sizes, _mix_ends(sizes, weights, share, max_epochs))
+    return mixed.select(
+        F.col("_id").alias(id_col),
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_taken").alias("taken"),
     )
-    # one row per source; few enough to sort, and written so that its readers know its size
-    targets = stage(source_targets(sizes, weights, share, max_epochs), "mixing-targets")
-    targets = targets.withColumns(
-        {
-            "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"),
-        }
-    ).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
-    slice_of = F.substring("place", 1, 3)
-    slices = sizes.groupBy("source", slice_of.alias("slice")).agg(F.sum("size").alias("slice_size"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slices.withColumn("base", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    # one row per source: the slice in which its rest ends, and what is left at the slice's start
-    ends = stage(
-        bases.join(targets, same(bases, targets))
-        .select(targets["*"], "slice", "base", "slice_size")
-        .groupBy("source", "source_size", "target", "whole", "rest")
-        .agg(
-            F.max(
-                F.when(F.col("base") <= F.col("rest"), F.struct(F.col("slice"), (F.col("rest") - F.col("base")).alias("left")))
-            ).alias("end")
-        ),
-        "mixing-ends",
-    )
-    placed = sizes.withColumn("slice", slice_of).join(ends, same(sizes, ends)).drop(ends["source"])
-    in_end = Window.partitionBy("source", "slice").orderBy("place", "id", "size")
-    earlier = in_end.rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.col("whole") * F.col("size")
-    out = [F.col("id").alias(id_col), "size", "source_size", "target"]
-    sure = placed.where(F.col("slice") != F.col("end.slice")).select(
-        *out, (whole + F.when(F.col("slice") < F.col("end.slice"), F.col("size")).otherwise(0)).alias("taken")
-    )
-    left = F.col("end.left") - F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    last = placed.where(F.col("slice") == F.col("end.slice")).select(
-        *out, (whole + F.greatest(F.lit(0), F.least(F.col("size"), left))).alias("taken")
-    )
-    return sure.unionByName(last)
 
 
-def take_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: a document's row once for each whole repetition, and its first words for a part of one.
+def take_mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: list[int] = WEIGHTS,
+    share: float = 1.0,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = 0,
+) -> DataFrame:
+    """The mix of :func:`mix_sources` itself: a document's row once for each whole repetition, and its first words for a
+    part of one. Documents of which nothing is taken go.
 
-    Adds ``epoch``, counted from 0, and ``epoch_words``. Ids must be unique. Documents of which nothing is taken go.
+    Adds ``epoch``, counted from 0, and ``epoch_words``; columns of these names are replaced. Texts are not shuffled,
+    but for the slices in which targets are met.
     """
-    plan = mix.where(F.col("taken") > 0).select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    measured = _measured(docs.drop("epoch", "epoch_words"), id_col, text_col, source_col, seed)
+    sizes = stage(measured.select("_id", "_source", "_size", "_place"), "mixing-sizes")
+    mixed = _taken(measured, _mix_ends(sizes, weights, share, max_epochs)).where(F.col("_taken") > 0)
     size = F.col("_size")
-    epochs = F.sequence(F.lit(0).cast("long"), F.expr("(_taken - 1) div _size"))
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"])).withColumn("epoch", F.explode(epochs))
+    rows = mixed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_taken - 1) div _size"))))
     words = F.least(size, F.col("_taken") - F.col("epoch") * size)
     part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), F.lit(1), words.cast("int")), " ")
     return rows.withColumns(
         {"epoch_words": words, text_col: F.when(words < size, part).otherwise(F.col(text_col))}
-    ).drop("_id", "_size", "_taken")
-
-
+    ).drop("_id", "_source", "_size", "_place", "_source_size", "_target", "_taken")
