@@ -182,7 +182,8 @@ def _odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> tuple[Col
     """Log-odds with an informative Dirichlet prior of the pooled frequencies, and its z-score."""
     prior = (toxic + clean) * (PRIOR / (n_toxic + n_clean))
     a, b = toxic + prior, clean + prior
-    odds = F.log(a / (n_toxic + PRIOR - a)) - F.log(b / (n_clean + PRIOR - b))
+    without = lambda n, held: F.greatest(F.lit(0.5), n + PRIOR - held)  # noqa: E731  a token may be in every document
+    odds = F.log(a / without(n_toxic, a)) - F.log(b / without(n_clean, b))
     return odds, odds / F.sqrt(1 / a + 1 / b)
 
 
