@@ -149,14 +149,17 @@ def star_candidates(classes: DataFrame, bands: DataFrame) -> DataFrame:
     )
 
 
-def _stored_by_id(texts: DataFrame, name: str) -> DataFrame:
-    """Stores (id, text) bucketed by id: the joins of every confirming round find texts in place."""
+def _stored_by_id(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Stores (id, text) of some ids bucketed by id: the joins of every confirming round find texts in place.
+
+    Texts move once: dealt by id, they meet the ids and are written from there.
+    """
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(n, "id").join(ids, "id", "left_semi")
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     (
-        texts.repartition(n, "id")
-        .write.bucketBy(n, "id")
+        texts.write.bucketBy(n, "id")
         .sortBy("id")
         .option("path", new_stage_path(spark, name))
         .format("parquet")
@@ -236,21 +239,44 @@ class _Union(dict):
         return x
 
 
-def _links_between(rows: tuple, hashes: WordHashes) -> Iterator[tuple[int, int]]:
-    """Links that join components of one task: candidates from signatures, confirmed on full sets.
+_MEMBER = "key long, i int, j int, class long, comp long, block int, n long, signature array<long>, bands array<long>"
+
 
-    A pair is looked at in the first bucket that it shares, and only while its components are apart.
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of one (key, i, j) at a time, as arrays by column and one table; a task may span batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
+        for c, width in ((7, HASHES * BITS // 64), (8, BANDS)):
+            parts.append(batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, width))
+        key, i, j = parts[:3]
+        parts[0] = key.view(np.uint64)
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            part = (*(x[a:b] for x in parts), batch.slice(a, b - a))
+            if held and tuple(x[0] for x in held[0][:3]) != tuple(x[0] for x in part[:3]):
+                yield _joined(held)
+                held = []
+            held.append(part)
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple:
+    *arrays, rows = zip(*held, strict=True)
+    return (*map(np.concatenate, arrays), pa.Table.from_batches(rows))
+
+
+def _likely(task: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of block i and the rows of block j to try it with, the likeliest first.
+
+    These belong to other components, have a fitting size, pass the estimate, and share no earlier band: a pair is tried
+    in one bucket only.
     """
-    key, i, j, ids, comp, block, n, signatures, bands, texts = rows
+    key, i, j, ids, comp, block, n, signatures, bands, _ = task
     left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-    sets: dict[int, np.ndarray] = {}
-    joined = _Union()
-
-    def full_set(row: int) -> np.ndarray:
-        if row not in sets:
-            sets[row] = shingle_set(texts[row] or "", hashes)
-        return sets[row]
-
     for x in left:
         y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
         y = y[ids[y] > ids[x]] if i[0] == j[0] else y
@@ -258,57 +284,74 @@ def _links_between(rows: tuple, hashes: WordHashes) -> Iterator[tuple[int, int]]
             continue
         like = estimates(signatures[x], signatures[y])
         y, like = y[like >= ESTIMATE], like[like >= ESTIMATE]
-        shared = bands[y] == bands[x]
-        y, like = (a[shared.argmax(axis=1) == np.argmax(bands[x] == key[0])] for a in (y, like))
-        for z in y[np.argsort(-like, kind="stable")]:
+        first = (bands[y] == bands[x]).argmax(axis=1) == np.argmax(bands[x] == key[0])
+        y, like = y[first], like[first]
+        if len(y):
+            yield x, y[np.argsort(-like, kind="stable")]
+
+
+class _Union(dict):
+    def root(self, x: int) -> int:
+        while (above := self.get(x, x)) != x:
+            x = above
+        return x
+
+
+def _links_between(task: tuple, hashes: WordHashes) -> Iterator[tuple[int, int]]:
+    """Links on full sets that join components of one task; pairs are tried only while their components are apart."""
+    ids, comp, texts = task[3], task[4], task[-1]["text"]
+    sets: dict[int, np.ndarray] = {}
+    joined = _Union()
+
+    def full_set(row: int) -> np.ndarray:
+        if row not in sets:
+            sets[row] = shingle_set(texts[row].as_py() or "", hashes)
+        return sets[row]
+
+    for x, others in _likely(task):
+        for z in others.tolist():
             a, b = joined.root(int(comp[x])), joined.root(int(comp[z]))
             if a == b:
                 continue
-            s, t = full_set(x), full_set(z)
+            s, t = full_set(int(x)), full_set(z)
             both = len(np.intersect1d(s, t, assume_unique=True))
             if 100 * both >= PERCENT * (len(s) + len(t) - both):
                 joined[a] = b
                 yield int(ids[x]), int(ids[z])
 
 
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have anything to be tried with in their task."""
+    for task in _tasks(batches):
+        hit = np.zeros(len(task[0]), bool)
+        for x, others in _likely(task):
+            hit[x] = True
+            hit[others] = True
+        if hit.any():
+            yield from task[-1].filter(pa.array(hit)).to_batches()
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for task in _tasks(batches):
+        if pairs := list(_links_between(task, hashes)):
+            a, b = (pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+
 def bucket_links(classes: DataFrame, bands: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) that join components: every pair that shares a bucket, is still apart and passes the estimate is tried.
 
-    Pairs are never written out: members travel with their texts to the tasks of a bucket, which give back only links.
+    Pairs are never written out. Members meet first with their signatures alone; those that have a partner to be tried
+    with meet again with their texts, and only links come back.
     """
-    members = _dealt_buckets(classes, bands, found).join(texts, F.col("class") == texts["id"])
-    columns = ["key", "i", "j", "class", "comp", "block", "n", "signature", "bands", "text"]
-    dealt = members.withColumn("task", F.explode("tasks")).withColumns({"i": F.col("task.i"), "j": F.col("task.j")})
-
-    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        """Rows of one task at a time; a task may span batches."""
-        held: list[tuple] = []
-        for batch in batches:
-            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(7)]
-            for c, width in ((7, HASHES * BITS // 64), (8, BANDS)):
-                parts.append(batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, width))
-            parts[0] = parts[0].view(np.uint64)
-            parts.append(batch.column(9).to_numpy(zero_copy_only=False))
-            key, i, j = parts[:3]
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                part = tuple(x[a:b] for x in parts)
-                if held and tuple(x[0] for x in held[0][:3]) != (key[a], i[a], j[a]):
-                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                    held = []
-                held.append(part)
-        if held:
-            yield tuple(map(np.concatenate, zip(*held, strict=True)))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for rows in tasks(b for b in batches if b.num_rows):
-            if pairs := list(_links_between(rows, hashes)):
-                a, b = (pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
-    together = dealt.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return together.mapInArrow(compare, "a long, b long")
+    task = ["key", "i", "j"]
+    members = _dealt_buckets(classes, bands, found).withColumn("task", F.explode("tasks"))
+    members = members.select("key", "task.i", "task.j", "class", "comp", "block", "n", "signature", "bands")
+    likely = members.repartition(*task).sortWithinPartitions(*task).mapInArrow(_with_partner, _MEMBER)
+    likely = stage(likely, "minhash-likely")
+    together = likely.join(texts.withColumnRenamed("id", "class"), "class").select(*likely.columns, "text")
+    return together.repartition(*task).sortWithinPartitions(*task).mapInArrow(_confirmed, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,10 +388,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = stage(best, "minhash-pairs")
 
     in_buckets = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    texts = _stored_by_id(
-        docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(in_buckets, "id", "left_semi"),
-        "minhash_texts",
-    )
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    texts = _stored_by_id(texts, in_buckets, "minhash_texts")
     links = stage(confirm(best, texts), "minhash-links")
     found = components(links)
 
