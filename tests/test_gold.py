@@ -68,18 +68,18 @@ def test_forecast_on_a_straight_line(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_percentiles_match_numpy(spark, n, small):
+@pytest.mark.parametrize("band", [0, 10_000])
+def test_percentiles_match_numpy(spark, n, band):
     values = np.random.default_rng(n).normal(size=n).round(2)
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = percentiles.exact_percentiles(df, "x", [0.05, 0.5, 0.9, 0.0, 1.0], small=small)
+    got = percentiles.exact_percentiles(df, "x", [0.05, 0.5, 0.9, 0.0, 1.0], band=band)
     assert got == pytest.approx(np.percentile(values, [5, 50, 90, 0, 100]))
 
 
 def test_percentiles_with_heavy_ties(spark):
     values = [1.0] * 700 + [2.0] * 290 + [3.0] * 10
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    assert percentiles.exact_percentiles(df, "x", [0.5, 0.7, 0.99], small=0) == pytest.approx(np.percentile(values, [50, 70, 99]))
+    assert percentiles.exact_percentiles(df, "x", [0.5, 0.7, 0.99], band=0) == pytest.approx(np.percentile(values, [50, 70, 99]))
 
 
 def test_audit(spark):
@@ -121,18 +121,25 @@ def test_forest_is_the_same_for_any_partitioning_and_after_reload(spark, tmp_pat
         model = anomaly.fit_detector(part)
         scores.append({r["flight_id"]: r["anomaly_score"] for r in model.score(part).collect()})
     assert scores[0] == pytest.approx(scores[1])
-    model.save(str(tmp_path / "m"))
+    for _ in range(2):  # a second save replaces the first
+        model.save(str(tmp_path / "m"))
+    other = anomaly.fit_detector(part, trees=5, version="1.0.1")
+    other.save(str(tmp_path / "m"))
+    assert {r["flight_id"]: r["anomaly_score"] for r in model.score_trained().collect()} == pytest.approx(scores[1])
     again = anomaly.Detector.load(spark, str(tmp_path / "m")).score(part)
     assert {r["flight_id"]: r["anomaly_score"] for r in again.collect()} == pytest.approx(scores[1])
 
 
-def test_forest_deals_out_one_pool_when_there_is_enough(spark):
+def test_every_tree_draws_its_own_rows(spark):
     from vaportrail.operators import forest
 
-    df = spark.range(1000).select(F.format_string("f%05d", "id").alias("flight_id"), F.rand(1).alias("x"))
-    dealt = forest.tree_samples(df, "flight_id", 1000, trees=10, size=32).collect()
+    df = spark.range(20_000).select(F.format_string("f%05d", "id").alias("flight_id"), F.rand(1).alias("x"))
+    dealt = forest.tree_samples(df, "flight_id", 20_000, trees=10, size=32).collect()
     sizes = np.bincount([r["tree"] for r in dealt])
-    assert list(sizes) == [32] * 10 and len({r["flight_id"] for r in dealt}) == 320
+    assert list(sizes) == [32] * 10 and 280 < len({r["flight_id"] for r in dealt})
+    # the threshold only saves ranking: without it the same rows are drawn
+    everything = forest.tree_samples(df, "flight_id", 1, trees=10, size=32).collect()
+    assert {(r["tree"], r["flight_id"]) for r in everything} == {(r["tree"], r["flight_id"]) for r in dealt}
     own = forest.tree_samples(df.limit(100), "flight_id", 100, trees=10, size=32)
     assert {r["tree"]: r["n"] for r in own.groupBy("tree").agg(F.countDistinct("flight_id").alias("n")).collect()} == {i: 32 for i in range(10)}
 

@@ -61,6 +61,38 @@ def test_directory_ingest_isolates_bad_files(spark, folder, tmp_path):
     assert tables.load_bronze(spark, out).count() == 4
 
 
+def test_malformed_lines_and_missing_ids_are_counted(spark, tmp_path):
+    f = tmp_path / "odd"
+    f.mkdir()
+    lines = [HEAD, csv_line(MIDNIGHT), csv_line(MIDNIGHT + 1) + ",7,8", "5,abc,1.0", csv_line(MIDNIGHT + 2, icao="")]
+    (f / "2026-01-15.csv").write_text("\n".join(lines) + "\n")
+    got = bronze.ingest_archives(spark, str(f), str(tmp_path / "bronze")).first()
+    assert (got["total_rows"], got["malformed_rows"], got["rows_without_id"]) == (4, 2, 1)
+
+
+def test_undated_files_are_stored_once_whatever_the_day(spark, tmp_path):
+    f, out = tmp_path / "undated", str(tmp_path / "bronze")
+    f.mkdir()
+    (f / "feed.csv").write_text("\n".join([HEAD, csv_line(MIDNIGHT), csv_line(MIDNIGHT + 1)]) + "\n")
+    batch = archives.open_files(spark, [str(f / "feed.csv")])
+    # as if it had been stored the day before
+    tables.append_bronze(batch.bronze.withColumn("date", F.date_sub(F.current_date(), 1)), out)
+    assert bronze.ingest_archives(spark, str(f), out).count() == 0
+    assert tables.load_bronze(spark, out).count() == 2
+
+
+def test_trace_statistics_keep_dates_apart(spark, tmp_path):
+    point = [10, 1, 2, 3000, 5, 5, 0, 0, None]
+    for day, body in (("2026-01-15", {"trace": [point] * 4}), ("2026-01-16", None)):
+        folder = tmp_path / "in" / day
+        folder.mkdir(parents=True)
+        (folder / "trace_full_a1.json").write_bytes(json.dumps(body).encode() if body else b"{broken")
+    out = str(tmp_path / "bronze")
+    for _ in range(2):
+        assert tuple(bronze.ingest_traces(spark, str(tmp_path / "in"), out).first()) == (1, 1, 4)
+    assert tables.load_bronze(spark, out).count() == 4
+
+
 def test_first_row_of_a_file_wins(spark, tmp_path):
     f = tmp_path / "one"
     f.mkdir()
@@ -71,7 +103,7 @@ def test_first_row_of_a_file_wins(spark, tmp_path):
 
     kept = clean_reports(tables.load_bronze(spark, out), tables.FILE_ORDER).collect()
     assert [r["altitude"] for r in kept] == [3.0]
-    assert "_file_row" not in kept[0].asDict()
+    assert "_source_row" not in kept[0].asDict()
 
 
 def test_bronze_schema_is_enforced(spark, folder, tmp_path):

@@ -174,3 +174,15 @@ def test_result_does_not_depend_on_partitioning(spark):
         seen.append(sorted((r["flight_id"], r["distance_nm"], len(r["points"])) for r in flights.collect()))
     spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert seen[0] == seen[1]
+
+
+def test_flights_read_their_reports_once(spark, tmp_path):
+    from vaportrail.operators import clean
+    from vaportrail.sources import tables
+
+    path = str(tmp_path / "bronze")
+    tables.append_bronze(frame(spark, [report(MIDNIGHT + t) for t in range(0, 300, 10)]), path)
+    flights = tracks.build_trajectories(clean.clean_reports(tables.load_bronze(spark, path), tables.FILE_ORDER))
+    assert flights.count() == 1 and flights.collect()
+    plan = flights._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan

@@ -1,8 +1,7 @@
 """Default parameters. Results depend on them."""
 
 TRAINING_DAYS = 15
-MAX_TRAINING_DAYS = 30
-BRONZE_ROWS_PER_FILE = 100_000
+BRONZE_ROWS_PER_FILE = 5_000_000  # a few hundred megabytes
 RESAMPLE_STEP_SEC = 10
 MAX_GAP_SEC = 300
 GRID_DEG = 0.5

@@ -29,6 +29,7 @@ FEATURES = [
     "climb_count",
     "descent_count",
 ]
+# Also fixed: the texts of an explanation in with_explanation.
 MODEL_ID = "anomaly_001"
 MODEL_VERSION = "1.0.0"
 
@@ -97,15 +98,22 @@ def with_explanation(features: DataFrame, stats: dict[str, tuple]) -> DataFrame:
 
 @dataclass
 class Detector:
-    """A trained model: three small tables."""
+    """A trained model: three small tables. ``trained_on`` are its training rows with their isolation."""
 
     nodes: DataFrame
     scaler: DataFrame
     meta: DataFrame
+    trained_on: DataFrame | None = None
 
-    def save(self, path: str, mode: str = "append") -> None:
+    def save(self, path: str) -> None:
+        """Stores this version, in place of what was stored under it; other versions stay."""
         for name, table in (("nodes", self.nodes), ("scaler", self.scaler), ("meta", self.meta)):
-            table.write.mode(mode).partitionBy("model_id", "version").parquet(f"{path}/{name}")
+            (
+                table.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("model_id", "version")
+                .parquet(f"{path}/{name}")
+            )
 
     @classmethod
     def load(
@@ -130,11 +138,17 @@ class Detector:
     def score(self, features: DataFrame) -> DataFrame:
         """Adds ``anomaly_score`` in 0..1, ``anomaly_type`` and ``explanation``."""
         stats = self.stats()
-        offset = self.meta.first()["offset"]
-        decision = self.isolation_column(stats) - F.lit(offset)
-        scored = features.withColumn(
+        return self._explained(features.withColumn("_isolation", self.isolation_column(stats)), stats)
+
+    def score_trained(self) -> DataFrame:
+        """:meth:`score` of the training rows, whose isolation is known."""
+        return self._explained(self.trained_on, self.stats())
+
+    def _explained(self, isolated: DataFrame, stats: dict[str, tuple]) -> DataFrame:
+        decision = F.col("_isolation") - F.lit(self.meta.first()["offset"])
+        scored = isolated.withColumn(
             "anomaly_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) - decision))
-        )
+        ).drop("_isolation")
         return with_explanation(scored, stats)
 
 
@@ -145,13 +159,14 @@ def fit_detector(
     contamination: float = FOREST_CONTAMINATION,
     min_flights: int = MIN_TRAINING_FLIGHTS,
     trained_at: Column | None = None,
+    version: str = MODEL_VERSION,
 ) -> Detector | None:
     """Train on a stored table of :func:`flight_features`; None below ``min_flights``."""
     total = features.count()
     if total < min_flights:
         return None
     size = min(subsample, total)
-    identity = {"model_id": F.lit(MODEL_ID), "version": F.lit(MODEL_VERSION)}
+    identity = {"model_id": F.lit(MODEL_ID), "version": F.lit(version)}
     scales = stage(scaler(features).withColumns(identity), "scaler")
     detector = Detector(nodes=None, scaler=scales, meta=None)
     stats = detector.stats()
@@ -159,8 +174,8 @@ def fit_detector(
     samples = tree_samples(scaled, "flight_id", total, trees, size)
     detector.nodes = stage(grow_forest(samples, "flight_id", FEATURES, size).withColumns(identity), "forest")
     detector.meta = features.limit(1).select(F.lit(size).alias("subsample"))
-    scores = stage(features.select(detector.isolation_column(stats).alias("s")), "scores")
-    offset = exact_percentiles(scores, "s", [contamination])[0]
+    detector.trained_on = stage(features.withColumn("_isolation", detector.isolation_column(stats)), "isolation")
+    offset = exact_percentiles(detector.trained_on, "_isolation", [contamination])[0]
     detector.meta = stage(
         features.limit(1).select(
             F.lit(size).alias("subsample"),

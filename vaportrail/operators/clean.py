@@ -39,10 +39,31 @@ def clean_reports(bronze: DataFrame, order: list[str] | None = None) -> DataFram
     """Valid reports, one per aircraft and second. Filters run before the choice of the first row."""
     order = order or ["_source_file"]
     cleaned = keep_first(bronze.where(valid_report()), order)
-    extra = [c for c in order if c.startswith("_file_")]
+    extra = [c for c in order if c in ("_source_block", "_source_row")]
     return cleaned.drop(*extra)
 
 
+def rejection() -> Column:
+    """Why a report is left out: the first of its faults, null for a valid one."""
+    altitude, speed = F.col("altitude"), F.col("velocity")
+    outside = lambda c, bounds: ~(c.isNull() | F.isnan(c) | c.between(*bounds))
+    missing = lambda c: c.isNull() | F.isnan(c)
+    return (
+        F.when(F.col("icao24").isNull(), "no aircraft id")
+        .when(F.col("timestamp").isNull(), "no time")
+        .when(missing(F.col("latitude")) | missing(F.col("longitude")), "no position")
+        .when(~(F.col("latitude").between(*LAT_RANGE) & F.col("longitude").between(*LON_RANGE)), "position out of range")
+        .when(outside(altitude, ALT_RANGE), "altitude out of range")
+        .when(outside(speed, SPEED_RANGE), "speed out of range")
+    )
+
+
+def quarantine(bronze: DataFrame) -> DataFrame:
+    """Reports left out by :func:`valid_report`, counted by date and reason."""
+    faulty = bronze.select("date", rejection().alias("reason")).where("reason is not null")
+    return faulty.groupBy("date", "reason").agg(F.count("*").alias("rows"))
+
+
 def retention(bronze: DataFrame) -> DataFrame:
     """Rows in, rows kept and percentage kept per date, from one pass that pre-aggregates by report."""
     reports = bronze.groupBy(*REPORT).agg(

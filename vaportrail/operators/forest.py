@@ -31,17 +31,18 @@ def average_path(n):
 def tree_samples(
     df: DataFrame, key: str, total: int, trees: int = FOREST_TREES, size: int = FOREST_SUBSAMPLE, seed: int = FOREST_SEED
 ) -> DataFrame:
-    """``size`` rows per tree, picked by hash order: the same rows whatever the partitioning.
+    """``size`` rows per tree (all, if fewer), drawn for each tree on its own by a hash of row and tree.
 
-    With enough rows, the first trees * size rows of one hash order are dealt out. With fewer, the table itself is
-    small and every tree takes its own hash order.
+    The rows are the same whatever the partitioning. A threshold on the hash leaves a few more than wanted, eight
+    deviations of their number, so that only those are ranked: trees * size rows and some, however long the table is.
     """
-    if total >= trees * size:
-        pool = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("_h", key).limit(trees * size)
-        place = F.row_number().over(Window.orderBy("_h", key)) - 1
-        return pool.withColumn("tree", (place % trees).cast("int")).drop("_h")
-    spread = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), key)
+    likely = min(1.0, (size + 8 * math.sqrt(size) + 64) / max(total, 1))
+    drawn = lambda t: F.xxhash64(F.col(key), t, F.lit(seed))
+    trees_of = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(drawn(t), F.lit(1 << 40)) <= F.lit(int(likely * (1 << 40)))
+    )
+    spread = df.withColumn("tree", F.explode(trees_of))
+    order = Window.partitionBy("tree").orderBy(F.pmod(drawn(F.col("tree")), F.lit(1 << 40)), key)
     return spread.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= size).drop("_place")
 
 

@@ -7,8 +7,8 @@ from vaportrail.defaults import MAX_LIVE_PLANES, MAX_PATH_PAIRS
 from vaportrail.functions.geo import initial_bearing
 
 
-def live_planes(predictions: DataFrame, anomalies: DataFrame, limit: int = MAX_LIVE_PLANES) -> DataFrame:
-    """One row per flight: position from its furthest forecast, heading over its forecasts, route-anomaly flag.
+def live_planes(predictions: DataFrame, anomalies: DataFrame, limit: int | None = MAX_LIVE_PLANES) -> DataFrame:
+    """One row per flight of the first ``limit`` ids, or of all with None: position from its furthest forecast, heading over its forecasts, route-anomaly flag.
 
     Route anomalies also carry both paths and the gap between their ends.
     """
@@ -20,11 +20,11 @@ def live_planes(predictions: DataFrame, anomalies: DataFrame, limit: int = MAX_L
         F.when(actual.isNotNull(), F.struct(*[actual[f].alias(f) for f in fields])).alias("actual"),
         F.when(guess.isNotNull(), F.struct(*[guess[f].alias(f) for f in fields])).alias("guess"),
     )
-    flights = (
-        rows.groupBy("flight_id")
-        .agg(F.sort_array(F.collect_list(F.struct("horizon_sec", "actual", "guess"))).alias("legs"))
-        .orderBy("flight_id")
-        .limit(limit)
+    if limit is not None:  # ids alone are sorted; only the legs of the chosen ones are gathered
+        chosen = predictions.select("flight_id").distinct().orderBy("flight_id").limit(limit)
+        rows = rows.join(chosen, "flight_id", "left_semi")
+    flights = rows.groupBy("flight_id").agg(
+        F.sort_array(F.collect_list(F.struct("horizon_sec", "actual", "guess"))).alias("legs")
     )
     first, last = F.get("legs", F.lit(0)), F.try_element_at("legs", F.lit(-1))
     start, end = F.coalesce(first["actual"], first["guess"]), F.coalesce(last["actual"], last["guess"])
@@ -66,9 +66,9 @@ def live_planes(predictions: DataFrame, anomalies: DataFrame, limit: int = MAX_L
     )
 
 
-def path_pairs(predictions: DataFrame, limit: int = MAX_PATH_PAIRS) -> DataFrame:
+def path_pairs(predictions: DataFrame, limit: int | None = MAX_PATH_PAIRS) -> DataFrame:
     """Predicted and actual path of the first forecasts, where both exist, and the segment between their ends."""
-    head = predictions.orderBy("flight_id", "horizon_sec").limit(limit)
+    head = predictions if limit is None else predictions.orderBy("flight_id", "horizon_sec").limit(limit)
     end_of = {n: F.try_element_at(F.col(n), F.lit(-1)) for n in ("predicted_points", "actual_points")}
     return head.where((F.size("predicted_points") > 0) & (F.size("actual_points") > 0)).select(
         "flight_id",

@@ -39,7 +39,9 @@ def flight_bases(starts: DataFrame) -> DataFrame:
     space is its upper bound, however many reports there are.
     """
     before = Window.partitionBy("date").orderBy("icao24").rowsBetween(Window.unboundedPreceding, -1)
-    counts = starts.groupBy("date", "icao24").agg(F.count("*").alias("n"))
+    seen = [F.bit_xor(c).isNotNull() for c in starts.columns if c == "_whole"]  # true; see with_flight_numbers
+    counts = starts.groupBy("date", "icao24").agg(F.count("*").alias("n"), *[c.alias("_seen") for c in seen])
+    counts = counts.where("_seen") if seen else counts
     return counts.select("date", "icao24", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 

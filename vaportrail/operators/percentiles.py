@@ -1,49 +1,34 @@
 """Exact percentiles (linear interpolation between order statistics) at any size."""
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-SMALL = 1_000_000
+BAND = 1_000_000  # values among which a percentile is finally taken
 ACCURACY = 100_000
 
 
-def exact_percentiles(df: DataFrame, column: str, qs: list[float], small: int = SMALL) -> list[float | None]:
+def exact_percentiles(df: DataFrame, column: str, qs: list[float], band: int = BAND) -> list[float | None]:
     """Percentiles ``qs`` (0..1) of a non-null double column of a stored table.
 
-    Small columns use the built-in. For larger ones a sketch brackets each wanted rank to a band of a few
-    hundred-thousandths of the rows; only the band's distinct values, with their counts, are then ordered.
+    A sketch brackets the wanted rank, values outside are counted and left out, and so on until at most ``band`` values
+    are left, among which the built-in finds the percentile exactly. Each turn leaves a few hundred-thousandths.
     """
     values = df.select(F.col(column).cast("double").alias("x"))
     total = values.count()
-    if total == 0:
-        return [None for _ in qs]
-    if total <= small:
-        return list(values.agg(F.percentile("x", F.array(*[F.lit(float(q)) for q in qs]))).first()[0])
-    return [_banded(values, total, q) for q in qs]
-
-
-def _banded(values: DataFrame, total: int, q: float, accuracy: int = ACCURACY) -> float:
-    position = q * (total - 1)
-    rank, part = math.floor(position), position - math.floor(position)
-    margin = 3.0 / accuracy
-    ends = [max(0.0, q - margin), min(1.0, q + margin)]
-    low, high = values.agg(F.percentile_approx("x", ends, accuracy)).first()[0]
-    below, inside = values.agg(
-        F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))
-    ).first()
-    if below > rank:  # the sketch missed: open the band on that side
-        low, below = -math.inf, 0
-        inside = total
-    if below + inside < min(rank + 2, total):
-        high = math.inf
-    counted = values.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n"))
-    running = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    upto = counted.withColumn("upto", running + F.lit(below))
-    first, second = upto.agg(
-        F.min(F.when(F.col("upto") >= rank + 1, F.col("x"))),
-        F.min(F.when(F.col("upto") >= min(rank + 2, total), F.col("x"))),
-    ).first()
-    return first + (second - first) * part
+    return [_narrowed(values, total, q, band) if total else None for q in qs]
+
+
+def _narrowed(values: DataFrame, total: int, q: float, band: int) -> float:
+    position, below, inside = q * (total - 1), 0, total
+    margin = 3.0 / ACCURACY
+    while inside > max(band, 2):
+        place = (position - below) / (inside - 1)
+        around = margin + 2.0 / inside  # room for both neighbours of a place between two ranks
+        ends = [max(0.0, place - around), min(1.0, place + around)]
+        low, high = values.agg(F.percentile_approx("x", ends, ACCURACY)).first()[0]
+        less, within = values.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
+        if within == inside:  # few distinct values: nothing left to narrow
+            break
+        values, below, inside = values.where(F.col("x").between(low, high)), below + less, within
+    place = (position - below) / max(inside - 1, 1)
+    return values.agg(F.percentile("x", F.lit(float(place)))).first()[0]

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaportrail.defaults import MAX_TRAINING_DAYS, TRAINING_DAYS
+from vaportrail.defaults import TRAINING_DAYS
 from vaportrail.functions.text import flight_date_text
 from vaportrail.operators.anomaly import MODEL_ID, MODEL_VERSION
 
@@ -14,7 +14,6 @@ PLACEHOLDER_AUC = 0.85
 
 def training_window(dated: DataFrame, days: int = TRAINING_DAYS) -> DataFrame:
     """One row: the last ``days`` days up to the latest date, not before the first date."""
-    days = min(days, MAX_TRAINING_DAYS)
     return (
         dated.agg(F.min("date").alias("first"), F.max("date").alias("training_end"))
         .where(F.col("training_end").isNotNull())
@@ -23,7 +22,9 @@ def training_window(dated: DataFrame, days: int = TRAINING_DAYS) -> DataFrame:
     )
 
 
-def model_metadata(window: DataFrame, trained_at: Column, with_detector: bool = True) -> DataFrame:
+def model_metadata(
+    window: DataFrame, trained_at: Column, with_detector: bool = True, version: str = MODEL_VERSION
+) -> DataFrame:
     """Registry rows of the models trained on ``window``."""
     nothing = F.lit(None).cast("double")
     models = [(FORECAST_MODEL_ID, "trajectory", nothing)]
@@ -38,7 +39,7 @@ def model_metadata(window: DataFrame, trained_at: Column, with_detector: bool =
     return window.select("*", F.inline(rows)).select(
         "model_id",
         "model_type",
-        F.lit(MODEL_VERSION).alias("version"),
+        F.lit(version).alias("version"),
         trained_at.alias("trained_at"),
         F.col("training_start").alias("training_window_start"),
         F.col("training_end").alias("training_window_end"),

@@ -18,7 +18,7 @@ def sample_flights(flights: DataFrame, target: int = SAMPLE_FLIGHTS, hard_limit:
     picked = number_rows(ids, "flight_id").where(F.col("row_no") % step == 0).select("flight_id")
     if hard_limit:
         picked = picked.orderBy("flight_id").limit(target)
-    return flights.join(F.broadcast(picked), "flight_id", "left_semi")
+    return flights.join(picked, "flight_id", "left_semi")
 
 
 def thin_tracks(flights: DataFrame, every: int = SAMPLE_EVERY, min_raw: int = 5, min_kept: int = 3) -> DataFrame:

@@ -74,7 +74,7 @@ def planes_at(
     else:
         moment = F.lit(float(t))
     chosen = quota(split_by_anomaly(flights.select("flight_id"), anomalies), anomalous, normal)
-    tracks = flights.where(F.size("points") > 0).join(F.broadcast(chosen), "flight_id")
+    tracks = flights.where(F.size("points") > 0).join(chosen, "flight_id")
     return (
         tracks.withColumn("t", moment)
         .withColumn("at", position_at(F.col("points"), F.col("t")))

@@ -5,7 +5,7 @@ de-duplication an aircraft has at most one report per second, hence at most 86,4
 group grows with the data set.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -60,9 +60,9 @@ def segment(reports: DataFrame, max_gap: int = MAX_GAP_SEC) -> DataFrame:
     )
 
 
-def segment_starts(segmented: DataFrame) -> DataFrame:
+def segment_starts(segmented: DataFrame, *more: Column) -> DataFrame:
     """One row per kept segment."""
-    return segmented.where(F.col("timestamp") == F.col("seg_start")).select(*FLIGHT, "seg_idx")
+    return segmented.where(F.col("timestamp") == F.col("seg_start")).select(*FLIGHT, "seg_idx", *more)
 
 
 def filled(segmented: DataFrame) -> dict:
@@ -195,8 +195,12 @@ def with_flight_numbers(segmented: DataFrame) -> DataFrame:
 
     The join key equals the shuffle key of the windows above, so the reports are not moved again; the other side has
     one slim row per aircraft-day and is hashed partition by partition, never broadcast.
+
+    Both sides come from one scan and one shuffle of the reports: the counting side also needs what a flight is made of,
+    by a hash of it, so that its plan up to the shuffle by aircraft-day equals the other's and Spark runs it once.
     """
-    bases = flight_bases(segment_starts(segmented)).hint("shuffle_hash")
+    whole = F.xxhash64(*[c for c in ("timestamp", "callsign", *MEASURES) if c in segmented.columns]).alias("_whole")
+    bases = flight_bases(segment_starts(segmented, whole)).hint("shuffle_hash")
     return (
         segmented.join(bases, AIRCRAFT_DAY)
         .withColumn("flight_no", F.col("base") + F.col("seg_idx"))

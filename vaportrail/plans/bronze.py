@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaportrail import schemas
-from vaportrail.functions.text import file_date
+from vaportrail.functions.text import file_date, file_date_text
 from vaportrail.sources import archives, tables, traces
-from vaportrail.session import stage
 
-FILE_REPORT = "source_file string, date date, total_rows bigint, error string"
+FILE_REPORT = (
+    "source_file string, date date, total_rows bigint, malformed_rows bigint, rows_without_id bigint, error string"
+)
 
 
 def ingest_archives(
@@ -18,15 +19,16 @@ def ingest_archives(
 ) -> DataFrame:
     """Stores every new archive of a folder; one report row per file, with the error of each unreadable one.
 
-    Files stored by an earlier run are not read again.
+    Files stored by an earlier run are not read again, on whatever day that was.
     """
     paths = archives.list_files(spark, folder, pattern)
+    name = F.col("_source_file")
     names = spark.createDataFrame(
         [(p, os.path.basename(p)) for p in paths], "path string, _source_file string"
-    ).withColumn("date", file_date(F.col("_source_file")))
-    dates = [r["date"] for r in names.select("date").distinct().collect()]
-    done = tables.stored_files(spark, bronze_path, dates)
-    paths = sorted(r["path"] for r in names.join(done, ["date", "_source_file"], "left_anti").collect())
+    ).withColumn("date", file_date(name))
+    dated = file_date_text(name).try_cast("date").isNotNull()
+    fresh = tables.not_stored(spark, bronze_path, names, dated)
+    paths = sorted(r["path"] for r in fresh.collect())
     batch = archives.open_files(spark, paths)
     if batch.bronze is not None:
         tables.append_bronze(batch.bronze, bronze_path)
@@ -34,19 +36,26 @@ def ingest_archives(
         [(os.path.basename(p), batch.errors.get(os.path.basename(p))) for p in paths],
         "source_file string, error string",
     )
+    counts = ["total_rows", "malformed_rows", "rows_without_id"]
     if batch.bronze is None:
-        return schemas.conform(listed.withColumn("total_rows", F.lit(0)), FILE_REPORT)
+        return schemas.conform(listed.withColumns({c: F.lit(0) for c in counts}), FILE_REPORT)
+    dates = [r["date"] for r in names.select("date").distinct().collect()]
     stored = tables.read_table(spark, bronze_path, schemas.BRONZE).where(F.col("date").isin(dates))
-    stats = archives.file_stats(stored)
-    return listed.join(stats, "source_file", "left").select(
-        "source_file", "date", F.coalesce("total_rows", F.lit(0)).alias("total_rows"), "error"
+    return listed.join(archives.file_stats(stored), "source_file", "left").select(
+        "source_file", "date", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "error"
     )
 
 
 def ingest_traces(spark: SparkSession, folder: str, bronze_path: str, date: str | None = None) -> DataFrame:
-    """Stores the trace files of a folder; one row: files processed, files failed, points."""
+    """Stores the trace files of a folder; one row: files processed, files failed, points.
+
+    Files stored by an earlier run are not decoded again. Counts come from the stored table.
+    """
     files = traces.list_traces(spark, folder)
-    rows = stage(traces.decode_traces(files, date), "traces")
-    dates = [r["date"] for r in rows.select("date").distinct().collect()]
-    tables.append_bronze(rows, bronze_path, done=tables.stored_files(spark, bronze_path, dates))
-    return traces.trace_stats(files, rows)
+    named = traces.trace_names(files, date)
+    dated = F.lit(True) if date else traces.dated_path(F.col("path"))
+    fresh = tables.not_stored(spark, bronze_path, named, dated).select("path")
+    tables.append_bronze(traces.decode_traces(files.join(fresh, "path", "left_semi"), date), bronze_path)
+    dates = [r["date"] for r in named.select("date").distinct().collect()]
+    stored = tables.read_table(spark, bronze_path, schemas.BRONZE).where(F.col("date").isin(dates))
+    return traces.trace_stats(files, stored, date)

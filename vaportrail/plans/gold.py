@@ -37,27 +37,30 @@ def build_gold(
     points = tables.load_points(spark, silver_path, start, end)
 
     def write(name: str, df: DataFrame) -> None:
-        tables.write_table(df, f"{gold_path}/{name}", ARTIFACTS[name])
+        key = ["flight_id"] if "flight_id" in df.columns else ["grid_lat", "grid_lon"]
+        tables.write_table(df, f"{gold_path}/{name}", ARTIFACTS[name], sort=key)
 
+    history_path = f"{gold_path}/metadata/versions"
+    history = load_versions(spark, gold_path) if tables.exists(spark, history_path) else None
+    run = 0 if history is None else history.agg(F.coalesce(F.max("model_version"), F.lit(0))).first()[0]
+    model_version = f"1.0.{run}"
     write("traffic_density", grid.traffic_density(cells))
     write("predictions", forecast.forecast(flights, horizons))
     write("airspace_stress", stress.stress_index(cells, points))
 
     features = stage(anomaly.flight_features(flights), "features")
-    detector = anomaly.fit_detector(features)
+    detector = anomaly.fit_detector(features, version=model_version)
     if detector is not None:
-        write("anomalies", anomaly.to_anomalies(detector.score(features), threshold))
-        detector.save(f"{gold_path}/models/{anomaly.MODEL_ID}", mode="overwrite")
+        write("anomalies", anomaly.to_anomalies(detector.score_trained(), threshold))
+        detector.save(f"{gold_path}/models/{anomaly.MODEL_ID}")
     else:  # too few flights to train on: no outliers, and none left from an earlier run
         write("anomalies", spark.createDataFrame([], schemas.struct_type(schemas.ANOMALY)))
 
     fixed = spark.createDataFrame([(start, end)], "training_start date, training_end date").withColumn(
         "training_days", F.datediff("training_end", "training_start") + 1
     )
-    models = registry.model_metadata(fixed, F.unix_timestamp(), detector is not None)
+    models = registry.model_metadata(fixed, F.unix_timestamp(), detector is not None, model_version)
     tables.write_table(models, f"{gold_path}/metadata/models", schemas.MODEL, None)
-    history_path = f"{gold_path}/metadata/versions"
-    history = load_versions(spark, gold_path) if tables.exists(spark, history_path) else None
     version = registry.next_version(models, history, F.current_date(), F.unix_timestamp())
     tables.write_table(version, history_path, schemas.VERSION, None, mode="append")
 

@@ -10,7 +10,7 @@ SAMPLED_POINT = "struct<ts:bigint,lat:double,lon:double,alt_ft:double,speed_kts:
 BRONZE = (
     "icao24 string, callsign string, timestamp bigint, latitude double, longitude double, altitude double, "
     "velocity double, heading double, vertical_rate double, on_ground boolean, squawk string, "
-    "_source_file string, _ingest_ts bigint, date date"
+    "_source_file string, _ingest_ts bigint, _source_block bigint, _source_row bigint, _malformed boolean, date date"
 )
 TRAJECTORY = (
     f"flight_id string, icao24 string, callsign string, date date, points array<{POINT}>, duration_sec bigint, "

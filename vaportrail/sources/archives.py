@@ -8,12 +8,14 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaportrail.functions.text import file_date
 from vaportrail.schemas import BRONZE, conform
 from vaportrail.sources.columns import normalise
 
 PEEK_THREADS = 16
+CORRUPT = "_corrupt_record"
 
 
 def archive_format(path: str) -> str:
@@ -28,23 +30,39 @@ def archive_format(path: str) -> str:
     raise ValueError(f"unsupported file format: {name}")
 
 
-def read_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Rows of archives that share one header. CSV values stay text, so an id like 000123 keeps its zeros."""
+def read_archive(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """Rows of archives that share one header. CSV values stay text, so an id like 000123 keeps its zeros.
+
+    With the header's ``columns`` given, ``_corrupt_record`` holds CSV lines that have more or fewer fields.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     kinds = {archive_format(p) for p in paths}
     if len(kinds) != 1:
         raise ValueError("archives of one read must have one format")
     if kinds == {"parquet"}:
         return spark.read.parquet(*paths)
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    if columns is None:
+        return reader.csv(paths)
+    fields = [T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]]
+    return reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
 
 
 def to_bronze(raw: DataFrame) -> DataFrame:
-    """Bronze rows with lineage: source file, ingest time, and the date named by the file."""
-    tagged = raw.withColumn("_source_file", F.col("_metadata.file_name")).withColumns(
-        {"date": file_date(F.col("_source_file")), "_ingest_ts": F.unix_timestamp()}
-    )
-    return conform(normalise(tagged, keep=["_source_file", "_ingest_ts", "date"]), BRONZE)
+    """Bronze rows with lineage: source file, block, ingest time, the date named by the file, malformed or not.
+
+    A malformed line keeps the fields it has in their places: surplus ones are cut, missing ones are null.
+    """
+    malformed = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
+    tagged = raw.withColumns(
+        {
+            "_source_file": F.col("_metadata.file_name"),
+            "_source_block": F.col("_metadata.file_block_start"),
+            "_malformed": malformed,
+        }
+    ).withColumns({"date": file_date(F.col("_source_file")), "_ingest_ts": F.unix_timestamp()})
+    lineage = ["_source_file", "_source_block", "_malformed", "_ingest_ts", "date"]
+    return conform(normalise(tagged.drop(CORRUPT), keep=lineage), BRONZE)
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
@@ -87,7 +105,7 @@ def open_files(spark: SparkSession, paths: list[str]) -> Batch:
             errors[os.path.basename(path)] = error
         else:
             groups.setdefault(signature, []).append(path)
-    parts = [to_bronze(read_archive(spark, files)) for files in groups.values()]
+    parts = [to_bronze(read_archive(spark, files, list(header[1]))) for header, files in groups.items()]
     return Batch(
         bronze=reduce(DataFrame.unionByName, parts) if parts else None,
         files=[p for files in groups.values() for p in files],
@@ -100,5 +118,9 @@ def read_directory(spark: SparkSession, folder: str, pattern: str = "*.csv*") ->
 
 
 def file_stats(bronze: DataFrame) -> DataFrame:
-    """Rows per source file and date."""
-    return bronze.groupBy(F.col("_source_file").alias("source_file"), "date").agg(F.count("*").alias("total_rows"))
+    """Rows per source file and date, malformed ones among them, and rows without an aircraft id."""
+    return bronze.groupBy(F.col("_source_file").alias("source_file"), "date").agg(
+        F.count("*").alias("total_rows"),
+        F.count_if("_malformed").alias("malformed_rows"),
+        F.count_if(F.col("icao24").isNull()).alias("rows_without_id"),
+    )

@@ -1,27 +1,19 @@
 """Stored tables of the three layers: partitioned Parquet with enforced schemas."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaportrail import schemas
 from vaportrail.defaults import BRONZE_ROWS_PER_FILE
 
-# Rows of an already-ingested file list that are still shipped to every task.
-BROADCAST_FILES = 200_000
-# Order of reports as they stood in their source file; see load_bronze.
-FILE_ORDER = ["_source_file", "_file_path", "_file_row"]
+# Order of reports as they stood in their source file; see append_bronze.
+FILE_ORDER = ["_source_file", "_source_block", "_source_row"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything stored at ``path``."""
-    try:
-        spark.read.schema("any string").parquet(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    """Whether there is anything stored at ``path``; one request to the file system, no listing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def write_table(
@@ -31,8 +23,9 @@ def write_table(
     partition: str | None = "date",
     mode: str = "overwrite",
     only_own_partitions: bool = False,
+    sort: list[str] | None = None,
 ) -> None:
-    """Snappy Parquet in the declared schema, one folder per ``partition`` value.
+    """Snappy Parquet in the declared schema, one folder per ``partition`` value, each file sorted by ``sort``.
 
     Overwriting replaces the table, or with ``only_own_partitions`` just those that ``df`` has rows for. Rows are rebalanced by partition value first:
     small partitions end up in few files, and a partition holding much of the data is split over many tasks.
@@ -40,6 +33,8 @@ def write_table(
     rows = schemas.conform(df, schema)
     if partition:
         rows = rows.hint("rebalance", partition)
+    if sort:  # lets readers skip row groups by these columns
+        rows = rows.sortWithinPartitions(*([partition] if partition else []), *sort)
     writer = rows.write.mode(mode).option("compression", "snappy")
     if partition:
         replaced = "dynamic" if only_own_partitions else "static"
@@ -60,28 +55,38 @@ def between_dates(df: DataFrame, start=None, end=None) -> DataFrame:
     return df
 
 
-def stored_files(spark: SparkSession, path: str, dates: list) -> DataFrame:
-    """(date, _source_file) pairs stored under the given dates; only those partitions are read."""
+def stored_files(spark: SparkSession, path: str, dates: list | None = None) -> DataFrame:
+    """(date, _source_file) pairs stored under the given dates, or under all; only those partitions are read."""
     if not exists(spark, path):
         return spark.createDataFrame([], "date date, _source_file string")
-    stored = read_table(spark, path, schemas.BRONZE).where(F.col("date").isin(dates))
+    stored = read_table(spark, path, schemas.BRONZE)
+    if dates is not None:
+        stored = stored.where(F.col("date").isin(dates))
     return stored.select("date", "_source_file").distinct()
 
 
-def append_bronze(
-    bronze: DataFrame, path: str, done: DataFrame | None = None, rows_per_file: int = BRONZE_ROWS_PER_FILE
-) -> None:
+def not_stored(spark: SparkSession, path: str, files: DataFrame, dated: Column) -> DataFrame:
+    """The rows of ``files`` (date, _source_file, ...) that name no stored file.
+
+    A file whose name holds a date is looked up under it. One without is stored under the day of its ingest, so it is
+    looked up by name alone, wherever it lies.
+    """
+    files = files.withColumn("_dated", dated)
+    with_date, without = files.where("_dated").drop("_dated"), files.where("not _dated").drop("_dated")
+    dates = [r["date"] for r in with_date.select("date").distinct().collect()]
+    fresh = with_date.join(stored_files(spark, path, dates), ["date", "_source_file"], "left_anti")
+    named = stored_files(spark, path).select("_source_file").distinct()
+    return fresh.unionByName(without.join(named, "_source_file", "left_anti").select(*fresh.columns))
+
+
+def append_bronze(bronze: DataFrame, path: str, rows_per_file: int = BRONZE_ROWS_PER_FILE) -> None:
     """Adds rows under their dates, straight from the scan, without a shuffle.
 
-    ``done`` names files already stored, as given by :func:`stored_files`: their rows are left out, so that running an
-    ingest twice adds nothing. The list is shipped to the tasks only while it is short.
+    Callers choose whole files that are not stored yet (:func:`not_stored`). Rows keep where they stood in their source
+    as two numbers: the block of the file, and the place in the scan.
     """
-    if done is not None:
-        if done.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
-            done = F.broadcast(done)
-        bronze = bronze.join(done, ["date", "_source_file"], "left_anti")
     (
-        schemas.conform(bronze, schemas.BRONZE)
+        schemas.conform(bronze.withColumn("_source_row", F.monotonically_increasing_id()), schemas.BRONZE)
         .write.mode("append")
         .option("compression", "snappy")
         .option("maxRecordsPerFile", rows_per_file)
@@ -91,15 +96,8 @@ def append_bronze(
 
 
 def load_bronze(spark: SparkSession, path: str, date=None, start=None, end=None) -> DataFrame:
-    """Bronze rows of one date, a range, or all, with the position of each row in its file.
-
-    A source file's rows are stored in part files numbered in scan order, so (source file, part file, row) is the
-    order of the source. Order by :data:`FILE_ORDER` to keep the first of equal reports.
-    """
-    rows = read_table(spark, path, schemas.BRONZE).select(
-        "*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_file_row")
-    )
-    return between_dates(rows, date or start, date or end)
+    """Bronze rows of one date, a range, or all; order by :data:`FILE_ORDER` to keep the first of equal reports."""
+    return between_dates(read_table(spark, path, schemas.BRONZE), date or start, date or end)
 
 
 def load_trajectories(spark: SparkSession, silver: str, start=None, end=None) -> DataFrame:

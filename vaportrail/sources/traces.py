@@ -34,10 +34,18 @@ def _text(content: pd.Series) -> pd.Series:
     return content.map(decode)
 
 
+def _path_date(path: Column) -> Column:
+    parts = F.regexp_extract_all(path, F.lit(r"(?<=/)(\d{4}-\d{2}-\d{2})(?=/)"), F.lit(1))
+    return F.try_element_at(parts, F.lit(-1)).try_cast("date")
+
+
+def dated_path(path: Column) -> Column:
+    return _path_date(path).isNotNull()
+
+
 def path_date(path: Column) -> Column:
     """Last path component that is a date; today when there is none."""
-    parts = F.regexp_extract_all(path, F.lit(r"(?<=/)(\d{4}-\d{2}-\d{2})(?=/)"), F.lit(1))
-    return F.coalesce(F.try_element_at(parts, F.lit(-1)).try_cast("date"), F.current_date())
+    return F.coalesce(_path_date(path), F.current_date())
 
 
 def list_traces(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,11 +104,16 @@ def decode_traces(files: DataFrame, date: str | None = None) -> DataFrame:
     return conform(rows, BRONZE)
 
 
-def trace_stats(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row: files that gave points, files that gave none, points."""
-    per_file = rows.groupBy("_source_file").agg(F.count("*").alias("n"))
-    named = files.select(base_name(F.col("path")).alias("_source_file"))
-    return named.join(per_file, "_source_file", "left").agg(
+def trace_names(files: DataFrame, date: str | None = None) -> DataFrame:
+    """(path, _source_file, date) of trace files; an aircraft has a file of the same name in every date's folder."""
+    day = F.lit(date).cast("date") if date else path_date(F.col("path"))
+    return files.select("path", base_name(F.col("path")).alias("_source_file"), day.alias("date"))
+
+
+def trace_stats(files: DataFrame, rows: DataFrame, date: str | None = None) -> DataFrame:
+    """One row: files that gave points, files that gave none, points. ``rows`` may be the stored table."""
+    per_file = rows.groupBy("date", "_source_file").agg(F.count("*").alias("n"))
+    return trace_names(files, date).join(per_file, ["date", "_source_file"], "left").agg(
         F.count("n").alias("files_processed"),
         F.count_if(F.col("n").isNull()).alias("files_failed"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),

@@ -4,11 +4,13 @@ The same parsing as the batch ingest, for folders whose files share one header.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from vaportrail.functions.text import file_date_text
 from vaportrail.sources.archives import to_bronze
-from vaportrail.sources.tables import append_bronze, stored_files
+from vaportrail.sources.tables import append_bronze, not_stored
 
 
 def ingest_new_files(
@@ -29,8 +31,10 @@ def ingest_new_files(
     )
 
     def store(batch: DataFrame, _: int) -> None:
-        dates = [r["date"] for r in batch.select("date").distinct().collect()]
-        append_bronze(batch, bronze_path, done=stored_files(batch.sparkSession, bronze_path, dates))
+        files = batch.select("date", "_source_file").distinct()
+        dated = file_date_text(F.col("_source_file")).try_cast("date").isNotNull()
+        fresh = not_stored(batch.sparkSession, bronze_path, files, dated).select("_source_file")
+        append_bronze(batch.join(fresh, "_source_file", "left_semi"), bronze_path)
 
     return (
         to_bronze(raw)

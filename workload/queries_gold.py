@@ -321,6 +321,89 @@ def m6(spark, d):
     return anomaly.Detector.load(spark, path).score(features).select("flight_id", "anomaly_score")
 
 
+@query(
+    "m2_m3_invariants",
+    build(
+        """SELECT count(*) AS scored, 0::BIGINT AS outside, 100::BIGINT AS trees, 0::BIGINT AS odd_samples, true AS share_holds
+  FROM ids HAVING count(*) >= 100""",
+        "ids",
+    ),
+)
+def m2_m3_invariants(spark, d):
+    """What holds for any forest: scores of all flights in 0..1, full samples in every tree, one in twenty flagged."""
+    features = stage(anomaly.flight_features(derived.flights(spark, d)), "features")
+    detector = anomaly.fit_detector(features)
+    if detector is None:
+        return spark.createDataFrame([], "scored long, outside long, trees long, odd_samples long, share_holds boolean")
+    score, size = F.col("anomaly_score"), detector.meta.first()["subsample"]
+    scored = detector.score(features).agg(
+        F.count("*").alias("scored"), F.count_if(~score.between(0, 1)).alias("outside"), F.count_if(score > 0.5).alias("flagged")
+    )
+    roots = detector.nodes.where("node = 0").agg(
+        F.countDistinct("tree").alias("trees"), F.count_if(F.col("size") != size).alias("odd_samples")
+    )
+    share = F.abs(F.col("flagged") - F.col("scored") * 0.05) <= 1
+    return scored.join(roots, F.lit(True)).select("scored", "outside", "trees", "odd_samples", share.alias("share_holds"))
+
+
+@query(
+    "m5_planted_outliers",
+    build(
+        """SELECT count(*) + 10 AS scored, 10::BIGINT AS planted_on_top, 10::BIGINT AS planted_emitted, 0::BIGINT AS emitted_below
+  FROM ids HAVING count(*) >= 100""",
+        "ids",
+    ),
+)
+def m5_planted(spark, d):
+    """Ten impossible flights among the others: scored highest and emitted at the default threshold."""
+    features = anomaly.flight_features(derived.flights(spark, d))
+    planted = features.orderBy("flight_id").limit(10).withColumns(
+        {
+            "flight_id": F.concat(F.lit("planted_"), "flight_id"),
+            **{f: (F.col(f) * 40 + 9_000).cast(features.schema[f].dataType) for f in anomaly.FEATURES},
+        }
+    )
+    both = stage(features.unionByName(planted), "features")
+    detector = anomaly.fit_detector(both)
+    if detector is None:
+        return spark.createDataFrame([], "scored long, planted_on_top long, planted_emitted long, emitted_below long")
+    scored = stage(detector.score_trained(), "scored")
+    is_planted = F.col("flight_id").startswith("planted_")
+    top = scored.orderBy(F.desc("anomaly_score"), "flight_id").limit(10).agg(F.count_if(is_planted).alias("planted_on_top"))
+    emitted = anomaly.to_anomalies(scored).agg(
+        F.count_if(is_planted).alias("planted_emitted"), F.count_if(F.col("anomaly_score") < 0.7).alias("emitted_below")
+    )
+    return scored.agg(F.count("*").alias("scored")).join(top, F.lit(True)).join(emitted, F.lit(True))
+
+
+@query(
+    "m6_saved_twice",
+    build(
+        "SELECT count(*) AS scored, 0::BIGINT AS changed, 2::BIGINT AS versions FROM ids HAVING count(*) >= 100",
+        "ids",
+    ),
+)
+def m6_saved_twice(spark, d):
+    """A model saved twice, next to another version, scores as before it was saved."""
+    from vaportrail.session import new_stage_path
+
+    features = stage(anomaly.flight_features(derived.flights(spark, d)), "features")
+    detector = anomaly.fit_detector(features)
+    if detector is None:
+        return spark.createDataFrame([], "scored long, changed long, versions long")
+    path = new_stage_path(spark, "model")
+    anomaly.fit_detector(features, trees=3, version="1.0.1").save(path)
+    for _ in range(2):
+        detector.save(path)
+    before = detector.score_trained().select("flight_id", F.col("anomaly_score").alias("before"))
+    after = anomaly.Detector.load(spark, path).score(features).select("flight_id", "anomaly_score")
+    versions = spark.read.parquet(f"{path}/meta").agg(F.count("*").alias("versions"))
+    compared = before.join(after, "flight_id").agg(
+        F.count("*").alias("scored"), F.count_if(F.col("before") != F.col("anomaly_score")).alias("changed")
+    )
+    return compared.join(versions, F.lit(True))
+
+
 @query(
     "a9_date_index",
     build(

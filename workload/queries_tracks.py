@@ -62,6 +62,19 @@ def f7(spark, d):
     return derived.reports(spark, d).drop("_source_file", "_ingest_ts")
 
 
+@query(
+    "f7_quarantine",
+    build(
+        """SELECT date, CASE WHEN lat IS NULL OR lon IS NULL THEN 'no position' WHEN lat > 90 THEN 'position out of range'
+  WHEN alt > 60000 THEN 'altitude out of range' ELSE 'speed out of range' END AS reason, count(*) AS rows
+  FROM sv WHERE lat IS NULL OR lon IS NULL OR lat > 90 OR alt > 60000 OR spd > 700 GROUP BY ALL""",
+        "sv",
+    ),
+)
+def f7_quarantine(spark, d):
+    return clean.quarantine(derived.state_vectors(spark, d))
+
+
 @query(
     "f7_retention",
     build(
