@@ -6,7 +6,7 @@ from workload.compare import compare, connect
 from workload.registry import QUERIES
 
 SAMPLE = [
-    "f6_dedup", "f7_retention", "w1_segments", "w3_resample", "w4_steps", "w5_flight_ids", "a1_grid_density", "a7_features",
+    "f7_clean", "f7_quarantine", "b5_lineage_checks", "b7_file_report", "b8_bronze_append_twice", "b10_trace_stats", "f6_dedup", "f7_retention", "w1_segments", "w3_resample", "w4_steps", "w5_flight_ids", "a1_grid_density", "a7_features",
     "m7_forecast", "a8_audit", "a5_stress", "j6_planes_in_cell", "m1_scaler", "b4_normalise", "b9_traces", "q2_density",
     "q8_planes_at", "q9_live_planes", "s13_position_at",
 ]

@@ -38,9 +38,7 @@ def keep_first(df: DataFrame, order: list[str], keys: list[str] = REPORT) -> Dat
 def clean_reports(bronze: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Valid reports, one per aircraft and second. Filters run before the choice of the first row."""
     order = order or ["_source_file"]
-    cleaned = keep_first(bronze.where(valid_report()), order)
-    extra = [c for c in order if c in ("_source_block", "_source_row")]
-    return cleaned.drop(*extra)
+    return keep_first(bronze.where(valid_report()), order).drop("_source_block", "_source_row", "_malformed")
 
 
 def rejection() -> Column:
