@@ -19,6 +19,7 @@ PERCENT = 80  # linked from this similarity on
 # an estimate deviates by 0.033 at 0.8: five deviations below, one link in three million is passed over
 ESTIMATE = 0.635
 CHUNK = 2048  # shingles hashed at once
+FILTER_WORDS = 1 << 20  # of the filter that picks texts: useful up to some ten million ids
 BLOCK = 1024  # members of a bucket compared at once with as many others
 
 _rng = np.random.default_rng(20240229)
@@ -121,20 +122,28 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def star_candidates(classes: DataFrame, bands: DataFrame) -> DataFrame:
-    """(a, b, estimate): members of a bucket with two of its members, chosen by hash, and what signatures tell of them.
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """(key, class, p, q): members of buckets of two or more, with two members of the bucket that are chosen by hash.
 
-    A bucket gives at most two pairs for each member, whatever its size.
+    Most bands belong to one class alone; they are counted once and go no further.
     """
+    bands = classes.select("class", F.explode("bands").alias("key"))
     by_chance = F.xxhash64("class", "key")
     buckets = (
         bands.groupBy("key")
         .agg(F.count("*").alias("members"), F.min_by("class", by_chance).alias("p"), F.max_by("class", by_chance).alias("q"))
         .where("members > 1")
     )
+    return bands.join(buckets, "key").select("key", "class", "p", "q")
+
+
+def star_candidates(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b, estimate): members of a bucket with its two chosen members, and what signatures tell of them.
+
+    A bucket gives at most two pairs for each member, whatever its size.
+    """
     pairs = (
-        bands.join(buckets, "key")
-        .select("class", F.explode(F.array("p", "q")).alias("pivot"))
+        shared.select("class", F.explode(F.array("p", "q")).alias("pivot"))
         .where(F.col("class") != F.col("pivot"))
         .select(*_pairs(F.col("class"), F.col("pivot")))
         .distinct()
@@ -149,14 +158,27 @@ def star_candidates(classes: DataFrame, bands: DataFrame) -> DataFrame:
     )
 
 
+def _maybe_among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose id may be among ``ids``: a one-hash Bloom filter as a table of at most FILTER_WORDS 64-bit words.
+
+    Passes every wanted text and, of the others, the share of bits that are set; it only saves moving most texts.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_WORDS * 64))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    words = ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    # bounded by FILTER_WORDS, whatever the number of ids
+    marked = texts.withColumn("word", word).join(F.broadcast(words), "word")
+    return marked.where(F.getbit("bits", bit) == 1).select(*texts.columns)
+
+
 def _stored_by_id(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Stores (id, text) of some ids bucketed by id: the joins of every confirming round find texts in place.
 
-    Texts move once: dealt by id, they meet the ids and are written from there.
+    Texts move once: those that may be wanted are dealt by id, meet the ids and are written from there.
     """
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(n, "id").join(ids, "id", "left_semi")
+    texts = _maybe_among(texts, ids).repartition(n, "id").join(ids, "id", "left_semi")
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     (
         texts.write.bucketBy(n, "id")
@@ -199,13 +221,13 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, found, "a", "comp_a"), found, "b", "comp_b").where("comp_a != comp_b")
 
 
-def _dealt_buckets(classes: DataFrame, bands: DataFrame, found: DataFrame) -> DataFrame:
+def _dealt_buckets(classes: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, dealt to tasks (key, i, j) that compare block i with block j.
 
     The members of a bucket's largest component need no comparison with each other: their blocks (numbered below 0) meet
     only the blocks of the others, which are few in a group of copies.
     """
-    labelled = _labelled(bands, found, "class", "comp")
+    labelled = _labelled(shared.select("key", "class"), found, "class", "comp")
     sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
     blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
     buckets = (
@@ -339,14 +361,14 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
 
-def bucket_links(classes: DataFrame, bands: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+def bucket_links(classes: DataFrame, shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) that join components: every pair that shares a bucket, is still apart and passes the estimate is tried.
 
     Pairs are never written out. Members meet first with their signatures alone; those that have a partner to be tried
     with meet again with their texts, and only links come back.
     """
     task = ["key", "i", "j"]
-    members = _dealt_buckets(classes, bands, found).withColumn("task", F.explode("tasks"))
+    members = _dealt_buckets(classes, shared, found).withColumn("task", F.explode("tasks"))
     members = members.select("key", "task.i", "task.j", "class", "comp", "block", "n", "signature", "bands")
     likely = members.repartition(*task).sortWithinPartitions(*task).mapInArrow(_with_partner, _MEMBER)
     likely = stage(likely, "minhash-likely")
@@ -377,8 +399,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("id").alias("class"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
         "minhash-classes",
     )
-    bands = classes.select("class", F.explode("bands").alias("key"))
-    stars = stage(star_candidates(classes, bands), "minhash-stars")
+    shared = stage(shared_bands(classes), "minhash-shared")
+    stars = stage(star_candidates(classes, shared), "minhash-stars")
     tried = stars.where(F.col("estimate") >= ESTIMATE)
 
     likely = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
@@ -387,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = likely.groupBy("a").agg(F.max_by("b", rank).alias("b")).select(*_pairs(F.col("a"), F.col("b"))).distinct()
     best = stage(best, "minhash-pairs")
 
-    in_buckets = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    in_buckets = stage(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "minhash-ids")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     texts = _stored_by_id(texts, in_buckets, "minhash_texts")
     links = stage(confirm(best, texts), "minhash-links")
@@ -400,7 +422,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(links.unionByName(confirm(across, texts)), "minhash-links")
     found = components(links)
 
-    links = stage(links.unionByName(bucket_links(classes, bands, found, texts)), "minhash-links")
+    links = stage(links.unionByName(bucket_links(classes, shared, found, texts)), "minhash-links")
     found = components(links)
 
     named = _labelled(classes.select(*same_set, "class"), found, "class", "component")
