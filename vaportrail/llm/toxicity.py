@@ -41,7 +41,7 @@ def stems_of(token: str) -> list[str]:
 class _Scores(dict):
     """token -> log-odds: its own, else the largest of its stems, else 0."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __init__(self, model: Model):
         super().__init__()
@@ -172,7 +172,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             words = words.as_py()
             for key in [*((w, False) for w in words), *((s, True) for s in {s for w in words for s in stems_of(w)})]:
                 counts.setdefault(key, [0, 0])[1 - toxic] += 1
-        if len(counts) > 400_000:
+        if len(counts) > 100_000:
             yield rows(counts)
             counts = {}
     yield rows(counts)
