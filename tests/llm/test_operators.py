@@ -337,6 +337,39 @@ def test_toxicity_finds_passages(spark):
     assert all([(p.start, p.stop) for p in r.passages] == ([(30, 33)] if r.predicted else []) for r in got)
 
 
+@pytest.mark.parametrize(
+    "toxic, clean, n_toxic, n_clean, evident",
+    [
+        (30, 0, 12_500, 12_500, True),
+        (20, 0, 500, 12_500, True),
+        (6, 0, 20, 139, True),
+        (12, 0, 30, 30, True),
+        (3, 0, 12_500, 12_500, False),
+        (6, 6, 20, 139, False),
+        (40, 38, 12_500, 12_500, False),
+    ],
+)
+def test_a_word_counts_by_its_count(spark, toxic, clean, n_toxic, n_clean, evident):
+    counts = spark.createDataFrame([("w", False, toxic, clean)], "token string, stem boolean, toxic long, clean long")
+    assert (toxicity._evident(counts, n_toxic, n_clean).count() == 1) == evident
+
+
+def test_toxicity_learns_from_few_documents(spark):
+    """Every insult stands in about a quarter of 50 toxic documents, none in the 350 clean ones."""
+    rng = np.random.default_rng(7)
+    clean, insults = [f"word{i}" for i in range(300)], ["idiot", "moron", "trash", "scum"]
+    rows = []
+    for i in range(400):
+        w = list(rng.choice(clean, 60))
+        if i % 8 == 0:
+            w[20:20] = [insults[i // 8 % 4], insults[i // 16 % 4]]
+        rows.append((i, " ".join(w), int(i % 8 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).where("held_out").collect()
+    toxic = [r for r in got if r.doc_id % 8 == 0]
+    assert toxic and all(r.predicted == int(r.doc_id % 8 == 0) for r in got)
+
+
 # --- 9 tokens
 
 

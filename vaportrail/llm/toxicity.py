@@ -16,8 +16,9 @@ from vaportrail.session import stage, unstage
 
 SAMPLE = 25_000  # labelled rows of each class, at most about so many, that the model is fitted on
 VOCABULARY = 20_000  # words, and as many stems, that may carry a score
-PRIOR = 50.0  # pseudo-documents of the Dirichlet prior
-LEAST_Z, LEAST_ODDS = 4.0, 2.0  # of a token's log-odds to count as evidence
+PRIOR = 1.0  # pseudo-documents that hold a token, dealt to the classes at the base rate
+LEAST_Z, LEAST_ODDS = 4.0, 2.0  # of a token's likelihood ratio (as a z-score) and log-odds to count as evidence
+FOLDS = 4  # of the sample: each is calibrated with the tokens of the others
 STEMS = (8, 7, 6, 5, 4, 3)  # lengths of beginnings that inflected forms share
 DRIFT = 0.3  # taken off for every token without evidence, so that segments end
 SIGNIFICANT = 0.01  # expected chance segments of a passage that is reported
@@ -43,12 +44,12 @@ class _Scores(dict):
 
     LIMIT = 100_000
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, limit: int = LIMIT):
         super().__init__()
-        self.model = model
+        self.model, self.limit = model, limit
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.limit:
             self.clear()
         own = self.model.words.get(token)
         if own is None:
@@ -143,35 +144,44 @@ def _sketch(tokens: list[str]) -> int:
     return int(pairs.min().astype(np.int64)) if len(pairs) else 0
 
 
+def _fold(sketch: int) -> int:
+    """The fold by sketch, so copies stay in one."""
+    return int(mix(np.array([sketch], np.int64).view(np.uint64))[0] % FOLDS)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sketch, toxic, words): distinct words, and a MinHash by which near copies are told."""
+    """(sketch, fold, toxic, words): distinct words, and a MinHash by which near copies are told."""
     for batch in batches:
         sketches, words = [], []
         for text in batch.column(0):
             tokens = _TOKEN.findall((text.as_py() or "").lower())
             sketches.append(_sketch(tokens))
             words.append(list(set(tokens)))
+        folds = pa.array(map(_fold, sketches), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sketches, pa.int64()), batch.column(1), pa.array(words, pa.list_(pa.string()))],
-            names=["sketch", "toxic", "words"],
+            [pa.array(sketches, pa.int64()), folds, batch.column(1), pa.array(words, pa.list_(pa.string()))],
+            names=["sketch", "fold", "toxic", "words"],
         )
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, stem, toxic, clean): how many documents hold a word, or a word with this stem; summed up in part."""
-    names = ["token", "stem", "toxic", "clean"]
+    """(token, stem, counts): how many documents hold a word, or a word with this stem; summed up in part.
+
+    ``counts`` are the clean and toxic documents of the first fold, then those of the next.
+    """
 
     def rows(counts: dict) -> pa.RecordBatch:
-        columns = zip(*((t, stem, a, b) for (t, stem), (a, b) in counts.items()), strict=True) if counts else [[]] * 4
-        types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, types, strict=True)], names=names)
+        columns = zip(*((t, stem, n) for (t, stem), n in counts.items()), strict=True) if counts else [[]] * 3
+        types = [pa.string(), pa.bool_(), pa.list_(pa.int64())]
+        arrays = [pa.array(list(c), k) for c, k in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=["token", "stem", "counts"])
 
     counts: dict[tuple[str, bool], list[int]] = {}
     for batch in batches:
-        for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for fold, toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = words.as_py()
             for key in [*((w, False) for w in words), *((s, True) for s in {s for w in words for s in stems_of(w)})]:
-                counts.setdefault(key, [0, 0])[1 - toxic] += 1
+                counts.setdefault(key, [0] * (2 * FOLDS))[2 * fold + toxic] += 1
         if len(counts) > 100_000:
             yield rows(counts)
             counts = {}
@@ -179,12 +189,19 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> tuple[Column, Column]:
-    """Log-odds with an informative Dirichlet prior of the pooled frequencies, and its z-score."""
-    prior = (toxic + clean) * (PRIOR / (n_toxic + n_clean))
-    a, b = toxic + prior, clean + prior
+    """Log-odds with a prior of PRIOR pseudo-documents at the base rate, and the signed root of the likelihood ratio.
+
+    The ratio is that of the token's own share of toxic documents to the base rate. It grows with the token's count, and
+    the larger sample does not raise the bar.
+    """
+    share = n_toxic / (n_toxic + n_clean)
+    a, b = toxic + PRIOR * share, clean + PRIOR * (1 - share)
     without = lambda n, held: F.greatest(F.lit(0.5), n + PRIOR - held)  # noqa: E731  a token may be in every document
     odds = F.log(a / without(n_toxic, a)) - F.log(b / without(n_clean, b))
-    return odds, odds / F.sqrt(1 / a + 1 / b)
+    both = toxic + clean
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)
+    ratio = 2 * (part(toxic, share) + part(clean, 1 - share))
+    return odds, F.signum(toxic - both * share) * F.sqrt(F.greatest(F.lit(0.0), ratio))
 
 
 def _evident(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
@@ -193,6 +210,21 @@ def _evident(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return scored.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
 
 
+def _learnt(counts: DataFrame, sizes: dict[tuple[int, int], int], without: int | None = None) -> Model:
+    """A model with the tokens of all folds, or of all but one."""
+    folds = [k for k in range(FOLDS) if k != without]
+    n_clean, n_toxic = (sum(sizes.get((toxic, k), 0) for k in folds) for toxic in (0, 1))
+    if not (n_toxic and n_clean):
+        return Model()
+    total = lambda toxic: sum((F.get("counts", F.lit(2 * k + toxic)) for k in folds), F.lit(0))
+    summed = counts.select("token", "stem", total(1).alias("toxic"), total(0).alias("clean"))
+    evident = stage(_evident(summed, n_toxic, n_clean), "toxicity-tokens")
+    top = lambda df: {r["token"]: r["odds"] for r in df.orderBy(F.desc("z"), "token").limit(VOCABULARY).collect()}
+    model = Model(top(evident.where("not stem")), top(evident.where("stem")))
+    unstage(evident)
+    return model
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Ridge-penalised logistic regression with a constant, by Newton steps."""
     design = np.column_stack([np.ones(len(x)), x])
@@ -234,55 +266,57 @@ def fit(
     """Token log-odds, the extreme-value law of chance segments, and a logistic calibration.
 
     Fitted on about ``sample`` labelled documents of each class at most; near copies among them count once. Tokens are
-    learnt on one half, calibrated on the other. Without labels of both classes the model has no tokens and its scores
-    are the share of toxic labels.
+    learnt on all of them; each fold is calibrated with the tokens that the other folds show. Without labels of both
+    classes the model has no tokens and its scores are the share of toxic labels.
     """
     texts = training_sample(docs, labels, id_col, text_col, label_col, sample).select("text", "toxic")
-    featured = stage(texts.mapInArrow(_features, "sketch long, toxic int, words array<string>"), "toxicity-words")
-    # one document for each sketch and class; halves by sketch, so copies stay on one side
-    single = featured.groupBy("sketch", "toxic").agg(F.min_by("words", F.size("words")).alias("words"))
-    single = stage(single.withColumn("fit", F.xxhash64("sketch", F.lit(1)) % 2 == 0), "toxicity-single")
-    sizes = {(r["toxic"], r["fit"]): r["count"] for r in single.groupBy("toxic", "fit").count().collect()}
-    n_toxic, n_clean = sizes.get((1, True), 0), sizes.get((0, True), 0)
-    all_toxic = sum(n for (t, _), n in sizes.items() if t == 1)
-    base = (all_toxic + 1) / (sum(sizes.values()) + 2)
-    model = Model(weights=(math.log(base / (1 - base)), 0.0))
+    features = "sketch long, fold int, toxic int, words array<string>"
+    featured = stage(texts.mapInArrow(_features, features), "toxicity-words")
+    # one document for each sketch and class
+    single = featured.groupBy("sketch", "fold", "toxic").agg(F.min_by("words", F.size("words")).alias("words"))
+    single = stage(single, "toxicity-single")
+    sizes = {(r["toxic"], r["fold"]): r["count"] for r in single.groupBy("toxic", "fold").count().collect()}
+    n_toxic, n_clean = (sum(n for (t, _), n in sizes.items() if t == toxic) for toxic in (1, 0))
+    base = (n_toxic + 1) / (n_toxic + n_clean + 2)
+    constant = (math.log(base / (1 - base)), 0.0)
     if not (n_toxic and n_clean):
         unstage(featured, single)
-        return model
+        return Model(weights=constant)
+    held = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(2 * FOLDS)]
     counts = (
-        single.where("fit")
-        .select("toxic", "words")
-        .mapInArrow(_document_counts, "token string, stem boolean, toxic long, clean long")
+        single.select("fold", "toxic", "words")
+        .mapInArrow(_document_counts, "token string, stem boolean, counts array<long>")
         .groupBy("token", "stem")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        .agg(*held)
+        .where(sum((F.col(f"n{2 * k + 1}") for k in range(FOLDS)), F.lit(0)) >= 3)
+        .select("token", "stem", F.array(*[f"n{i}" for i in range(2 * FOLDS)]).alias("counts"))
     )
-    evident = stage(_evident(counts, n_toxic, n_clean), "toxicity-tokens")
-    top = lambda df: {r["token"]: r["odds"] for r in df.orderBy(F.desc("z"), "token").limit(VOCABULARY).collect()}
-    model.words, model.stems = top(evident.where("not stem")), top(evident.where("stem"))
-
-    ids = single.where("not fit").select("sketch", "toxic")
-    unstage(featured, evident)
-    return _calibrated(model, texts, ids)
+    counts = stage(counts, "toxicity-counts")
+    model, parts = _learnt(counts, sizes), [_learnt(counts, sizes, k) for k in range(FOLDS)]
+    model.weights = constant
+    unstage(featured, counts)
+    return _calibrated(model, parts, texts, single.select("sketch", "toxic"))
 
 
-def _calibrated(model: Model, texts: DataFrame, ids: DataFrame) -> Model:
-    """Fits the chance law on clean documents of the second half, and the logistic step on all of that half.
+def _calibrated(model: Model, parts: list[Model], texts: DataFrame, ids: DataFrame) -> Model:
+    """Fits the chance law on clean documents and the logistic step on all, each scored by the part without its fold.
 
     Rows that come to the driver are numbers of documents of the bounded sample.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(model)
+        by_fold = [_Scores(part, _Scores.LIMIT // FOLDS) for part in parts]
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 text = (text.as_py() or "").lower()
                 tokens = _TOKEN.findall(text)
+                sketch = _sketch(tokens)
+                scores = by_fold[_fold(sketch)]
                 n, found = passages(text, scores)
                 rows.append(
                     {
-                        "sketch": _sketch(tokens),
+                        "sketch": sketch,
                         "toxic": toxic.as_py(),
                         "n": n,
                         "found": [s for _, _, s in found],
