@@ -7,6 +7,9 @@ from vaportrail.llm import decontaminate, minhash, mixing, secrets, toxicity
 from vaportrail.session import stage
 
 
+NEAR_COPY_WORDS = 5  # of a shingle; the query op2_near_duplicates by itself takes two
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model learns from labelled documents of this stage's input."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -14,8 +17,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
-    dropped = stage(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "pipeline-copies")
+    """Of each group of near copies, by the sets of their five-word shingles, the document of the smallest id stays."""
+    copies = minhash.near_duplicates(docs, words=NEAR_COPY_WORDS)
+    dropped = stage(copies.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-copies")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

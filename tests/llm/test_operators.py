@@ -106,6 +106,22 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.components(docs)
 
 
+def test_near_copies_of_the_pipeline_share_five_words(spark):
+    """Four words of 100 changed far apart: 91 of 107 two-word shingles agree, 76 of 116 five-word ones."""
+    import corpus_pipeline
+
+    w = [f"v{i}" for i in range(100)]
+    spread, ending = list(w), [*w[:-1], "x"]
+    for k in (20, 40, 60, 80):
+        spread[k] = f"e{k}"
+    rows = [(1, w), (2, spread), (3, ending), (4, ["a", "b"]), (5, ["A", "b"]), (6, ["b", "a"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    two = {r.doc_id: r.kept for r in minhash.near_duplicates(docs).collect()}
+    assert two == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == [1, 2, 4, 6]
+
+
 def test_estimates_agree_with_sets():
     rng = np.random.default_rng(3)
     hashes, base = WordHashes(), [f"v{i}" for i in range(400)]

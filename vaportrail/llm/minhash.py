@@ -2,6 +2,7 @@
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from vaportrail.session import new_stage_path, stage
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with a probability of 3e-6
 HASHES = BANDS * ROWS
 BITS = 4  # kept of each minimum
+WORDS = 2  # of a shingle
 PERCENT = 80  # linked from this similarity on
 # an estimate deviates by 0.033 at 0.8: five deviations below, one link in three million is passed over
 ESTIMATE = 0.635
@@ -30,12 +32,17 @@ _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFTS = np.arange(0, 64, BITS, dtype=np.uint64)
 
 
-def shingle_set(text: str, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's 2-word shingles; one word is a shingle by itself, no word is none."""
+def shingle_set(text: str, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of so many words; a shorter text is one shingle, no word is none."""
     h = hashes.array(ascii_words(text))
-    if len(h) > 1:
-        return np.unique(mix(h[:-1] * _FIRST + mix(h[1:] * _SECOND)))
-    return mix(h * _FIRST + np.uint64(1))
+    length = min(words, len(h))
+    if length < 2:
+        return np.unique(mix(h * _FIRST + np.uint64(1)))
+    n = len(h) - length + 1
+    rolled = h[length - 1 :]
+    for k in range(length - 2, -1, -1):
+        rolled = h[k : k + n] * _FIRST + mix(rolled * _SECOND)
+    return np.unique(mix(rolled))
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -57,7 +64,7 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(nibbles << _SHIFTS, axis=1)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """(id, n, set_hi, set_lo, signature, bands) of every row; the set hash tells equal sets, null for the empty one."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +73,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             n, hi, lo, signatures, bands = [], [], [], [], []
             for text in batch.column(1):
-                s = shingle_set(text.as_py() or "", hashes)
+                s = shingle_set(text.as_py() or "", hashes, words)
                 n.append(len(s))
                 if not len(s):
                     hi.append(None), lo.append(None), signatures.append(None), bands.append(None)
@@ -190,7 +197,7 @@ def _stored_by_id(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     return spark.table(table)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """The (a, b) whose full shingle sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +206,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             linked = []
             for b, text_a, text_b in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 if last != (b.as_py(), text_b):
-                    last, s = (b.as_py(), text_b), shingle_set(text_b.as_py() or "", hashes)
-                t = shingle_set(text_a.as_py() or "", hashes)
+                    last, s = (b.as_py(), text_b), shingle_set(text_b.as_py() or "", hashes, words)
+                t = shingle_set(text_a.as_py() or "", hashes, words)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 linked.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -319,7 +326,7 @@ class _Union(dict):
         return x
 
 
-def _links_between(task: tuple, hashes: WordHashes) -> Iterator[tuple[int, int]]:
+def _links_between(task: tuple, hashes: WordHashes, words: int) -> Iterator[tuple[int, int]]:
     """Links on full sets that join components of one task; pairs are tried only while their components are apart."""
     ids, comp, texts = task[3], task[4], task[-1]["text"]
     sets: dict[int, np.ndarray] = {}
@@ -327,7 +334,7 @@ def _links_between(task: tuple, hashes: WordHashes) -> Iterator[tuple[int, int]]
 
     def full_set(row: int) -> np.ndarray:
         if row not in sets:
-            sets[row] = shingle_set(texts[row].as_py() or "", hashes)
+            sets[row] = shingle_set(texts[row].as_py() or "", hashes, words)
         return sets[row]
 
     for x, others in _likely(task):
@@ -353,15 +360,15 @@ def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from task[-1].filter(pa.array(hit)).to_batches()
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for task in _tasks(batches):
-        if pairs := list(_links_between(task, hashes)):
+        if pairs := list(_links_between(task, hashes, words)):
             a, b = (pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
 
-def bucket_links(classes: DataFrame, shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+def bucket_links(classes: DataFrame, shared: DataFrame, found: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(a, b) that join components: every pair that shares a bucket, is still apart and passes the estimate is tried.
 
     Pairs are never written out. Members meet first with their signatures alone; those that have a partner to be tried
@@ -373,13 +380,14 @@ def bucket_links(classes: DataFrame, shared: DataFrame, found: DataFrame, texts:
     likely = members.repartition(*task).sortWithinPartitions(*task).mapInArrow(_with_partner, _MEMBER)
     likely = stage(likely, "minhash-likely")
     together = likely.join(texts.withColumnRenamed("id", "class"), "class").select(*likely.columns, "text")
-    return together.repartition(*task).sortWithinPartitions(*task).mapInArrow(_confirmed, "a long, b long")
+    return together.repartition(*task).sortWithinPartitions(*task).mapInArrow(partial(_confirmed, words=words), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
-    Words are runs of non-blanks with A-Z lowered; a document's set are its distinct 2-word shingles, or its only word.
+    Words are runs of non-blanks with A-Z lowered; a document's set are its distinct shingles of ``words`` words, or of
+    all its words if they are fewer.
     Two documents are linked if their sets agree to 80 %; a component is named by its smallest id, which is kept.
 
     Documents of equal sets form a class, and one stands for all. Classes that share a band of the MinHash signature are
@@ -391,7 +399,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts that are null, empty or blank have 0 shingles and stay alone. Rows that share an id count as one document when
     linking; rows without id are linked with nothing and have no component but are kept. Other columns are ignored.
     """
-    rows = stage(sketches(docs, id_col, text_col), "minhash-sketches")
+    rows = stage(sketches(docs, id_col, text_col, words), "minhash-sketches")
     same_set = ["set_hi", "set_lo", "n"]
     classes = stage(
         rows.where("n > 0 and id is not null")
@@ -412,17 +420,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_buckets = stage(stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct(), "minhash-ids")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     texts = _stored_by_id(texts, in_buckets, "minhash_texts")
-    links = stage(confirm(best, texts), "minhash-links")
+    links = stage(confirm(best, texts, words), "minhash-links")
     found = components(links)
 
     across = (
         _across(tried, found).groupBy("a", "comp_b").agg(F.max_by("b", "estimate").alias("b")).select("a", "b")
     ).join(best, ["a", "b"], "left_anti")
     across = stage(across, "minhash-pairs")
-    links = stage(links.unionByName(confirm(across, texts)), "minhash-links")
+    links = stage(links.unionByName(confirm(across, texts, words)), "minhash-links")
     found = components(links)
 
-    links = stage(links.unionByName(bucket_links(classes, shared, found, texts)), "minhash-links")
+    links = stage(links.unionByName(bucket_links(classes, shared, found, texts, words)), "minhash-links")
     found = components(links)
 
     named = _labelled(classes.select(*same_set, "class"), found, "class", "component")
