@@ -29,3 +29,13 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_deviation_is_of_all_flights(spark, sf_dir, monkeypatch):
+    """j8_deviation asks for every flight, whatever the display cap of live_planes."""
+    from vaportrail.operators import live
+
+    asked, live_planes = [], live.live_planes
+    monkeypatch.setattr(live, "live_planes", lambda p, a, limit=1: asked.append(limit) or live_planes(p, a, limit))
+    QUERIES["j8_deviation"][0](spark, sf_dir).collect()
+    assert asked == [None]

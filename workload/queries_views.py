@@ -319,9 +319,9 @@ def q9(spark, d):
     ),
 )
 def j8(spark, d):
-    """End points of the forecast and actual path of route anomalies that were tracked over all horizons."""
+    """End points of the forecast and actual path of route anomalies that were tracked over all horizons; of all flights."""
     flights = stage(derived.flights(spark, d), "flights")
-    shown = live.live_planes(forecast.forecast(flights), derived.anomalies_of(flights))
+    shown = live.live_planes(forecast.forecast(flights), derived.anomalies_of(flights), limit=None)
     return shown.where(F.size("actual_path") == 3).select(
         "flight_id", rd("deviation.predicted_lat").alias("predicted_lat"), rd("deviation.actual_lat").alias("actual_lat")
     )
