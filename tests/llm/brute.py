@@ -1,6 +1,8 @@
 """Plain restatements of the text operators for small inputs."""
 
+import hashlib
 import re
+import zlib
 
 
 def words(text):
@@ -66,3 +68,71 @@ def leaks(docs, items, n=5, least=0.8):
                 if (s := weight(a & b) / weight(a | b)) >= least:
                     best[i, k] = max(best.get((i, k), 0.0), s)
     return best
+
+
+def token_ids(text, end=None):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenizer.encode(text or "", add_special_tokens=False).ids + ([] if end is None else [end])
+
+
+def ids_crc32(ids):
+    return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def merkle_levels(digests):
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        level = levels[-1]
+        levels.append([sha("".join(level[i : i + 3])) for i in range(0, len(level), 3)])
+    return levels
+
+
+def merkle(rows):
+    """rows: (doc_id, source, leaf) -> [(doc_id, source, leaf, subroot, root, siblings of the whole way)]."""
+    by_source = {}
+    for doc_id, source, leaf in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        by_source.setdefault(source, []).append((doc_id, leaf))
+    order = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: merkle_levels([leaf for _, leaf in by_source[s]]) for s in order}
+    top = merkle_levels([trees[s][-1][0] for s in order])
+
+    def way(levels, place):
+        siblings = []
+        for level in levels[:-1]:
+            first = place - place % 3
+            siblings += level[first:place] + level[place + 1 : first + 3]
+            place //= 3
+        return siblings
+
+    out = []
+    for k, s in enumerate(order):
+        for place, (doc_id, leaf) in enumerate(by_source[s]):
+            out.append((doc_id, s, leaf, trees[s][-1][0], top[-1][0], "".join(way(trees[s], place) + way(top, k))))
+    return out
+
+
+def codes(rows, parts, entries, rounds):
+    """rows: (vec_id, [int]) in order of vec_id -> ([code], [error], books) by plain integers."""
+    width = len(rows[0][1]) // parts
+    cut = [[v[p * width : p * width + width] for p in range(parts)] for _, v in rows]
+    books = [[list(c[p]) for c in cut[:entries]] for p in range(parts)]
+
+    def best(part, book):
+        return min((sum((x - y) ** 2 for x, y in zip(part, entry, strict=True)), e) for e, entry in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            mine = [best(c[p], books[p])[1] for c in cut]
+            for e in range(len(books[p])):
+                own = [c[p] for c, m in zip(cut, mine, strict=True) if m == e]
+                if own:
+                    books[p][e] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    found = [[best(c[p], books[p]) for p in range(parts)] for c in cut]
+    return ["".join(f"{e:02x}" for _, e in f) for f in found], [sum(d for d, _ in f) for f in found], books

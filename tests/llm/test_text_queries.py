@@ -18,7 +18,7 @@ def test_matches_sql(spark, sf_dir, name):
 def test_every_operator_is_registered():
     import __spark_entry__ as e
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(e.queries())
 
 
@@ -65,6 +65,16 @@ def test_tokens(spark, sf_dir, tables):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
 
 
+def test_token_files(spark, sf_dir, tables):
+    want, start = {}, 0
+    for r in tables("documents").orderBy("doc_id").collect():
+        ids = brute.token_ids(r.text, end=2)
+        want[r.doc_id] = (start, len(ids), brute.ids_crc32(ids))
+        start += len(ids)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op13_token_files"][0](spark, sf_dir).collect()}
+    assert got == want
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

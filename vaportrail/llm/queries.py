@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaportrail.llm import chat, decontaminate, minhash, mixing, nearest, pii, secrets, sql, tokens, toxicity, warc
+from vaportrail.llm import chat, codes, decontaminate, merkle, minhash, mixing, nearest, pii, secrets, sql, token_files, tokens
+from vaportrail.llm import toxicity, warc
 
 # of the registered query only: a deployment passes its own secret
 PSEUDONYM_KEY = "vaportrail"
@@ -84,3 +85,33 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+
+
+@query("op11_merkle", sql.MERKLE)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    rows = docs.select("doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"), merkle.leaf(*fields, text).alias("probe"))
+    whole = merkle.manifest(rows, ("probe",)).withColumn("folded_root", merkle.fold(F.col("probe"), F.col("proof")))
+    return whole.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(merkle.proof_text(F.col("proof"))).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_codes", sql.CODES)
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(codes.codebooks_digest(books)))
+
+
+@query("op13_token_files")
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"))

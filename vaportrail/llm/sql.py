@@ -106,3 +106,102 @@ WITH whole AS (
 )
 SELECT conv_id, 0::BIGINT AS part, n_turns, copies, rendered FROM distinct_ones
 """
+
+
+def _tree(name: str, leaves: str, probes: str) -> str:
+    """Levels of all trees of ``leaves`` (tree, place, digest), and the way of every probe (tree, place, own, key) to its top."""
+    return rf"""
+{name}_nodes AS (
+  SELECT tree, 0 AS level, place, digest, count(*) OVER (PARTITION BY tree) AS n FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3
+  FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, place // 3, n
+), {name}_runs AS (
+  SELECT tree, level, place // 3 AS run, list(digest ORDER BY place) AS l FROM {name}_nodes WHERE n > 1
+  GROUP BY tree, level, place // 3
+), {name}_walk AS (
+  SELECT key, tree, 0 AS level, place, own, '' AS proof FROM {probes}
+  UNION ALL
+  SELECT key, w.tree, w.level + 1, w.place // 3,
+         sha256(array_to_string(l[1:w.place % 3], '') || own || array_to_string(l[w.place % 3 + 2:], '')),
+         proof || array_to_string(l[1:w.place % 3], '') || array_to_string(l[w.place % 3 + 2:], '')
+  FROM {name}_walk w JOIN {name}_runs r ON r.tree = w.tree AND r.level = w.level AND r.run = w.place // 3
+), {name}_end AS (
+  SELECT key, arg_max(own, level) AS own, arg_max(proof, level) AS proof FROM {name}_walk GROUP BY key
+)"""
+
+
+def _fields(text: str) -> str:
+    columns = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in columns) + ")"
+
+
+MERKLE = rf"""
+WITH RECURSIVE marked AS (
+  SELECT *, coalesce('=' || source, '') AS tree, row_number() OVER () AS key,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i:
+             [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, o: CASE WHEN o >= 0 THEN xor(c, o)
+                             ELSE xor(c >> 1, CASE WHEN (c & 1) = 1 THEN 3988292384 ELSE 0 END) END)) AS crc
+  FROM documents
+), digests AS (
+  SELECT *, {_fields("text")} AS leaf,
+         CASE WHEN crc % 2 = 0 THEN {_fields("replace(text, chr(10), '')")} ELSE {_fields("text")} END AS own
+  FROM marked
+), leaves AS (
+  SELECT doc_id, key, tree, leaf, leaf AS digest, own,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM digests
+), {_tree("doc", "leaves", "leaves")}, subroots AS (
+  SELECT tree, digest FROM doc_nodes WHERE n = 1
+), forest AS (
+  SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, digest, tree AS source FROM subroots
+), probes AS (
+  SELECT l.key, '' AS tree, f.place, e.own FROM leaves l JOIN doc_end e USING (key) JOIN forest f ON f.source = l.tree
+), {_tree("all", "forest", "probes")}
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(d.proof || a.proof) AS proof_sha256,
+       a.own AS folded_root, a.own = r.digest AS verified
+FROM leaves l JOIN doc_end d USING (key) JOIN all_end a USING (key) JOIN subroots s ON s.tree = l.tree
+CROSS JOIN (SELECT digest FROM all_nodes WHERE n = 1) r
+"""
+
+
+def _rounds(n: int) -> str:
+    rounds = []
+    for k in range(n + 1):
+        rounds.append(rf"""
+assigned{k} AS MATERIALIZED (  -- distance and index of the nearest entry in one number: ties go to the lower index
+  SELECT r, p, min(away * 16 + e) AS best
+  FROM (SELECT r, p, e, sum((x - c) * (x - c))::BIGINT AS away FROM cut JOIN book{k} USING (p, i) GROUP BY r, p, e)
+  GROUP BY r, p
+)""")
+        if k < n:
+            rounds.append(rf"""
+book{k + 1} AS MATERIALIZED (
+  SELECT p, e, i, coalesce((s - ((s % n + n) % n)) // n, c) AS c
+  FROM book{k} LEFT JOIN (
+    SELECT p, best % 16 AS e, i, sum(x)::BIGINT AS s, count(*) AS n FROM cut JOIN assigned{k} USING (r, p) GROUP BY ALL
+  ) USING (p, e, i)
+)""")
+    return ",".join(rounds)
+
+
+CODES = rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, len(embedding) // 8 AS width,
+         list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT r, (pos - 1) // width AS p, (pos - 1) % width AS i, x
+  FROM (SELECT r, width, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT p, e, i, x AS c FROM cut JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (r) WHERE e < 16
+), {_rounds(6)}, coded AS (
+  SELECT r, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error FROM assigned6 GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM book6) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
