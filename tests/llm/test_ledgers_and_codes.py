@@ -196,8 +196,42 @@ def test_broken_token_files_are_refused():
     writer = token_files.FileWriter(3)
     list(writer.add([1, None], np.array([5, 6, 7], np.uint64), np.array([2, 1])))
     content = writer.file() + token_files.END.encode()
-    task, before, ids, lengths, tokens = token_files.parse_file(content)
+    ((task, before, ids, lengths, tokens),) = token_files.parse_file(content)
     assert (task, before, ids, lengths.tolist(), tokens.tolist()) == (3, 0, [1, None], [2, 1], [5, 6, 7])
     for broken in (content[:-8], content[8:], content[:16] + content[-8:], b""):
         with pytest.raises(ValueError):
-            token_files.parse_file(broken)
+            list(token_files.parse_file(broken))
+
+
+def test_cuts_change_no_token():
+    rng = np.random.default_rng(8)
+    bits = ["a", "Bc", "é", "ß", "×", "…", "1", "23", ".", ",", "-", "'s", "'", "(", "\n", "\n\n", " ", "  ", "\t", "\r\n", "\u00a0", "\u3000", "日本", "𝒳"]
+    bits += ["<|endoftext|>", "<|endoftext", "|>", "\x1c", "\x0b", "\u0085", "word", " the", "\u2028", "e\u0301"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(4000)]
+    encoder = token_files.PieceIds("byte_bpe_50k.json", 2)
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    want = [e.ids + [2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time every piece is known
+        ids, lengths = encoder.encode(offsets, np.frombuffer(b"".join(raw), np.uint8))
+        got = [ids[stop - n : stop].tolist() for stop, n in zip(np.cumsum(lengths), lengths, strict=True)]
+        assert got == want
+
+
+def test_a_full_cache_changes_no_token(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 50)
+    encoder = token_files.PieceIds("byte_bpe_50k.json", None)
+    for k in range(30):
+        text = " ".join(f"w{i % (3 + k)}x{i % 7}" for i in range(200)).encode()
+        ids, lengths = encoder.encode(np.array([0, len(text)]), np.frombuffer(text, np.uint8))
+        assert ids.tolist() == brute.token_ids(text.decode()) and lengths.tolist() == [len(ids)]
+    assert len(encoder.pieces) < 400
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encoder = token_files.PieceIds("word_bpe_49k.json", None)
+    texts = ["Some words, here.", "", "more of  them\nand more"]
+    raw = [t.encode() for t in texts]
+    ids, lengths = encoder.encode(np.concatenate([[0], np.cumsum([len(t) for t in raw])]), np.frombuffer(b"".join(raw), np.uint8))
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not encoder.cuts and lengths.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])

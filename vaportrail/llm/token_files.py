@@ -11,6 +11,7 @@ numbers of documents, blocks, words and escapes; document ids; for each document
 """
 
 import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,7 +30,8 @@ MAGIC, END = b"S8B-IDS\n", "s8b-end\n"
 BLOCK_IDS = 1 << 16
 FILE_WORDS = 1 << 20  # 8 MB; a file ends with the document that fills it
 BATCH_BYTES = 4 << 20  # of text, encoded at once
-CACHE_PIECES = 200_000  # and as many as fit in CACHE_BYTES, remembered by a worker
+RUN_IDS = 1 << 18  # packed or unpacked at once, but for a longer block or document
+CACHE_PIECES = 400_000  # and as many as fit in CACHE_BYTES, remembered by a worker
 CACHE_BYTES = 24 << 20
 
 _PAD = max(COUNTS) - 1
@@ -63,69 +65,173 @@ def _tokenizer(name: str):
     return tokenizer
 
 
-def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Places of single blanks between two visible characters, where byte-level pre-tokenizers start a new token.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), 32]] = True
+# first bytes of the characters beyond ASCII among which there are blanks
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,:;!?()[]\"-"]] = True
 
-    A neighbour that might be a blank beyond ASCII (by its first byte) is taken for one: no cut is better than a wrong one.
+
+def safe_cuts(data: np.ndarray, specials: list[bytes] = ()) -> np.ndarray:
+    """Places where the byte-level pre-tokenizer starts a new token whatever the neighbours are, and neither side's tokens
+    depend on the other: before a single blank or line end between two visible characters, after such a line end, and between
+    a letter and a punctuation mark. Nothing inside a special string is cut.
+
+    A neighbour that might be a blank beyond ASCII (by its first byte) is taken for one, and of the letters beyond ASCII only those of
+    Latin-1 for letters: no cut is better than a wrong one.
     """
-    at = np.flatnonzero(data == 0x20)
-    at = at[(at > 0) & (at < len(data) - 1)]
-    blank = np.zeros(256, bool)
-    blank[[9, 10, 11, 12, 13, 32]] = True
-    wide = np.zeros(256, bool)
-    wide[[0xE1, 0xE2, 0xE3]] = True
-    before, after = data[at - 1], data[at + 1]
-    unsafe = blank[before] | blank[after] | wide[after] | (after == 0xC2)
-    unsafe |= (before >= 0x80) & ((data[np.maximum(at - 2, 0)] == 0xC2) | wide[data[np.maximum(at - 3, 0)]])
-    return at[~unsafe]
+    n = len(data)
+    if n < 3:
+        return np.zeros(0, np.int64)
+    visible = ~_BLANK[data]
+    # the next character is visible; the one before ends in this byte and is visible
+    next_visible = visible & ~_WIDE[data]
+    last_visible = visible.copy()
+    late = np.flatnonzero(data >= 0x80)
+    last_visible[late] = ~(_WIDE[data[np.maximum(late - 1, 0)]] | _WIDE[data[np.maximum(late - 2, 0)]])
+    letter = _LETTER[data]
+    latin = late[late > 0]
+    latin = latin[(data[latin - 1] == 0xC3) & (data[latin] != 0x97) & (data[latin] != 0xB7)]
+    letter[latin] = True
+    gap = np.zeros(n, bool)
+    gap[1:-1] = last_visible[:-2] & next_visible[2:]
+    line = gap & (data == 10)
+    cut = gap & (data == 32) | line
+    cut[1:] |= line[:-1] | (letter[:-1] & _MARK[data[1:]])
+    if specials:
+        text = data.tobytes()
+        for special in specials:
+            at = text.find(special)
+            while at >= 0:
+                cut[at + 1 : at + len(special)] = False
+                at = text.find(special, at + 1)
+    return np.flatnonzero(cut)
 
 
 class PieceIds:
-    """Ids of pieces between safe cuts. Equal pieces of a batch are found at once; only unknown ones are encoded."""
+    """Ids of pieces between safe cuts. Equal pieces of a batch are found at once; only unknown ones are encoded.
+
+    What is known is held as plain arrays: the pieces, how often each was seen, and the place and number of its ids. Beyond
+    CACHE_PIECES, or CACHE_BYTES of them, the more frequent half stays.
+    """
 
     def __init__(self, name: str, end_id: int | None):
-        self.tokenizer, self.end_id = _tokenizer(name), end_id
-        self._forget()
+        self.tokenizer = _tokenizer(name)
+        shape = json.loads(self.tokenizer.to_str())
+        split = shape.get("pre_tokenizer") or {}
+        # others are encoded whole
+        self.cuts = (
+            split.get("type") == "ByteLevel"
+            and split.get("use_regex", True)
+            and not split.get("add_prefix_space")
+            and shape.get("normalizer") is None
+        )
+        self.specials = [t["content"].encode() for t in shape.get("added_tokens", [])]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_id = line[0] if self.cuts and len(line) == 1 else None
+        # piece 0 is the end of a document
+        self.pieces = pa.array([b"\n\n end of a document \n\n"], pa.binary())
+        self.ids = np.array([] if end_id is None else [end_id], np.uint32)
+        self.lengths, self.seen = np.array([len(self.ids)]), np.array([1 << 60])
+
+    def _alone(self, texts: list[bytes]) -> list[list[int]]:
+        texts = [t.decode("utf-8", "replace") for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _simple(self, pieces: pa.Array) -> np.ndarray:
+        """Pieces of visible characters behind at most one blank: line ends between them are tokens of their own."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        bad = _BLANK[data] | _WIDE[data]
+        starts, stops = offsets[:-1], offsets[1:]
+        first = starts[starts < stops]
+        bad[first] &= data[first] != 32
+        count = np.concatenate([[0], np.cumsum(bad)])
+        blank_only = (stops - starts == 1) & (data[np.minimum(starts, max(0, len(data) - 1))] == 32) if len(data) else True
+        return (count[stops] == count[starts]) & (stops > starts) & ~blank_only
+
+    def _encode_new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number for each piece)."""
+        simple = self._simple(pieces) if self.line_id is not None else np.zeros(len(pieces), bool)
+        lengths = np.zeros(len(pieces), np.int64)
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces) if not simple.any() else []
+        many = np.flatnonzero(simple)
+        runs, breaks = [], []
+        joined = pieces.take(pa.array(many)).to_pylist()
+        texts = [b"\n".join(joined[i : i + 200]) for i in range(0, len(joined), 200)]
+        for e in self._alone(texts):
+            run = np.array(e, np.uint32)
+            ends = np.append(np.flatnonzero(run == self.line_id), len(run))
+            breaks.append(np.diff(ends, prepend=-1) - 1)
+            runs.append(run[run != self.line_id])
+        one = np.concatenate([np.zeros(0, np.uint32), *runs])
+        lengths[many] = np.concatenate([np.zeros(0, np.int64), *breaks])
+        few = np.flatnonzero(~simple)
+        parts = self._alone(pieces.take(pa.array(few)).to_pylist())
+        lengths[few] = [len(p) for p in parts]
+        other = np.array([i for p in parts for i in p], np.uint32)
+        # simple and other pieces' ids, each in order of their pieces
+        stops = np.cumsum(lengths)
+        owner = np.repeat(simple, lengths)
+        ids = np.zeros(stops[-1] if len(stops) else 0, np.uint32)
+        ids[owner], ids[~owner] = one, other
+        return ids, lengths
 
     def _forget(self) -> None:
-        # piece 0 is the end of a document
-        self.known: dict[bytes, int] = {}
-        self.ids = [np.array([] if self.end_id is None else [self.end_id], np.uint64)]
-        self.lengths, self.held = [len(self.ids[0])], 0
-
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHE_PIECES or self.held > CACHE_BYTES:
-            self._forget()
-        new = [p for p in pieces if p not in self.known]
-        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        for piece, e in zip(new, encoded, strict=True):
-            self.known[piece] = len(self.lengths)
-            self.lengths.append(len(e.ids))
-            self.ids.append(np.array(e.ids, np.uint64))
-            self.held += 200 + len(piece) + 8 * len(e.ids)
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+        if len(self.pieces) <= CACHE_PIECES and self.pieces.nbytes + self.ids.nbytes <= CACHE_BYTES:
+            return
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[: len(self.seen) // 2])
+        starts = np.cumsum(self.lengths) - self.lengths
+        lengths = self.lengths[keep]
+        at = np.repeat(starts[keep] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        self.ids, self.lengths, self.seen = self.ids[at], lengths, self.seen[keep]
+        self.pieces = self.pieces.take(pa.array(keep))
+
+    def _numbers(self, pieces: pa.Array, counts: np.ndarray) -> np.ndarray:
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unknown = pa.concat_arrays([pieces.take(pa.array(new))])
+            ids, lengths = self._encode_new(unknown)
+            found[new] = len(self.pieces) + np.arange(len(new))
+            self.pieces = pa.concat_arrays([self.pieces, unknown])
+            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen[found] += counts
+        return found
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts at ``offsets`` of ``data``, one after the other, and the number of each."""
-        starts, stops = offsets[:-1], offsets[1:]
-        edges = np.unique(np.concatenate([starts, stops, safe_cuts(data)]))
-        n_bytes = pa.py_buffer(data)
-        pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), n_bytes])
-        coded = pieces.dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        last = np.searchsorted(edges, stops)  # pieces before the end of each text
+        self._forget()
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        if self.cuts:
+            edge[safe_cuts(data, self.specials)] = True
+        edges = np.flatnonzero(edge)
+        buffers = [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]
+        coded = pa.Array.from_buffers(pa.binary(), len(edges) - 1, buffers).dictionary_encode()
+        coded, pieces = coded.indices.to_numpy(), coded.dictionary
+        numbers = self._numbers(pieces, np.bincount(coded, minlength=len(pieces)))[coded]
+        last = np.searchsorted(edges, offsets[1:])  # pieces before the end of each text
         numbers = np.insert(numbers, last, 0)
-        lengths = np.array(self.lengths, np.int64)
-        places = np.cumsum(lengths) - lengths
-        n = lengths[numbers]
+        places = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths[numbers]
         done = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[0][np.repeat(places[numbers] - done[:-1], n) + np.arange(done[-1])]
+        ids = self.ids[np.repeat(places[numbers] - done[:-1], n) + np.arange(done[-1])]
         ends = done[last + np.arange(1, len(last) + 1)]
         return ids, np.diff(ends, prepend=0)
 
 
+@functools.cache
+def _worker_pieces(name: str, end_id: int | None) -> PieceIds:
+    """One for all tasks of a worker."""
+    return PieceIds(name, end_id)
+
+
 # --- Simple-8b
 
 
@@ -194,6 +300,16 @@ def unpack(words: np.ndarray, n_words: np.ndarray, lengths: np.ndarray, escapes:
     return ids
 
 
+def spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of places whose sizes sum to ``most`` at most, or that are one place."""
+    done = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(done, done[at] + most, "right")) - 1)
+        yield at, stop
+        at = stop
+
+
 class FileWriter:
     """Documents of one task in, whole files out."""
 
@@ -212,18 +328,22 @@ class FileWriter:
         place = np.repeat(np.arange(len(lengths)), per_doc)
         nth = np.arange(len(place)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
         sizes = np.minimum(lengths[place] - nth * self.block_ids, self.block_ids)
-        words, n_words, escapes = pack(ids, sizes)
         self.ids += doc_ids
-        words[words >> np.uint64(60) == 0] += np.uint64(self.n_escapes)
-        offsets = self.n_words + np.cumsum(n_words) - n_words
-        index = np.column_stack([(place + self.documents) << 32 | sizes, offsets])
-        self.blocks.append(index.astype(np.uint64))
-        self.words.append(words)
-        self.escapes.append(escapes)
+        done = np.cumsum(sizes)
+        for first, last in spans(sizes, RUN_IDS):
+            base = int(done[first] - sizes[first])
+            words, n_words, escapes = pack(ids[base : base + int(sizes[first:last].sum())], sizes[first:last])
+            if len(escapes):
+                words[words >> np.uint64(60) == 0] += np.uint64(self.n_escapes)
+            offsets = self.n_words + np.cumsum(n_words) - n_words
+            index = np.column_stack([(place[first:last] + self.documents) << 32 | sizes[first:last], offsets])
+            self.blocks.append(index.astype(np.uint64))
+            self.words.append(words)
+            self.escapes.append(escapes)
+            self.n_words += len(words)
+            self.n_escapes += len(escapes)
         self.documents += len(doc_ids)
-        self.n_words += len(words)
         self.n_ids += len(ids)
-        self.n_escapes += len(escapes)
         if self.n_words >= self.file_words:
             yield self.file()
 
@@ -242,8 +362,11 @@ class FileWriter:
         return out
 
 
-def parse_file(content: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
-    """(writing task, ids of the task before the file, document ids, ids of each, all ids). Broken files raise ValueError."""
+def parse_file(content: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.ndarray]]:
+    """(writing task, ids of the task before, document ids, ids of each, all ids) of runs of a file's documents.
+
+    Broken files raise ValueError.
+    """
     if len(content) < 64 or len(content) % 8 or content[:8] != MAGIC or content[-8:] != END.encode():
         raise ValueError("no whole Simple-8b file")
     all_words = np.frombuffer(content, "<u8")
@@ -253,10 +376,14 @@ def parse_file(content: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
         raise ValueError("sizes and length of a Simple-8b file disagree")
     ids, nulls, blocks, escapes, words = np.split(all_words[7:-1], np.cumsum(sizes)[:-1])
     blocks = blocks.reshape(-1, 2).astype(np.int64)
-    lengths, offsets = blocks[:, 0] & 0xFFFFFFFF, blocks[:, 1]
-    per_doc = np.bincount(blocks[:, 0] >> 32, weights=lengths, minlength=n_docs).astype(np.int64)
+    owner, lengths, offsets = blocks[:, 0] >> 32, blocks[:, 0] & 0xFFFFFFFF, np.append(blocks[:, 1], n_words)
+    per_doc = np.bincount(owner, weights=lengths, minlength=n_docs).astype(np.int64)
     doc_ids = [None if null else i for i, null in zip(ids.astype(np.int64).tolist(), nulls.tolist(), strict=True)]
-    return place >> 32, before, doc_ids, per_doc, unpack(words, np.diff(offsets, append=n_words), lengths, escapes)
+    for first, last in spans(per_doc, RUN_IDS):
+        a, b = np.searchsorted(owner, [first, last])
+        tokens = unpack(words[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1]), lengths[a:b], escapes)
+        yield place >> 32, before, doc_ids[first:last], per_doc[first:last], tokens
+        before += len(tokens)
 
 
 # --- tables
@@ -284,19 +411,16 @@ def write_tokens(
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "row").select("id", F.col("text").cast("binary"))
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = PieceIds(tokenizer, end_id), FileWriter(TaskContext.get().partitionId(), file_words, block_ids)
+        encoder, writer = _worker_pieces(tokenizer, end_id), FileWriter(TaskContext.get().partitionId(), file_words, block_ids)
         row = lambda content: pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["value"])
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            at = 0
-            while at < len(ids):
-                stop = max(at + 1, int(np.searchsorted(sizes, sizes[at] + batch_bytes, "right")) - 1)
+            for at, stop in spans(np.diff(sizes), batch_bytes):
                 data = np.frombuffer(b"".join(texts[at:stop].to_pylist()), np.uint8)
                 tokens, lengths = encoder.encode(sizes[at : stop + 1] - sizes[at], data)
                 for content in writer.add(ids[at:stop], tokens, lengths):
                     yield row(content)
-                at = stop
         if writer.documents:
             yield row(writer.file())
 
@@ -315,21 +439,18 @@ def read_tokens(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                task, before, doc_ids, lengths, ids = parse_file(content.as_py())
-                data = ids.astype(f"<u{width}").tobytes()
-                stops = np.cumsum(lengths)
-                payload = [data[width * a : width * b] for a, b in zip((stops - lengths).tolist(), stops.tolist(), strict=True)]
-                n = len(doc_ids)
-                columns = [
-                    pa.array(doc_ids, pa.int64()),
-                    pa.array([task] * n, pa.int64()),
-                    pa.array(before + stops - lengths, pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array(payload, pa.binary()),
-                ]
-                for at in range(0, n, 2000):
-                    part = [c.slice(at, 2000) for c in columns]
-                    yield pa.RecordBatch.from_arrays(part, names=["doc_id", "task", "task_start", "n_tokens", "ids"])
+                for task, before, doc_ids, lengths, ids in parse_file(content.as_py()):
+                    data = ids.astype(f"<u{width}").tobytes()
+                    stops = np.cumsum(lengths)
+                    payload = [data[width * a : width * b] for a, b in zip((stops - lengths).tolist(), stops.tolist(), strict=True)]
+                    columns = [
+                        pa.array(doc_ids, pa.int64()),
+                        pa.array([task] * len(doc_ids), pa.int64()),
+                        pa.array(before + stops - lengths, pa.int64()),
+                        pa.array(lengths, pa.int64()),
+                        pa.array(payload, pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "task", "task_start", "n_tokens", "ids"])
 
     fields = "doc_id long, task long, task_start long, n_tokens long, ids binary"
     return found.where("length > 0").select("content").mapInArrow(documents, fields)
