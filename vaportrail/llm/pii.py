@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+_QUADS = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"  # the usual grouping of a card
 # fixed values: forms that are looked at, in the order in which they are tried at a place
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -20,7 +21,7 @@ FORMS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
     r"|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
+    "card": rf"(?<![0-9-])(?:{_QUADS}(?:[ -][0-9]{{1,4}}(?![0-9-])){{0,200}}|[0-9](?:(?![ -]?{_QUADS})[ -]?[0-9]){{12,18}})(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
 }
 ANY = "|".join(FORMS.values()).replace(r"([./])", r"(?:[./])").replace(r"\1", r"[./]")
@@ -134,15 +135,42 @@ def _mixed_number(n: Column, halves: tuple[int, int], key: str, label: str, back
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
-    """First digit and separators stay, the last is Luhn's; null for a number that fails the test."""
+    """First digit and separators stay, the last is Luhn's; null without a number that passes the test.
+
+    Other numbers may stand beside a card: tried are all runs of 13 to 19 digits between separators, the leftmost and
+    longest first, that do not overlap.
+    """
 
     def renumber(d: Column) -> Column:
         body = F.substring(d, F.lit(2), F.length(d) - 2)
         mixed = F.concat(_part(d, 1, 1), permuted_digits(body, key, "card", back))
         return _let(mixed, lambda x: F.concat(x, check_digit(x)))
 
-    valid = lambda d: check_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1)
-    return _let(_digits(m), lambda d: F.when(valid(d) & ~d.rlike("^0+$"), refilled(m, renumber(d))))
+    valid = lambda d: (check_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, -1, 1)) & ~d.rlike("^0+$")
+    none = F.array(F.lit(0))
+    edges = F.aggregate(
+        F.split(m, "[ -]"), none, lambda at, group: F.concat(at, F.array(F.element_at(at, -1) + F.length(group)))
+    )
+
+    def runs(at: Column) -> Column:
+        ends = lambda a: F.reverse(F.filter(at, lambda z: (z - a).between(13, 19)))
+        return F.flatten(F.transform(at, lambda a: F.transform(ends(a), lambda z: F.struct(a.alias("a"), z.alias("z")))))
+
+    def renumbered(d: Column, found: Column) -> Column:
+        def put(state: Column, run: Column) -> Column:
+            own = F.substring(d, run["a"] + 1, run["z"] - run["a"])
+            said = F.concat(
+                F.substring(state["d"], F.lit(1), run["a"]), renumber(own), F.substring(state["d"], run["z"] + 1, F.length(d))
+            )
+            return F.when(run["a"] >= state["free"], F.struct(said.alias("d"), run["z"].alias("free"))).otherwise(state)
+
+        return F.aggregate(found, F.struct(d.alias("d"), F.lit(0).alias("free")), put)["d"]
+
+    def within(d: Column) -> Column:
+        passing = F.filter(runs(edges), lambda r: valid(F.substring(d, r["a"] + 1, r["z"] - r["a"])))
+        return _let(passing, lambda found: F.when(F.size(found) > 0, refilled(m, renumbered(d, found))))
+
+    return _let(_digits(m), within)
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
