@@ -45,34 +45,28 @@ RULES = [
     # beyond the base kinds: private keys in PEM armour
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
 ]
-LEDGER = "blob string, rules array<string>, findings array<struct<start:long,kind_no:int,kind:string,stop:long>>"
+# a finding names the rule, with its version, that found it
+LEDGER = "blob string, rules array<string>, findings array<struct<start:long,rule:string,stop:long>>"
 
 
-def find_spans(text: str, rules: list[tuple[str, re.Pattern, int, int]]) -> list[dict]:
-    found = []
-    for no, (kind, pattern, group, least) in enumerate(rules):
-        for m in pattern.finditer(text):
-            if m.end(group) - m.start(group) >= least:
-                found.append({"start": m.start(), "kind_no": no, "kind": kind, "stop": m.end()})
-    return found
+def find_spans(text: str, rule: Rule) -> list[dict]:
+    matches = re.compile(rule.pattern, re.ASCII).finditer(text)  # compiled once: the module remembers patterns
+    spans = [(m.start(), m.end()) for m in matches if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    return [{"start": start, "rule": rule.key, "stop": stop} for start, stop in spans]
 
 
 def _scan_blobs(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
     """One ledger row per blob: the rules of its ``todo`` and what they found."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.key: (no, r.kind, re.compile(r.pattern, re.ASCII), r.group, r.least) for no, r in enumerate(rules)}
+        by_key = {r.key: r for r in rules}
         names = ["blob", "rules", "findings"]
-        kind = pa.struct([("start", pa.int64()), ("kind_no", pa.int32()), ("kind", pa.string()), ("stop", pa.int64())])
+        kind = pa.struct([("start", pa.int64()), ("rule", pa.string()), ("stop", pa.int64())])
         for batch in batches:
             findings = []
             for text, todo in zip(batch.column(1), batch.column(2), strict=True):
-                text, found = text.as_py() or "", []
-                for key in todo.as_py():
-                    no, name, pattern, group, least = compiled[key]
-                    for span in find_spans(text, [(name, pattern, group, least)]):
-                        found.append(span | {"kind_no": no})
-                findings.append(found)
+                text = text.as_py() or ""
+                findings.append([span for key in todo.as_py() for span in find_spans(text, by_key[key])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(findings, pa.list_(kind))], names=names)
 
     return blobs.select("blob", "text", "todo").mapInArrow(scan, LEDGER)
@@ -126,18 +120,19 @@ def _exists(spark, path: str) -> bool:
 
 
 def blob_findings(spark, ledger: str, rules: list[Rule] = RULES) -> DataFrame:
-    """(blob, findings) of blobs with findings of the given rules, once each, in order of start and kind.
+    """(blob, findings) of blobs with findings of the given rules in their given versions, once each, by start and kind.
 
     A blob may have several ledger rows: one for each time that rules were new, or repeats from equal rows of input.
     """
-    order = F.array(*[F.lit(r.kind) for r in rules])
+    order, kinds = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
+    number = (F.array_position(order, F.col("f.rule")) - 1).cast("int")
     return (
         spark.read.schema(LEDGER)
         .parquet(ledger)
         .where(F.size("findings") > 0)
         .select("blob", F.explode("findings").alias("f"))
-        .where(F.array_contains(order, F.col("f.kind")))
-        .select("blob", "f.start", (F.array_position(order, F.col("f.kind")) - 1).cast("int").alias("kind_no"), "f.kind", "f.stop")
+        .where(F.array_contains(order, F.col("f.rule")))
+        .select("blob", "f.start", number.alias("kind_no"), F.get(kinds, number).alias("kind"), "f.stop")
         .groupBy("blob")
         .agg(F.array_sort(F.collect_set(F.struct("start", "kind_no", "kind", "stop"))).alias("findings"))
     )
