@@ -62,26 +62,26 @@ def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first token, last token, score) of tokens that cost DRIFT unless hit.
 
     ``hits`` are (position, score) in order. Ruzzo and Tompa's scan: a new segment swallows the nearest earlier one that
-    starts lower, as long as that one ends lower too; every segment is pushed and swallowed once.
+    starts lower, as long as that one ends lower too. Each keeps a link to that nearest one, so the scan is linear.
     """
-    found: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, nearest that starts lower
     total, at = 0.0, 0
     for i, score in hits:
         total -= DRIFT * (i - at)
         at = i + 1
         first, last, low = i, i, total
         total += score
-        high = total
-        while found:
-            k = len(found) - 1
+        k = len(found) - 1
+        while True:
             while k >= 0 and found[k][2] >= low:
-                k -= 1
-            if k < 0 or found[k][3] >= high:
+                k = found[k][4]
+            if k < 0 or found[k][3] >= total:
                 break
-            first, low = found[k][0], found[k][2]
+            first, _, low, _, link = found[k]
             del found[k:]
-        found.append((first, last, low, high))
-    return [(first, last, high - low) for first, last, low, high in found]
+            k = link
+        found.append((first, last, low, total, k))
+    return [(first, last, high - low) for first, last, low, high, _ in found]
 
 
 def passages(text: str, scores: _Scores) -> tuple[int, list[tuple[int, int, float]]]:
