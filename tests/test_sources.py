@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaportrail import schemas
 from vaportrail.plans import bronze, gold, silver, views
-from vaportrail.sources import archives, columns, tables, traces
+from vaportrail.sources import archives, columns, ledger, tables, traces
 from vaportrail.streaming.ingest import ingest_new_files
 
 HEAD = "time,icao24,lat,lon,velocity,heading,vertrate,callsign,onground,squawk,baroaltitude"
@@ -70,6 +70,69 @@ def test_malformed_lines_and_missing_ids_are_counted(spark, tmp_path):
     assert (got["total_rows"], got["malformed_rows"], got["rows_without_id"]) == (4, 2, 1)
 
 
+def test_header_names_are_those_of_the_csv_reader(spark, tmp_path):
+    for i, line in enumerate(["a,b", "a,,c", "a,A,b", '"x, y",z', "\ufeffa,b"]):
+        (tmp_path / f"{i}.csv").write_text(f"\n{line}\n1,2,3\n")
+        want = [c.removeprefix("\ufeff") for c in archives.read_archive(spark, str(tmp_path / f"{i}.csv")).columns]
+        assert archives.header_columns(line) == want
+
+
+def test_two_thousand_files_are_a_few_jobs(spark, tmp_path):
+    f, out = tmp_path / "many", str(tmp_path / "bronze")
+    f.mkdir()
+    (f / "a b%20.csv").write_text("")
+    for i in range(2000):
+        head = HEAD if i % 2 else "epoch,HEX,lat,lon"
+        line = csv_line(MIDNIGHT + i) if i % 2 else f"{MIDNIGHT + i},abc,1,2"
+        (f / f"{i}_2026-01-{15 + i % 3}.csv").write_text(f"{head}\n{line}\n")
+    spark.sparkContext.setJobGroup("many files", "")
+    got = bronze.ingest_archives(spark, str(f), out)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many files"))
+    spark.sparkContext.setJobGroup("others", "")
+    assert jobs < 60
+    assert got.agg(F.count("*"), F.sum("total_rows"), F.count("error")).first()[:] == (2001, 2000, 1)
+    assert tables.load_bronze(spark, out).agg(F.count("*"), F.countDistinct("_source_file")).first()[:] == (2000, 2000)
+    signatures = ledger.entries(spark, out).where("status = 'done'").groupBy("signature").count().collect()
+    assert sorted(r["count"] for r in signatures) == [1000, 1000]
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("moment", ["before", "half", "after"])
+def test_a_killed_ingest_adds_nothing_twice(spark, folder, tmp_path, monkeypatch, moment):
+    out, whole = str(tmp_path / "bronze"), str(tmp_path / "whole")
+    (folder / "feed.csv").write_text("\n".join([HEAD, csv_line(MIDNIGHT)]) + "\n")  # undated
+    early = tmp_path / "early"
+    early.mkdir()
+    (early / "first_2026-01-15.csv").write_text("\n".join([HEAD, csv_line(MIDNIGHT + 5)]) + "\n")
+    for path in (out, whole):
+        bronze.ingest_archives(spark, str(early), path)
+    append = tables.append_bronze
+
+    def killed(rows, path):
+        if moment == "half":  # the files of a job that was committed in part
+            append(rows.where("altitude is not null"), path)
+        elif moment == "after":
+            append(rows, path)
+        raise Killed
+
+    monkeypatch.setattr(tables, "append_bronze", killed)
+    with pytest.raises(Killed):
+        bronze.ingest_archives(spark, str(folder), out)
+    monkeypatch.undo()
+    bronze.ingest_archives(spark, str(folder), whole)
+    report = bronze.ingest_archives(spark, str(folder), out)
+    assert {r["source_file"]: r["total_rows"] for r in report.collect() if not r["error"]} == {
+        "2026-01-15.csv.gz": 2, "states_2026-01-15.csv": 1, "feed_20260116.csv.gz": 1, "feed.csv": 1
+    }
+    columns_ = [c for c in tables.load_bronze(spark, out).columns if c not in ("_ingest_ts", "_source_row", "_source_block")]
+    rows = lambda path: sorted(map(str, tables.load_bronze(spark, path).select(*columns_).collect()))
+    assert rows(out) == rows(whole) and len(rows(out)) == 6
+    assert bronze.ingest_archives(spark, str(folder), out).where("error is null").count() == 0
+
+
 def test_undated_files_are_stored_once_whatever_the_day(spark, tmp_path):
     f, out = tmp_path / "undated", str(tmp_path / "bronze")
     f.mkdir()

@@ -1,49 +1,34 @@
 """Raw files to the Bronze table."""
 
-import os
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaportrail import schemas
-from vaportrail.functions.text import file_date, file_date_text
-from vaportrail.sources import archives, tables, traces
+from vaportrail.sources import archives, ledger, tables, traces
 
-FILE_REPORT = (
-    "source_file string, date date, total_rows bigint, malformed_rows bigint, rows_without_id bigint, error string"
-)
+FILES_PER_COMMIT = 1000
 
 
 def ingest_archives(
-    spark: SparkSession, folder: str, bronze_path: str, pattern: str = "*.csv*"
+    spark: SparkSession, folder: str, bronze_path: str, pattern: str = "*.csv*", files_per_commit: int = FILES_PER_COMMIT
 ) -> DataFrame:
     """Stores every new archive of a folder; one report row per file, with the error of each unreadable one.
 
-    Files stored by an earlier run are not read again, on whatever day that was.
+    Files stored by an earlier run are not read again, on whatever day that was; the ledger knows them. Files are stored
+    ``files_per_commit`` at a time, so the driver holds no more paths than that, and a killed ingest loses no more work.
     """
-    paths = archives.list_files(spark, folder, pattern)
-    name = F.col("_source_file")
-    names = spark.createDataFrame(
-        [(p, os.path.basename(p)) for p in paths], "path string, _source_file string"
-    ).withColumn("date", file_date(name))
-    dated = file_date_text(name).try_cast("date").isNotNull()
-    fresh = tables.not_stored(spark, bronze_path, names, dated)
-    paths = sorted(r["path"] for r in fresh.collect())
-    batch = archives.open_files(spark, paths)
-    if batch.bronze is not None:
-        tables.append_bronze(batch.bronze, bronze_path)
-    listed = spark.createDataFrame(
-        [(os.path.basename(p), batch.errors.get(os.path.basename(p))) for p in paths],
-        "source_file string, error string",
-    )
-    counts = ["total_rows", "malformed_rows", "rows_without_id"]
-    if batch.bronze is None:
-        return schemas.conform(listed.withColumns({c: F.lit(0) for c in counts}), FILE_REPORT)
-    dates = [r["date"] for r in names.select("date").distinct().collect()]
-    stored = tables.read_table(spark, bronze_path, schemas.BRONZE).where(F.col("date").isin(dates))
-    return listed.join(archives.file_stats(stored), "source_file", "left").select(
-        "source_file", "date", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "error"
-    )
+    ledger.recover(spark, bronze_path)
+    fresh = ledger.not_done(ledger.listing(spark, folder, pattern), spark, bronze_path).orderBy("path")
+    runs = []
+    for files in batched(fresh.toLocalIterator(), files_per_commit):
+        runs.append(ledger.begin(spark.createDataFrame(files, fresh.schema), bronze_path))
+        batch = archives.open_files(spark, [f["path"] for f in files])
+        if batch.bronze is not None:
+            tables.append_bronze(batch.bronze, bronze_path)
+        ledger.finish(spark, bronze_path, runs[-1], batch.signatures, batch.errors)
+    return ledger.report(spark, bronze_path, runs)
 
 
 def ingest_traces(spark: SparkSession, folder: str, bronze_path: str, date: str | None = None) -> DataFrame:

@@ -1,21 +1,31 @@
 """Position archives: CSV, gzipped CSV and Parquet files to Bronze rows."""
 
+import csv
 import os
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaportrail.functions.text import file_date
 from vaportrail.schemas import BRONZE, conform
+from vaportrail.sources import ledger
 from vaportrail.sources.columns import normalise
 
 PEEK_THREADS = 16
 CORRUPT = "_corrupt_record"
+# one file a task, one line a batch, and files that cannot be unzipped give no line
+HEADER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 34),
+    "spark.sql.files.openCostInBytes": str(1 << 34),
+    "spark.sql.files.ignoreCorruptFiles": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+}
 
 
 def archive_format(path: str) -> str:
@@ -67,8 +77,38 @@ def to_bronze(raw: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     """Paths in ``folder`` that match ``pattern``, empty files included; a listing only, no contents are read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).inputFiles()
-    return sorted(unquote(path) for path in found)
+    return sorted(r["path"] for r in ledger.listing(spark, folder, pattern).select("path").toLocalIterator())
+
+
+def header_columns(line: str) -> list[str]:
+    """The column names of a header line as the CSV reader makes them: nameless ones by place, repeated ones with it."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    folded = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if folded.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_file, line) of the first line of each CSV file that has one and can be read: one job, on the executors.
+
+    Every file is a task of its own that ends with its first line, so no more than a buffer of it is read.
+    """
+    peek = spark.newSession()
+    for key, value in HEADER_CONF.items():
+        peek.conf.set(key, value)
+    lines = peek.read.text(paths).select(
+        F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and batch.column(1)[0].as_py():
+                return  # a later part of a very large file
+            for row in range(batch.num_rows):
+                if batch.column(2)[row].as_py().strip():
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(2).slice(row, 1)], names=["source_file", "line"])
+                    return
+
+    return lines.mapInArrow(first, "source_file string, line string")
 
 
 @dataclass
@@ -77,50 +117,60 @@ class Batch:
 
     bronze: DataFrame | None
     files: list[str] = field(default_factory=list)
+    signatures: dict[str, str] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
 
 
-def open_files(spark: SparkSession, paths: list[str]) -> Batch:
-    """One Bronze DataFrame over all files.
-
-    Headers are looked at first, a few files at a time; only the first line of each is read. Files with equal headers
-    are then one scan, because a scan names all columns by the first file's header. A file whose header cannot be
-    read is reported, not raised.
-    """
+def _parquet_columns(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | Exception]:
+    """The columns of Parquet archives, from their footers, a few at a time."""
 
-    def header(path: str):
+    def footer(path: str):
         try:
-            return path, (archive_format(path), tuple(read_archive(spark, path).columns)), None
+            return path, read_archive(spark, path).columns
         except Exception as e:  # any unreadable file must not stop the others
-            return path, None, str(e).split("\n")[0]
+            return path, e
 
     with ThreadPoolExecutor(PEEK_THREADS) as pool:
-        looked = list(pool.map(header, paths))
+        return dict(pool.map(footer, paths))
+
+
+def open_files(spark: SparkSession, paths: list[str]) -> Batch:
+    """One Bronze DataFrame over all files.
+
+    Headers are looked at first: of CSV files by one job. Files with equal headers are then one scan, because a scan names all columns
+    by the first file's header. A file whose header cannot be read is reported, not raised.
+    """
+    by_kind: dict[str, list[str]] = {"csv": [], "parquet": []}
+    batch = Batch(None)
+    for path in paths:
+        try:
+            by_kind[archive_format(path)].append(path)
+        except ValueError as e:
+            batch.errors[os.path.basename(path)] = str(e)
     groups: dict[tuple, list[str]] = {}
-    errors = {}
-    for path, signature, error in looked:
-        if error is None and not signature[1]:
-            error = "empty file"
-        if error is not None:
-            errors[os.path.basename(path)] = error
+    if by_kind["csv"]:
+        lines = {r["source_file"]: r["line"] for r in csv_headers(spark, by_kind["csv"]).collect()}  # a line for each path given
+        for path in by_kind["csv"]:
+            name = os.path.basename(path)
+            if name in lines:
+                groups.setdefault(("csv", *header_columns(lines[name])), []).append(path)
+            else:
+                batch.errors[name] = "empty or unreadable file"
+    for path, columns in _parquet_columns(spark, by_kind["parquet"]).items():
+        if isinstance(columns, Exception):
+            batch.errors[os.path.basename(path)] = str(columns).split("\n")[0]
         else:
-            groups.setdefault(signature, []).append(path)
-    parts = [to_bronze(read_archive(spark, files, list(header[1]))) for header, files in groups.items()]
-    return Batch(
-        bronze=reduce(DataFrame.unionByName, parts) if parts else None,
-        files=[p for files in groups.values() for p in files],
-        errors=errors,
-    )
+            groups.setdefault(("parquet", *columns), []).append(path)
+    for header, files in groups.items():
+        batch.files += files
+        batch.signatures |= {os.path.basename(f): ",".join(header) for f in files}
+    parts = [to_bronze(read_archive(spark, files, list(header[1:]))) for header, files in groups.items()]
+    batch.bronze = reduce(DataFrame.unionByName, parts) if parts else None
+    return batch
 
 
 def read_directory(spark: SparkSession, folder: str, pattern: str = "*.csv*") -> Batch:
     return open_files(spark, list_files(spark, folder, pattern))
 
 
-def file_stats(bronze: DataFrame) -> DataFrame:
-    """Rows per source file and date, malformed ones among them, and rows without an aircraft id."""
-    return bronze.groupBy(F.col("_source_file").alias("source_file"), "date").agg(
-        F.count("*").alias("total_rows"),
-        F.count_if("_malformed").alias("malformed_rows"),
-        F.count_if(F.col("icao24").isNull()).alias("rows_without_id"),
-    )
+file_stats = ledger.file_counts

@@ -171,6 +171,20 @@ def b8(spark, d):
     return tables.load_bronze(spark, path).select(*BRONZE_COLS, "date", "_source_file")
 
 
+@query("b8_ingest_ledger", build(f"SELECT {BRONZE_SQL} FROM sv", "sv"))
+def b8_ledger(spark, d):
+    """A folder that grows between ingests, looked at three times: the ledger lets every file in once."""
+    folder, path = new_stage_path(spark, "growing"), new_stage_path(spark, "bronze")
+    raw = raw_files(spark, d)
+    late = F.xxhash64("icao24") % 2 == 0
+    raw.where(late).select(*sorted(raw.columns)).write.option("header", True).csv(folder)
+    bronze.ingest_archives(spark, folder, path)
+    raw.where(~late).write.mode("append").option("header", True).option("compression", "gzip").csv(folder)
+    for _ in range(2):
+        bronze.ingest_archives(spark, folder, path, files_per_commit=3)
+    return tables.load_bronze(spark, path).select(*BRONZE_COLS)
+
+
 @query(
     "b12_load_date",
     build(f"SELECT {BRONZE_SQL} FROM sv WHERE date = DATE '2025-12-25'", "sv"),
