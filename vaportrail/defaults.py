@@ -16,6 +16,8 @@ MIN_FORECAST_POINTS = 10
 SAMPLE_FLIGHTS = 200
 SAMPLE_EVERY = 20
 TRAIL_SEC = 300
+PLAYBACK_SLICE_SEC = 3600
+KEPT_GOLD_RUNS = 2
 QUOTA_ANOMALY = 50
 QUOTA_NORMAL = 50
 MAX_LIVE_PLANES = 1500

@@ -1,35 +1,17 @@
 """Consecutive numbers over a sort order without sorting all rows in one task.
 
-For row numbers over a whole table, rows are counted per key, keys are grouped by a text prefix (which keeps the sort order), and running sums are
-taken twice: over the keys inside a prefix, and over the prefixes. With 24-bit aircraft addresses in hex a prefix of
-three characters gives at most 4096 prefixes of at most 4096 addresses each.
+Rows are sorted by ranges of the order, which Spark draws so that they are about equal whatever the values look like. Each range
+is numbered on its own and counted; what lies before a range is a running sum over one row a range.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-PREFIX_CHARS = 3
-
-
-def running_base(counts: DataFrame, group: list[str], key: str, n: str = "n") -> DataFrame:
-    """Adds ``base``: the sum of ``n`` over all smaller keys of the group."""
-    before = (Window.unboundedPreceding, -1)
-    keyed = counts.withColumn("_prefix", F.substring(key, 1, PREFIX_CHARS))
-    inside = Window.partitionBy(*group, "_prefix").orderBy(key).rowsBetween(*before)
-    across = Window.partitionBy(*group).orderBy("_prefix").rowsBetween(*before)
-    prefixes = (
-        keyed.groupBy(*group, "_prefix")
-        .agg(F.sum(n).alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_total").over(across), F.lit(0)))
-        .drop("_total")
-    )
-    return (
-        keyed.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .join(prefixes, [*group, "_prefix"])
-        .withColumn("base", F.col("_before") + F.col("_inside"))
-        .drop("_prefix", "_before", "_inside")
-    )
+from vaportrail.session import stage
+
+# an increasing id is the number of its partition, then the row in it
+ROW_BITS = 33
 
 
 def flight_bases(starts: DataFrame) -> DataFrame:
@@ -45,18 +27,27 @@ def flight_bases(starts: DataFrame) -> DataFrame:
     return counts.select("date", "icao24", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def number_rows(df: DataFrame, order: str, bucket_chars: int = 6) -> DataFrame:
+def in_ranges(df: DataFrame, order: str) -> DataFrame:
+    """``df`` stored in ranges of ``order``, with ``range`` and ``place``, the 0-based row in the sorted range."""
+    at = F.monotonically_increasing_id()
+    ordered = df.repartitionByRange(order).sortWithinPartitions(order)
+    numbered = ordered.withColumns({"range": F.shiftright(at, ROW_BITS), "place": at.bitwiseAND(F.lit((1 << ROW_BITS) - 1))})
+    return stage(numbered, "numbered")
+
+
+def range_bases(counts: DataFrame, n: str = "n") -> DataFrame:
+    """Adds ``base`` to (range, n): the sum of ``n`` over all earlier ranges. There is one row for each range."""
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("base", F.coalesce(F.sum(n).over(before), F.lit(0)))
+
+
+def number_rows(df: DataFrame, order: str) -> DataFrame:
     """Adds ``row_no``, the 0-based position in the order of the unique text column ``order``.
 
-    Reads ``df`` more than once: pass a stored table.
+    Reads ``df`` twice, once for a sample of ``order``.
     """
-    bucketed = df.withColumn("_bucket", F.substring(order, 1, bucket_chars))
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("n"))
-    bases = running_base(counts.withColumn("_all", F.lit(0)), ["_all"], "_bucket").drop("n", "_all")
-    inside = Window.partitionBy("_bucket").orderBy(order)
-    return (
-        bucketed.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(bases, "_bucket")
-        .withColumn("row_no", F.col("base") + F.col("_inside"))
-        .drop("_bucket", "base", "_inside")
-    )
+    stored = in_ranges(df, order)
+    bases = range_bases(stored.groupBy("range").agg(F.count("*").alias("n"))).drop("n")
+    # as many rows as the shuffle has partitions
+    numbered = stored.join(F.broadcast(bases), "range").withColumn("row_no", F.col("base") + F.col("place"))
+    return numbered.drop("range", "place", "base")

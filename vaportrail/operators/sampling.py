@@ -1,6 +1,6 @@
 """Reduced tracks for display: every n-th flight, every n-th point, points of one hour."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaportrail.defaults import SAMPLE_EVERY, SAMPLE_FLIGHTS
@@ -39,11 +39,39 @@ def thin_tracks(flights: DataFrame, every: int = SAMPLE_EVERY, min_raw: int = 5,
     )
 
 
+def with_time_index(flights: DataFrame) -> DataFrame:
+    """Adds what hour filters and the time range need as plain columns: first and last positive timestamp, first and last
+    hour of day, and ``hours``, a mask with a bit for each hour of day that has a point."""
+    stamps = F.filter(F.transform("points", lambda p: p["ts"]), lambda ts: ts > 0)
+    hours = F.transform(F.col("_stamps"), hour_of_day)
+    bit = lambda hour: F.call_function("shiftleft", F.lit(1), hour)
+    return flights.withColumn("_stamps", stamps).withColumns(
+        {
+            "first_ts": F.array_min("_stamps"),
+            "last_ts": F.array_max("_stamps"),
+            "first_hour": F.array_min(hours).cast("tinyint"),
+            "last_hour": F.array_max(hours).cast("tinyint"),
+            "hours": F.aggregate(F.array_distinct(hours), F.lit(0), lambda mask, hour: mask + bit(hour)),
+        }
+    ).drop("_stamps")
+
+
+def in_hour(hour: int) -> Column:
+    """Flights with a point in that hour of day, by their time index. The range of hours reaches the scan."""
+    range_of = (F.col("first_hour") <= F.lit(hour).cast("tinyint")) & (F.col("last_hour") >= F.lit(hour).cast("tinyint"))
+    return range_of & (F.col("hours").bitwiseAND(F.lit(1 << hour)) != 0)
+
+
 def hour_tracks(flights: DataFrame, hour: int | None = None, min_points: int = 2) -> DataFrame:
-    """Tracks cut to the points of one UTC hour, in time order; tracks left with too few points are dropped."""
+    """Tracks cut to the points of one UTC hour, in time order; tracks left with too few points are dropped.
+
+    Of flights with a time index only those with a point in the hour have their points unpacked.
+    """
     points = F.col("points")
     if hour is not None:
         points = F.filter(points, lambda p: (p["ts"] > 0) & (hour_of_day(p["ts"]) == hour))
+        if "hours" in flights.columns:
+            flights = flights.where(in_hour(hour))
     return (
         flights.withColumn("points", points)
         .where(F.size("points") >= min_points)
@@ -52,9 +80,13 @@ def hour_tracks(flights: DataFrame, hour: int | None = None, min_points: int = 2
 
 
 def time_range(flights: DataFrame) -> DataFrame:
-    """One row: first and last positive timestamp over all points, zeros when there is none."""
-    stamps = F.filter(F.transform("points", lambda p: p["ts"]), lambda ts: ts > 0)
-    return flights.agg(
-        F.coalesce(F.min(F.array_min(stamps)), F.lit(0)).alias("min_ts"),
-        F.coalesce(F.max(F.array_max(stamps)), F.lit(0)).alias("max_ts"),
-    )
+    """One row: first and last positive timestamp over all points, zeros when there is none.
+
+    Flights with a time index have theirs read instead of their points.
+    """
+    if "first_ts" in flights.columns:
+        first, last = F.min("first_ts"), F.max("last_ts")
+    else:
+        stamps = F.filter(F.transform("points", lambda p: p["ts"]), lambda ts: ts > 0)
+        first, last = F.min(F.array_min(stamps)), F.max(F.array_max(stamps))
+    return flights.agg(F.coalesce(first, F.lit(0)).alias("min_ts"), F.coalesce(last, F.lit(0)).alias("max_ts"))

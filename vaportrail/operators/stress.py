@@ -20,10 +20,15 @@ def _capped(x: Column) -> Column:
 
 
 def stress_index(
-    grid: DataFrame, points: DataFrame, resolution: float = GRID_DEG, anomaly_share: Column | None = None
+    grid: DataFrame,
+    points: DataFrame | None,
+    resolution: float = GRID_DEG,
+    anomaly_share: Column | None = None,
+    dispersion: DataFrame | None = None,
 ) -> DataFrame:
     """Weighted mix of density, altitude and speed spread, and heading spread for every cell and hour with points.
 
+    ``dispersion``, where it is known already (:mod:`cellstate`), spares reading the points.
     Both sides are aggregated to one row per cell and hour before they meet, so the join sees no skew.
     """
     busiest = grid.agg(F.greatest(F.max("flight_count"), F.lit(1))).scalar()
@@ -31,7 +36,7 @@ def stress_index(
         F.avg("flight_count").alias("mean_flights"), F.min("date").alias("date")
     )
     parts = (
-        cell_dispersion(points, resolution)
+        (cell_dispersion(points, resolution) if dispersion is None else dispersion)
         .join(density, [*INDEX, "hour"], "left")
         .select(
             F.coalesce("date", F.current_date()).alias("date"),

@@ -15,12 +15,22 @@ BRONZE = (
 TRAJECTORY = (
     f"flight_id string, icao24 string, callsign string, date date, points array<{POINT}>, duration_sec bigint, "
     "distance_nm double, max_alt_ft double, avg_speed_kts double, heading_change_total double, "
-    "climb_count int, descent_count int"
+    "climb_count int, descent_count int, first_ts bigint, last_ts bigint, first_hour tinyint, last_hour tinyint, hours int"
 )
+COMMIT = "date date, files bigint, newest bigint, rows bigint, at bigint, flights bigint, cells bigint, error string"
 GRID = (
     "date date, hour tinyint, grid_lat double, grid_lon double, flight_count bigint, point_count bigint, "
     "avg_altitude_ft double, avg_speed_kts double"
 )
+# Mergeable state of a cell: number, mean and sum of squared differences from the mean.
+CELL_HOURS = (
+    "date date, hour tinyint, lat_index int, lon_index int, n bigint, alt_mean double, alt_m2 double, "
+    "heading_mean double, heading_m2 double, speed_mean double, speed_m2 double"
+)
+CELL_DAYS = (
+    "date date, lat_index int, lon_index int, n bigint, flights_mean double, flights_m2 double, points_mean double, "
+    "points_m2 double, max_flights bigint"
+)
 DENSITY = (
     "date date, hour tinyint, grid_lat double, grid_lon double, density_score double, "
     "density_percentile double, yoy_change_pct double"
@@ -49,6 +59,7 @@ VERSION = (
     "data_version string, model_version int, training_start date, training_end date, "
     "last_trained bigint, models array<string>"
 )
+PUBLISHED = f"{VERSION}, folder string"
 SAMPLED = f"flight_id string, points array<{SAMPLED_POINT}>"
 
 

@@ -141,3 +141,11 @@ def report(spark: SparkSession, bronze_path: str, runs: Iterable[str]) -> DataFr
     """One row per file of the given runs: its date, its counts, and the error of one that was not stored."""
     closed = entries(spark, bronze_path).where(F.col("run").isin(list(runs)) & F.col("status").isin("done", "failed"))
     return closed.select("source_file", "date", *COUNTS, "error")
+
+
+def by_date(spark: SparkSession, bronze_path: str) -> DataFrame:
+    """(date, files, newest, rows) of what is stored: number of files, when the last came in, and their rows."""
+    done = entries(spark, bronze_path).where("status = 'done'")
+    return done.groupBy("date").agg(
+        F.count("*").alias("files"), F.max("at").alias("newest"), F.sum("total_rows").alias("rows")
+    )

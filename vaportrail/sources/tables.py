@@ -108,6 +108,13 @@ def load_grid(spark: SparkSession, silver: str, start=None, end=None) -> DataFra
     return between_dates(read_table(spark, f"{silver}/grid_density", schemas.GRID), start, end)
 
 
+def load_states(spark: SparkSession, silver: str, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """Cell states per hour and per day."""
+    hours = read_table(spark, f"{silver}/cell_hours", schemas.CELL_HOURS)
+    days = read_table(spark, f"{silver}/cell_days", schemas.CELL_DAYS)
+    return between_dates(hours, start, end), between_dates(days, start, end)
+
+
 def load_points(spark: SparkSession, silver: str, start=None, end=None) -> DataFrame:
     """Track points in long form; only the ``points`` column (and the ids) are read."""
     from vaportrail.operators.tracks import explode_points

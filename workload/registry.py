@@ -11,4 +11,5 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from workload import queries_gold, queries_sources, queries_tracks, queries_views  # noqa: E402,F401
+from workload import queries_gold, queries_sources, queries_tracks, queries_views  # noqa: E402,F401,I001
+from workload import queries_stored  # noqa: E402,F401  restates SQL of the others
