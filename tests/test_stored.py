@@ -7,7 +7,7 @@ import pytest
 from helpers import DAY, FLIGHT, MIDNIGHT, flight, frame, report
 from pyspark.sql import functions as F
 
-from vaportrail.operators import cellstate, grid, numbering, playback, sampling, stress, timetravel
+from vaportrail.operators import cellstate, grid, numbering, percentiles, playback, sampling, stress, timetravel
 from vaportrail.plans import bronze, gold, silver
 from vaportrail.sources import ledger, tables
 
@@ -230,3 +230,41 @@ def test_ranges_are_even_whatever_the_ids_share(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
     assert got == {k: n for n, k in enumerate(sorted(ids))}
+
+
+# --- percentiles
+
+
+@pytest.mark.parametrize("band", [0, 10**6])
+def test_percentiles_of_every_group(spark, band):
+    rng = random.Random(5)
+    groups = {
+        "normal": [rng.gauss(0, 1) for _ in range(500)],
+        "ties": [1.0] * 300 + [2.0] * 5 + [7.5] * 100,
+        "wide": [10.0 ** rng.randrange(-3, 4) for _ in range(200)] + ([-1.7e308, 1.7e308] if band else []),
+        "one": [4.0],
+        "two": [4.0, -2.0],
+        "none": [float("nan"), None, float("inf")],
+    }
+    rows = [(g, x) for g, values in groups.items() for x in values]
+    rng.shuffle(rows)
+    qs = [0.0, 0.05, 0.5, 0.9, 0.99, 1.0]
+    got = percentiles.group_percentiles(spark.createDataFrame(rows, "g string, x double"), "x", qs, ["g"], band, bins=64).collect()
+    assert {r["g"] for r in got} == set(groups) - {"none"}
+    for r in got:
+        values = sorted(groups[r["g"]])
+        for q, mine in zip(qs, r["percentiles"], strict=True):
+            place = q * (len(values) - 1)
+            low, high = values[int(place)], values[min(len(values) - 1, int(place) + 1)]
+            assert mine == pytest.approx(low + (high - low) * (place - int(place)))
+
+
+def test_turns_do_not_depend_on_the_number_of_ranks(spark, monkeypatch):
+    turns = []
+    narrowed = percentiles._narrowed
+    monkeypatch.setattr(percentiles, "_narrowed", lambda *a: turns.append(1) or narrowed(*a))
+    df = spark.range(5000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).alias("g"))
+    for qs in ([0.5], [i / 20 for i in range(21)]):
+        turns.clear()
+        percentiles.group_percentiles(df, "x", qs, ["g"], band=10, bins=32).collect()
+        assert len(turns) == 2

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vaportrail.defaults import HORIZONS_SEC, MIN_FORECAST_POINTS
 from vaportrail.functions.geo import dead_reckon, lateral_error_nm, zero_if_missing
 from vaportrail.functions.labels import confidence_label
-from vaportrail.operators.percentiles import exact_percentiles
+from vaportrail.operators.percentiles import group_percentiles
 
 
 def midpoint(points: Column) -> Column:
@@ -67,19 +67,22 @@ def forecast(
     )
 
 
-def audit(predictions: DataFrame) -> DataFrame:
-    """One row on forecast quality; empty when no forecast could be checked.
+def audit(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row on forecast quality, or one for each value of the columns ``by``; none where no forecast could be checked.
 
     Reads ``predictions`` more than once: pass a stored table.
     """
+    group = list(by) or ["_all"]
     error = F.col("error_metrics.mae_lateral_nm")
-    errors = predictions.select(error.alias("e")).where(F.col("e").isNotNull() & ~F.isnan("e"))
-    summary = errors.agg(F.count("*").alias("sample_count"), F.avg("e").alias("mean_e"))
-    p50, p90 = exact_percentiles(errors, "e", [0.5, 0.9])
-    return summary.where("sample_count > 0").select(
+    errors = predictions.withColumn("_all", F.lit(0)).select(*group, error.alias("e")).where(F.col("e").isNotNull() & ~F.isnan("e"))
+    summary = errors.groupBy(*group).agg(F.count("*").alias("sample_count"), F.avg("e").alias("mean_e"))
+    ranked = group_percentiles(errors, "e", [0.5, 0.9], group).drop("n")
+    at = lambda i: F.bround(F.get("percentiles", F.lit(i)), 3)
+    return summary.join(ranked, group).select(
+        *by,
         "sample_count",
         F.bround("mean_e", 3).alias("mean_lateral_error_nm"),
-        F.bround(F.lit(p50).cast("double"), 3).alias("p50_lateral_error_nm"),
-        F.bround(F.lit(p90).cast("double"), 3).alias("p90_lateral_error_nm"),
+        at(0).alias("p50_lateral_error_nm"),
+        at(1).alias("p90_lateral_error_nm"),
         confidence_label(F.col("mean_e")).alias("confidence_label"),
     )

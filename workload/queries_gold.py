@@ -93,6 +93,12 @@ def a8(spark, d):
     return forecast.audit(stage(pred, "errors"))
 
 
+@query("a8_audit_by_horizon", build(AUDIT_SQL.replace("SELECT", "SELECT horizon_sec,", 1) + " GROUP BY horizon_sec", "pred"))
+def a8_by_horizon(spark, d):
+    pred = derived.predictions(spark, d).select("horizon_sec", "error_metrics")
+    return forecast.audit(stage(pred, "errors"), ("horizon_sec",))
+
+
 @query(
     "a2_cell_stats",
     build(
