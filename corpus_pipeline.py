@@ -16,18 +16,34 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score_texts(docs, model, prefix="_toxic_").where("_toxic_predicted = 0").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, stored so that it stays the same, and the name of that column.
+
+    Decisions go by row: ids may be null or repeated.
+    """
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows"), name
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by the sets of their five-word shingles, the document of the smallest id stays."""
-    copies = minhash.near_duplicates(docs, words=NEAR_COPY_WORDS)
-    dropped = stage(copies.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies, by the sets of their five-word shingles, the first row stays.
+
+    Rows with null or repeated ids are judged like all others; texts without words are copies of nothing.
+    """
+    rows, row = _numbered(docs)
+    copies = minhash.near_duplicates(rows, id_col=row, words=NEAR_COPY_WORDS)
+    dropped = stage(copies.where(~F.col("kept")).select(row), "pipeline-copies")
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dropped = stage(leaks.select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Rows with a passage of the benchmark go, whatever their id."""
+    rows, row = _numbered(docs)
+    leaks = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    dropped = stage(leaks.select(row).distinct(), "pipeline-leaks")
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
