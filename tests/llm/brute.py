@@ -9,14 +9,14 @@ def words(text):
     return re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
 
 
-def shingles(text):
+def shingles(text, n=2):
     w = words(text)
-    return {tuple(w)} if len(w) == 1 else set(zip(w, w[1:], strict=False))
+    return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def components(docs):
+def components(docs, n=2):
     """doc_id -> (n_shingles, component_id) from (doc_id, text), all pairs."""
-    sets = [(i, shingles(t)) for i, t in docs]
+    sets = [(i, shingles(t, n)) for i, t in docs]
     root = {i: i for i, _ in docs}
 
     def find(x):
@@ -26,7 +26,7 @@ def components(docs):
 
     for k, (i, s) in enumerate(sets):
         for j, t in sets[:k]:
-            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+            if s and t and 100 * min(len(s), len(t)) >= 80 * max(len(s), len(t)) and 100 * len(s & t) >= 80 * len(s | t):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets}
