@@ -16,11 +16,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score_texts(docs, model, prefix="_toxic_").where("_toxic_predicted = 0").select(*docs.columns)
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a number of their own, stored so that it stays the same, and the name of that column.
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, and the name of a column that tells them apart: the id, or if ids are null or repeated a number.
 
-    Decisions go by row: ids may be null or repeated.
+    Decisions go by row. Numbered rows are stored, so that their numbers stay the same.
     """
+    shape = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if shape["rows"] == shape["ids"]:
+        return docs, "doc_id"
     name = "row"
     while name in docs.columns:
         name += "_"
@@ -28,11 +31,12 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, by the sets of their five-word shingles, the first row stays.
+    """Of each group of near copies, by the sets of their five-word shingles, the row of the smallest id stays, or the first one
+    where ids do not tell rows apart.
 
     Rows with null or repeated ids are judged like all others; texts without words are copies of nothing.
     """
-    rows, row = _numbered(docs)
+    rows, row = _told_apart(docs)
     copies = minhash.near_duplicates(rows, id_col=row, words=NEAR_COPY_WORDS)
     dropped = stage(copies.where(~F.col("kept")).select(row), "pipeline-copies")
     return rows.join(dropped, row, "left_anti").select(*docs.columns)
@@ -40,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a passage of the benchmark go, whatever their id."""
-    rows, row = _numbered(docs)
+    rows, row = _told_apart(docs)
     leaks = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
     dropped = stage(leaks.select(row).distinct(), "pipeline-leaks")
     return rows.join(dropped, row, "left_anti").select(*docs.columns)
