@@ -7,7 +7,7 @@ import pytest
 from helpers import DAY, FLIGHT, MIDNIGHT, flight, frame, report
 from pyspark.sql import functions as F
 
-from vaportrail.operators import cellstate, grid, numbering, percentiles, playback, sampling, stress, timetravel
+from vaportrail.operators import cellstate, grid, numbering, percentiles, playback, sampling, spatial, stress, timetravel
 from vaportrail.plans import bronze, gold, silver
 from vaportrail.sources import ledger, tables
 
@@ -268,3 +268,55 @@ def test_turns_do_not_depend_on_the_number_of_ranks(spark, monkeypatch):
         turns.clear()
         percentiles.group_percentiles(df, "x", qs, ["g"], band=10, bins=32).collect()
         assert len(turns) == 2
+
+
+# --- Z-order
+
+
+def test_keys_interleave_and_ranges_hold_every_point_of_the_box(spark):
+    rng = random.Random(11)
+    places = [(rng.uniform(-95, 95), rng.uniform(-185, 185)) for _ in range(300)] + [(None, 1.0), (float("nan"), 1.0), (90.0, 180.0), (-90.0, -180.0)]
+    df = spark.createDataFrame(places, "lat double, lon double").withColumn("z_key", spatial.z_key(F.col("lat"), F.col("lon")))
+    rows = df.collect()
+    for r in rows[:300]:
+        y, x = (min(8191, max(0, int((v - low) * 16 // 1))) for v, low in ((r["lat"], -90), (r["lon"], -180)))
+        assert r["z_key"] == spatial.interleave(y, x)
+    for _ in range(40):
+        (a, b), (c, e) = sorted((rng.uniform(-90, 90), rng.uniform(-90, 90))), sorted((rng.uniform(-180, 180), rng.uniform(-180, 180)))
+        ranges = spatial.key_ranges(a, b, c, e)
+        assert len(ranges) <= 81 and all(h < low for (_, h), (low, _) in zip(ranges, ranges[1:], strict=False))
+        for r in rows[:300]:
+            if a <= r["lat"] <= b and c <= r["lon"] <= e:
+                assert any(low <= r["z_key"] <= high for low, high in ranges)
+    box = (rows[0]["lat"], rows[0]["lat"] + 30, rows[0]["lon"], rows[0]["lon"] + 30)  # the point is on the edge
+    want = sorted(str(r) for r in rows[:300] if box[0] <= r["lat"] <= box[1] and box[2] <= r["lon"] <= box[3])
+    assert sorted(map(str, spatial.in_box(df, *box).collect())) == want and want
+
+
+def test_a_small_box_skips_most_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "z")
+    rng = F.rand(seed=3), F.rand(seed=4)
+    points = spark.range(400_000).select(
+        F.format_string("f%05d", F.col("id") % 5000).alias("flight_id"), F.col("id").alias("ts"),
+        (rng[0] * 40 + 20).alias("lat"), (rng[1] * 60 - 120).alias("lon"), F.lit(1.0).alias("alt_ft"), F.lit(DAY).alias("date"),
+    )
+    points = points.withColumn("z_key", spatial.z_key(F.col("lat"), F.col("lon")))
+    ordered = points.repartitionByRange(4, "z_key").sortWithinPartitions("z_key")
+    ordered.write.option("parquet.block.size", 256 << 10).parquet(path)
+    box = (30.0, 31.0, -100.0, -98.5)
+    ranges = spatial.key_ranges(*box)
+    read = total = 0
+    for part in (tmp_path / "z").glob("part-*"):
+        meta = pq.ParquetFile(part).metadata
+        column = next(i for i in range(meta.num_columns) if meta.schema.column(i).name == "z_key")
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(column).statistics
+            total += 1
+            read += any(stats.min <= high and stats.max >= low for low, high in ranges)
+    assert total >= 20 and read <= total / 4
+    stored = spark.read.parquet(path)
+    assert "GreaterThanOrEqual(z_key," in plan(spatial.in_box(stored, *box))
+    inside = F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:])
+    assert spatial.in_box(stored, *box).count() == stored.where(inside).count() > 0

@@ -17,6 +17,7 @@ TRAJECTORY = (
     "distance_nm double, max_alt_ft double, avg_speed_kts double, heading_change_total double, "
     "climb_count int, descent_count int, first_ts bigint, last_ts bigint, first_hour tinyint, last_hour tinyint, hours int"
 )
+ORDERED_POINT = "flight_id string, ts bigint, lat double, lon double, alt_ft double, z_key int, date date"
 COMMIT = "date date, files bigint, newest bigint, rows bigint, at bigint, flights bigint, cells bigint, error string"
 GRID = (
     "date date, hour tinyint, grid_lat double, grid_lon double, flight_count bigint, point_count bigint, "

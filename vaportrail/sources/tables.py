@@ -115,6 +115,11 @@ def load_states(spark: SparkSession, silver: str, start=None, end=None) -> tuple
     return between_dates(hours, start, end), between_dates(days, start, end)
 
 
+def load_ordered_points(spark: SparkSession, silver: str, start=None, end=None) -> DataFrame:
+    """Track points in Z-order; :func:`spatial.in_box` reads only what lies near a box."""
+    return between_dates(read_table(spark, f"{silver}/points_by_place", schemas.ORDERED_POINT), start, end)
+
+
 def load_points(spark: SparkSession, silver: str, start=None, end=None) -> DataFrame:
     """Track points in long form; only the ``points`` column (and the ids) are read."""
     from vaportrail.operators.tracks import explode_points

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vaportrail.operators import cellstate, grid, playback, sampling, stress, timetravel, tracks
+from vaportrail.operators import cellstate, grid, playback, sampling, spatial, stress, timetravel, tracks
 from vaportrail.plans import gold, silver, views
 from vaportrail.session import new_stage_path
 from vaportrail.sources import tables
@@ -116,6 +116,40 @@ def j9(spark, d):
     return shown.select("flight_id", "t", r("lat"), r("lon"), r("heading_deg", 4))
 
 
+def ordered_points(spark, d):
+    path = stored_silver(spark, d)
+    _once("ordered", spark, d, lambda _: silver.build_ordered_points(spark, path))
+    return tables.load_ordered_points(spark, path)
+
+
+@query("j6_stored_planes", QUERIES["j6_planes_in_cell"][1])
+def j6(spark, d):
+    cells = tables.load_grid(spark, stored_silver(spark, d))
+    found = grid.planes_in_cells(ordered_points(spark, d), cells)
+    return found.select(*grid.CELL, "flight_id", r("alt_ft", 4))
+
+
+@query("q10_stored_planes", QUERIES["q10_planes_in_cell"][1])
+def q10(spark, d):
+    cells = tables.load_grid(spark, stored_silver(spark, d))
+    return grid.planes_in_cells(ordered_points(spark, d), cells).groupBy(*grid.CELL).agg(F.count("*").alias("planes"))
+
+
+BOX = (33.0, 34.5, -96.0, -92.5)
+
+
+@query(
+    "j6_planes_in_box",
+    build(
+        f"""SELECT flight_id, round(first(alt ORDER BY ts), 4) AS alt_ft FROM points
+  WHERE lat BETWEEN {BOX[0]}::DOUBLE AND {BOX[1]}::DOUBLE AND lon BETWEEN {BOX[2]}::DOUBLE AND {BOX[3]}::DOUBLE GROUP BY flight_id""",
+        "points",
+    ),
+)
+def j6_box(spark, d):
+    return spatial.planes_in_box(ordered_points(spark, d), *BOX).select("flight_id", r("alt_ft", 4))
+
+
 def states(spark, d):
     return tables.load_states(spark, stored_silver(spark, d))
 
