@@ -110,6 +110,23 @@ def test_states_far_from_zero_keep_their_digits(spark):
     assert (got["n"], got["x_mean"], got["x_m2"]) == (4, 1e9 + 1.75, 8.75)
 
 
+def test_cells_without_tracks_get_the_estimate(spark, layers):
+    _, s = layers
+    cells = tables.load_grid(spark, s)
+    hours, days = tables.load_states(spark, s)
+    density = cellstate.traffic_density(cells, days)
+    index = stress.stress_index(cells, None, dispersion=cellstate.cell_dispersion(hours))
+    assert rounded(stress.with_estimates(index, density)) == rounded(index)
+    some = index.where("hour <> 3")
+    filled = stress.with_estimates(some, density)
+    assert filled.columns == index.columns and rounded(filled.where("hour <> 3")) == rounded(some)
+    keys = ["grid_lat", "grid_lon", "hour"]
+    bare = density.where("hour = 3").groupBy(*keys).agg(F.avg("density_score").alias("density_score"), F.min("date").alias("date"))
+    want = stress.stress_estimate(bare).select(*keys, "stress_index", "risk_level")
+    got = filled.where("hour = 3").select(*keys, "stress_index", "risk_level")
+    assert rounded(got) == rounded(want) and got.count() > 0
+
+
 # --- changed dates
 
 

@@ -92,3 +92,22 @@ def stress_estimate(
         F.struct(*[F.bround(c, 4).alias(name) for name, c in parts.items()]).alias("components"),
         risk_level(index).alias("risk_level"),
     )
+
+
+def with_estimates(index: DataFrame, density: DataFrame) -> DataFrame:
+    """The stress index, and for cells and hours that have density rows but no tracks the estimate, in the same columns.
+
+    A cell and hour is estimated once, from its mean density score. Altitude and speed variance are averaged into one component.
+    """
+    keys = [*CELL, "hour"]
+    bare = density.groupBy(*keys).agg(F.avg("density_score").alias("density_score"), F.min("date").alias("date"))
+    bare = bare.join(index.select(*keys).distinct(), keys, "left_anti")
+    part = lambda name: F.col(f"components.{name}")
+    components = F.struct(
+        part("density_score").alias("density_component"),
+        ((part("altitude_variance") + part("speed_variance")) / 2).alias("maneuver_variance_component"),
+        part("heading_conflict_score").alias("heading_conflict_component"),
+        F.lit(0.0).alias("anomaly_component"),
+    )
+    estimated = stress_estimate(bare).withColumn("components", components)
+    return index.unionByName(estimated.select(*index.columns))

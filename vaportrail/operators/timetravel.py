@@ -9,13 +9,18 @@ from vaportrail.functions.geo import initial_bearing, slider_time
 from vaportrail.operators.sampling import time_range
 
 
+def bracket(points: Column, t: Column) -> tuple[Column, Column]:
+    """The last point of a time-sorted track at or before ``t``, and the first at or after it; null where there is none."""
+    before = F.try_element_at(F.filter(points, lambda p: p["ts"] <= t), F.lit(-1))
+    return before, F.get(F.filter(points, lambda p: p["ts"] >= t), F.lit(0))
+
+
 def position_at(points: Column, t: Column) -> Column:
     """Struct (lat, lon, alt_ft, heading_deg) at time ``t`` on a time-sorted track.
 
     Between two points: linear, heading along the line. On a point, or outside the track: that point as stored.
     """
-    before = F.try_element_at(F.filter(points, lambda p: p["ts"] <= t), F.lit(-1))
-    after = F.get(F.filter(points, lambda p: p["ts"] >= t), F.lit(0))
+    before, after = bracket(points, t)
     nearest = F.coalesce(before, after)
     between = before["ts"] < after["ts"]
     share = (t - before["ts"]) / (after["ts"] - before["ts"])

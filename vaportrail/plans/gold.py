@@ -60,7 +60,8 @@ def build_gold(
     model_version = f"1.0.{run}"
     write("traffic_density", cellstate.traffic_density(cells, days))
     write("predictions", forecast.forecast(flights, horizons))
-    write("airspace_stress", stress.stress_index(cells, None, dispersion=cellstate.cell_dispersion(hours)))
+    index = stress.stress_index(cells, None, dispersion=cellstate.cell_dispersion(hours))
+    write("airspace_stress", stress.with_estimates(index, load_artifact(spark, gold_path, "traffic_density")))
 
     features = stage(anomaly.flight_features(flights), "features")
     detector = anomaly.fit_detector(features, version=model_version)

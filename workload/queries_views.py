@@ -250,9 +250,8 @@ def s13(spark, d):
     ),
 )
 def j9(spark, d):
-    before = F.try_element_at(F.filter("points", lambda p: p["ts"] <= T0), F.lit(-1))["ts"]
-    after = F.get(F.filter("points", lambda p: p["ts"] >= T0), F.lit(0))["ts"]
-    return derived.flights(spark, d).select("flight_id", before.alias("before_ts"), after.alias("after_ts"))
+    before, after = timetravel.bracket(F.col("points"), F.lit(T0))
+    return derived.flights(spark, d).select("flight_id", before["ts"].alias("before_ts"), after["ts"].alias("after_ts"))
 
 
 SLIDER_SQL = "(SELECT min(ts) + 37.5 / 100.0 * (max(ts) - min(ts)) FROM points)::DOUBLE"
