@@ -386,6 +386,30 @@ def test_toxicity_learns_from_few_documents(spark):
     assert toxic and all(r.predicted == int(r.doc_id % 8 == 0) for r in got)
 
 
+def test_tone_ranks_texts_without_insults(spark):
+    """Texts of the second vocabulary are toxic five times as often, and no single word shows it."""
+    rng = np.random.default_rng(11)
+    kinds = [[f"plain{i}" for i in range(150)], [f"harsh{i}" for i in range(150)]]
+    rows = []
+    for i in range(1200):
+        kind = int(i % 3 == 0)
+        w = list(rng.choice(kinds[kind], 40))
+        toxic = rng.random() < (0.2 if kind else 0.04)
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).where("held_out").collect()
+    harsh = [r.score for r in got if r.doc_id % 3 == 0]
+    plain = [r.score for r in got if r.doc_id % 3]
+    assert sum(h > p for h in harsh for p in plain) >= 0.95 * len(harsh) * len(plain)
+    assert not any(r.predicted for r in got)
+
+
+def test_tone_takes_each_word_once_and_is_neutral_without_words():
+    model = toxicity.Model(tones={"a": 1.0, "b": -2.0})
+    assert toxicity.tone(model, set()) == 0.0 and toxicity.tone(toxicity.Model(), {"a"}) == 0.0
+    assert toxicity.tone(model, set("a a b c".split())) == pytest.approx(-1.0 / (3 + toxicity.NEUTRAL))
+
+
 # --- 9 tokens
 
 

@@ -15,10 +15,11 @@ from vaportrail.llm.words import mix
 from vaportrail.session import stage, unstage
 
 SAMPLE = 25_000  # labelled rows of each class, at most about so many, that the model is fitted on
-VOCABULARY = 20_000  # words, and as many stems, that may carry a score
+VOCABULARY = 20_000  # words, as many stems, and as many words of the tone, that may carry a score
 PRIOR = 1.0  # pseudo-documents that hold a token, dealt to the classes at the base rate
 LEAST_Z, LEAST_ODDS = 4.0, 2.0  # of a token's likelihood ratio (as a z-score) and log-odds to count as evidence
 FOLDS = 4  # of the sample: each is calibrated with the tokens of the others
+NEUTRAL = 10  # words without log-odds that every text is given, so that the tone of a short one stays near 0
 STEMS = (8, 7, 6, 5, 4, 3)  # lengths of beginnings that inflected forms share
 DRIFT = 0.3  # taken off for every token without evidence, so that segments end
 SIGNIFICANT = 0.01  # expected chance segments of a passage that is reported
@@ -32,7 +33,8 @@ class Model:
     stems: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0  # lambda of the extreme-value law of chance segments
     log_k: float = 0.0  # and the logarithm of its K
-    weights: tuple[float, ...] = (0.0, 0.0)  # of the logistic calibration: constant, evidence
+    tones: dict[str, float] = field(default_factory=dict)  # log-odds of either sign, among texts no passage explains
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0)  # of the logistic calibration: constant, evidence, tone
 
 
 def stems_of(token: str) -> list[str]:
@@ -84,10 +86,20 @@ def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
     return [(first, last, high - low) for first, last, low, high, _ in found]
 
 
-def passages(text: str, scores: _Scores) -> tuple[int, list[tuple[int, int, float]]]:
-    tokens = _TOKEN.findall(text.lower())
+def tokens_of(text: str | None) -> list[str]:
+    return _TOKEN.findall((text or "").lower())
+
+
+def passages(tokens: list[str], scores: _Scores) -> list[tuple[int, int, float]]:
     hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, tokens)) if s > 0]
-    return len(tokens), segments(hits) if hits else []
+    return segments(hits) if hits else []
+
+
+def tone(model: Model, words: set[str]) -> float:
+    """Mean log-odds of a text's distinct words, for texts whose words are no evidence one by one."""
+    if not model.tones:
+        return 0.0
+    return math.fsum(model.tones.get(word, 0.0) for word in words) / (len(words) + NEUTRAL)
 
 
 def log_expected(model: Model, score: float, n: int) -> float:
@@ -154,7 +166,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sketches, words = [], []
         for text in batch.column(0):
-            tokens = _TOKEN.findall((text.as_py() or "").lower())
+            tokens = tokens_of(text.as_py())
             sketches.append(_sketch(tokens))
             words.append(list(set(tokens)))
         folds = pa.array(map(_fold, sketches), pa.int32())
@@ -188,6 +200,19 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield rows(counts)
 
 
+def _counts(single: DataFrame, of: list[int]) -> DataFrame:
+    """(token, stem, counts) of all documents, where the counts at the places ``of`` make 3 or more."""
+    held = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(2 * FOLDS)]
+    return (
+        single.select("fold", "toxic", "words")
+        .mapInArrow(_document_counts, "token string, stem boolean, counts array<long>")
+        .groupBy("token", "stem")
+        .agg(*held)
+        .where(sum((F.col(f"n{i}") for i in of), F.lit(0)) >= 3)
+        .select("token", "stem", F.array(*[f"n{i}" for i in range(2 * FOLDS)]).alias("counts"))
+    )
+
+
 def _odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> tuple[Column, Column]:
     """Log-odds with a prior of PRIOR pseudo-documents at the base rate, and the signed root of the likelihood ratio.
 
@@ -263,7 +288,7 @@ def fit(
     label_col: str = "toxic",
     sample: int = SAMPLE,
 ) -> Model:
-    """Token log-odds, the extreme-value law of chance segments, and a logistic calibration.
+    """Token log-odds, the extreme-value law of chance segments, the tone of texts without evidence, a logistic calibration.
 
     Fitted on about ``sample`` labelled documents of each class at most; near copies among them count once. Tokens are
     learnt on all of them; each fold is calibrated with the tokens that the other folds show. Without labels of both
@@ -278,30 +303,30 @@ def fit(
     sizes = {(r["toxic"], r["fold"]): r["count"] for r in single.groupBy("toxic", "fold").count().collect()}
     n_toxic, n_clean = (sum(n for (t, _), n in sizes.items() if t == toxic) for toxic in (1, 0))
     base = (n_toxic + 1) / (n_toxic + n_clean + 2)
-    constant = (math.log(base / (1 - base)), 0.0)
+    constant = (math.log(base / (1 - base)), 0.0, 0.0)
     if not (n_toxic and n_clean):
         unstage(featured, single)
         return Model(weights=constant)
-    held = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(2 * FOLDS)]
-    counts = (
-        single.select("fold", "toxic", "words")
-        .mapInArrow(_document_counts, "token string, stem boolean, counts array<long>")
-        .groupBy("token", "stem")
-        .agg(*held)
-        .where(sum((F.col(f"n{2 * k + 1}") for k in range(FOLDS)), F.lit(0)) >= 3)
-        .select("token", "stem", F.array(*[f"n{i}" for i in range(2 * FOLDS)]).alias("counts"))
-    )
-    counts = stage(counts, "toxicity-counts")
+    counts = stage(_counts(single, of=[2 * k + 1 for k in range(FOLDS)]), "toxicity-counts")
     model, parts = _learnt(counts, sizes), [_learnt(counts, sizes, k) for k in range(FOLDS)]
     model.weights = constant
     unstage(featured, counts)
-    return _calibrated(model, parts, texts, single.select("sketch", "toxic"))
-
-
-def _calibrated(model: Model, parts: list[Model], texts: DataFrame, ids: DataFrame) -> Model:
-    """Fits the chance law on clean documents and the logistic step on all, each scored by the part without its fold.
-
-    Rows that come to the driver are numbers of documents of the bounded sample.
+    found, x, y = _chance(model, parts, texts, single.select("sketch", "toxic"))
+    if not 0 < y.sum() < len(y):
+        unstage(single)
+        return model
+    constant, slope = _logistic(x[:, None], y)
+    left = [key for key, e in zip(found, x, strict=True) if constant + slope * e < 0]
+    tones = _tones(model, single, left)
+    unstage(single)
+    return _calibrated(model, found, x, y, tones)
+
+
+def _chance(model: Model, parts: list[Model], texts: DataFrame, ids: DataFrame) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Fits the chance law on clean documents; (sketch, toxic) of the sample, its evidence, and its labels.
+
+    Each document is scored by the part without its fold. One row of numbers for each document of the bounded sample comes
+    to the driver, and the counts of token scores.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,17 +334,15 @@ def _calibrated(model: Model, parts: list[Model], texts: DataFrame, ids: DataFra
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                text = (text.as_py() or "").lower()
-                tokens = _TOKEN.findall(text)
+                tokens = tokens_of(text.as_py())
                 sketch = _sketch(tokens)
                 scores = by_fold[_fold(sketch)]
-                n, found = passages(text, scores)
                 rows.append(
                     {
                         "sketch": sketch,
                         "toxic": toxic.as_py(),
-                        "n": n,
-                        "found": [s for _, _, s in found],
+                        "n": len(tokens),
+                        "found": [s for _, _, s in passages(tokens, scores)],
                         "hits": [s for s in map(scores.__getitem__, tokens) if s > 0],
                     }
                 )
@@ -336,24 +359,74 @@ def _calibrated(model: Model, parts: list[Model], texts: DataFrame, ids: DataFra
     )
     measured = texts.mapInArrow(measure, "sketch long, toxic int, n long, found array<double>, hits array<double>")
     single = measured.join(F.broadcast(ids), ["sketch", "toxic"]).groupBy("sketch", "toxic")
-    rows = single.agg(F.first("n").alias("n"), F.first("found").alias("found"), F.first("hits").alias("hits")).collect()
-    clean = [r for r in rows if not r["toxic"]]
-    histogram: dict[float, float] = {}
-    for r in clean:
-        for s in r["hits"]:
-            histogram[s] = histogram.get(s, 0) + 1
-    tokens = sum(r["n"] for r in clean)
+    single = stage(single.agg(*[F.first(c).alias(c) for c in ("n", "found", "hits")]), "toxicity-measured")
+    clean = single.where("toxic = 0")
+    tokens = clean.agg(F.sum("n")).first()[0] or 0
+    # as many values as tokens with evidence
+    hits = clean.select(F.explode("hits").alias("s")).groupBy("s").count()
+    histogram: dict[float, float] = {r["s"]: r["count"] for r in hits.collect()}
     best = max([*model.words.values(), *model.stems.values()], default=1.0)
     histogram[best] = histogram.get(best, 0) + 0.5  # a chance hit not seen yet
     histogram[-DRIFT] = max(1.0, tokens - sum(histogram.values()))
     model.rate = _rate(histogram)
-    chance = sorted(s for r in clean for s in r["found"]) or [best]
-    middle = chance[len(chance) // 2]
-    model.log_k = math.log((sum(s >= middle for s in chance) + 0.5) / max(tokens, 1)) + model.rate * middle
-    x = np.array([evidence(model, r["n"], [(0, 0, s) for s in r["found"]]) for r in rows])
-    y = np.array([float(r["toxic"]) for r in rows])
-    if 0 < y.sum() < len(y):
-        model.weights = _logistic(x[:, None], y)
+    chance = clean.select(F.explode("found").alias("s"))
+    middle = chance.agg(F.percentile_approx("s", 0.5)).first()[0]
+    above = 1 if middle is None else chance.where(F.col("s") >= middle).count()
+    model.log_k = math.log((above + 0.5) / max(tokens, 1)) + model.rate * (best if middle is None else middle)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(0, 0, s) for s in scores.as_py()] for scores in batch.column(3)]
+            values = [evidence(model, n, f) for n, f in zip(batch.column(2).to_pylist(), found, strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sketch", "toxic", "evidence"])
+
+    weighed = single.select("sketch", "toxic", "n", "found").mapInArrow(weigh, "sketch long, toxic int, evidence double")
+    rows = weighed.collect()
+    unstage(single)
+    return [(r["sketch"], r["toxic"]) for r in rows], np.array([r["evidence"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
+
+
+def _tone_model(counts: DataFrame, sizes: dict[tuple[int, int], int], without: int | None = None) -> Model:
+    """Log-odds of either sign of the words that most of the counted documents hold, of all folds or of all but one."""
+    folds = [k for k in range(FOLDS) if k != without]
+    n_clean, n_toxic = (sum(sizes.get((toxic, k), 0) for k in folds) for toxic in (0, 1))
+    if not (n_toxic and n_clean):
+        return Model()
+    total = lambda toxic: sum((F.get("counts", F.lit(2 * k + toxic)) for k in folds), F.lit(0))
+    summed = counts.select("token", total(1).alias("toxic"), total(0).alias("clean"))
+    odds, _ = _odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
+    common = summed.orderBy(F.desc(F.col("toxic") + F.col("clean")), "token").limit(VOCABULARY)
+    return Model(tones={r["token"]: r["odds"] for r in common.select("token", odds.alias("odds")).collect()})
+
+
+def _tones(model: Model, single: DataFrame, left: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Learns the tone of ``model`` on the sample's documents ``left`` without evidence, and gives the tone of each document of
+    the sample by words that the other folds show."""
+    keys = single.sparkSession.createDataFrame(left, "sketch long, toxic int")
+    unexplained = single.join(F.broadcast(keys), ["sketch", "toxic"])
+    sizes = {(r["toxic"], r["fold"]): r["count"] for r in unexplained.groupBy("toxic", "fold").count().collect()}
+    counts = stage(_counts(unexplained, of=list(range(2 * FOLDS))).where("not stem"), "toxicity-tones")
+    model.tones = _tone_model(counts, sizes).tones
+    parts = [_tone_model(counts, sizes, k) for k in range(FOLDS)]
+    unstage(counts)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds, words = batch.column(2).to_pylist(), batch.column(3)
+            tones = [tone(parts[fold], set(own.as_py())) for fold, own in zip(folds, words, strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(tones, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sketch", "toxic", "tone"])
+
+    rows = single.select("sketch", "toxic", "fold", "words").mapInArrow(measure, "sketch long, toxic int, tone double").collect()
+    return {(r["sketch"], r["toxic"]): r["tone"] for r in rows}
+
+
+def _calibrated(
+    model: Model, found: list[tuple[int, int]], x: np.ndarray, y: np.ndarray, tones: dict[tuple[int, int], float]
+) -> Model:
+    """The logistic step, on evidence and tone of words that each document's own fold did not show."""
+    model.weights = _logistic(np.column_stack([x, [tones[key] for key in found]]), y)
     return model
 
 
@@ -368,12 +441,13 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", prefix: s
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(model)
-        constant, slope = model.weights
+        constant, slope, tone_slope = model.weights
         for batch in batches:
             values, spans = [], []
             for text in batch.column(at):
-                n, found = passages(text.as_py() or "", scores)
-                z = constant + slope * evidence(model, n, found)
+                tokens = tokens_of(text.as_py())
+                n, found = len(tokens), passages(tokens, scores)
+                z = constant + slope * evidence(model, n, found) + tone_slope * tone(model, set(tokens))
                 values.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
                 expected = [math.exp(min(50.0, log_expected(model, s, n))) for _, _, s in found]
                 spans.append(
