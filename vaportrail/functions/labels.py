@@ -34,6 +34,11 @@ def what_if_stress(stress: Column, factor_pct: float | Column) -> Column:
     return F.least(F.lit(100.0), stress * (F.lit(factor_pct) / 100.0))
 
 
+def at_least(points: Column, n: int) -> Column:
+    """A track of ``n`` points or more."""
+    return F.size(points) >= n
+
+
 def valid_coordinate(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(*LAT_RANGE) & lon.between(*LON_RANGE), F.lit(False))
 

@@ -9,15 +9,20 @@ from vaportrail.defaults import ALT_RANGE, LAT_RANGE, LON_RANGE, SPEED_RANGE
 REPORT = ["date", "icao24", "timestamp"]
 
 
+def located() -> Column:
+    """Position and time are present."""
+    return F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("timestamp").isNotNull()
+
+
 def valid_report() -> Column:
     """Position and time present and in range; altitude and speed in range when present.
 
-    The range tests on latitude and longitude also reject nulls and NaN, and reach the Parquet scan.
+    The range tests on latitude and longitude also reject NaN. All but the altitude's and speed's test for NaN reach the Parquet scan.
     """
     altitude, speed = F.col("altitude"), F.col("velocity")
     return (
         F.col("icao24").isNotNull()
-        & F.col("timestamp").isNotNull()
+        & located()
         & F.col("latitude").between(*LAT_RANGE)
         & F.col("longitude").between(*LON_RANGE)
         & (altitude.isNull() | F.isnan(altitude) | altitude.between(*ALT_RANGE))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vaportrail.defaults import HORIZONS_SEC, MIN_FORECAST_POINTS
 from vaportrail.functions.geo import dead_reckon, lateral_error_nm, zero_if_missing
-from vaportrail.functions.labels import confidence_label
+from vaportrail.functions.labels import at_least, confidence_label
 from vaportrail.operators.percentiles import group_percentiles
 
 
@@ -36,7 +36,7 @@ def forecast(
     )
     # the legs are found inside the array, so that the tracks themselves are not repeated per horizon
     ahead = (
-        flights.where(F.size("points") >= min_points)
+        flights.where(at_least(F.col("points"), min_points))
         .withColumn("mid", midpoint(points))
         .select("flight_id", "date", "mid", F.inline(legs))
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vaportrail.defaults import SAMPLE_EVERY, SAMPLE_FLIGHTS
 from vaportrail.functions.geo import hour_of_day, zero_if_missing
+from vaportrail.functions.labels import at_least
 from vaportrail.operators.numbering import number_rows
 
 
@@ -33,9 +34,9 @@ def thin_tracks(flights: DataFrame, every: int = SAMPLE_EVERY, min_raw: int = 5,
         ),
     )
     return (
-        flights.where(F.size("points") >= min_raw)
+        flights.where(at_least(F.col("points"), min_raw))
         .select("flight_id", slim.alias("points"))
-        .where(F.size("points") >= min_kept)
+        .where(at_least(F.col("points"), min_kept))
     )
 
 
@@ -74,7 +75,7 @@ def hour_tracks(flights: DataFrame, hour: int | None = None, min_points: int = 2
             flights = flights.where(in_hour(hour))
     return (
         flights.withColumn("points", points)
-        .where(F.size("points") >= min_points)
+        .where(at_least(F.col("points"), min_points))
         .withColumn("points", F.sort_array("points"))
     )
 

@@ -19,6 +19,18 @@ def _capped(x: Column) -> Column:
     return F.least(F.lit(1.0), x)
 
 
+def busiest(grid: DataFrame) -> Column:
+    """The most flights that any cell had in any hour, 1 at least."""
+    return grid.agg(F.greatest(F.max("flight_count"), F.lit(1))).scalar()
+
+
+def hourly_flights(grid: DataFrame, resolution: float = GRID_DEG) -> DataFrame:
+    """Mean flights per cell index and hour over all dates, and how many dates those are."""
+    return with_index(grid, resolution, *CELL).groupBy(*INDEX, "hour").agg(
+        F.avg("flight_count").alias("mean_flights"), F.count("flight_count").alias("n"), F.min("date").alias("date")
+    )
+
+
 def stress_index(
     grid: DataFrame,
     points: DataFrame | None,
@@ -31,18 +43,14 @@ def stress_index(
     ``dispersion``, where it is known already (:mod:`cellstate`), spares reading the points.
     Both sides are aggregated to one row per cell and hour before they meet, so the join sees no skew.
     """
-    busiest = grid.agg(F.greatest(F.max("flight_count"), F.lit(1))).scalar()
-    density = with_index(grid, resolution, *CELL).groupBy(*INDEX, "hour").agg(
-        F.avg("flight_count").alias("mean_flights"), F.min("date").alias("date")
-    )
     parts = (
         (cell_dispersion(points, resolution) if dispersion is None else dispersion)
-        .join(density, [*INDEX, "hour"], "left")
+        .join(hourly_flights(grid, resolution), [*INDEX, "hour"], "left")
         .select(
             F.coalesce("date", F.current_date()).alias("date"),
             "hour",
             *INDEX,
-            F.coalesce(F.col("mean_flights") / busiest, F.lit(DEFAULT_DENSITY)).alias("density"),
+            F.coalesce(F.col("mean_flights") / busiest(grid), F.lit(DEFAULT_DENSITY)).alias("density"),
             (
                 (_capped(F.col("alt_std") / ALT_SCALE_FT) + _capped(F.col("speed_std") / SPEED_SCALE_KTS)) / 2
             ).alias("maneuver"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vaportrail import defaults
 from vaportrail.functions import geo, labels, text
 from vaportrail.operators import anomaly, forecast, grid, registry, sampling, stress, timetravel, tracks
 from vaportrail.session import stage
@@ -138,12 +139,9 @@ def a3(spark, d):
     ),
 )
 def j1(spark, d):
-    from pyspark.sql import Window
-
-    cell = Window.partitionBy(*grid.CELL)
-    return derived.grid_density(spark, d).select(
-        *grid.CELL_HOUR, "flight_count", rd(F.avg("flight_count").over(cell), 6).alias("mean_flights"),
-        F.max("flight_count").over(cell).alias("max_flights"),
+    cells = derived.grid_density(spark, d)
+    return cells.join(grid.cell_history(cells), grid.CELL).select(
+        *grid.CELL_HOUR, "flight_count", r("mean_flights"), "max_flights"
     )
 
 
@@ -207,11 +205,9 @@ def a6(spark, d):
 )
 def j2(spark, d):
     pts = derived.points(spark, d)
-    seen = grid.with_centre(grid.with_cell_hour(pts)).select(*grid.CELL, "hour").distinct()
-    per_hour = grid.grid_density(pts).groupBy(*grid.CELL, "hour").agg(
-        rd(F.avg("flight_count"), 6).alias("mean_flights"), F.count("*").alias("n")
-    )
-    return seen.join(per_hour, [*grid.CELL, "hour"], "left").fillna(0, ["n"])
+    key = [*grid.INDEX, "hour"]
+    cells = grid.cell_dispersion(pts).join(stress.hourly_flights(grid.grid_density(pts)), key, "left")
+    return grid.with_centre(cells).select(*grid.CELL, "hour", r("mean_flights"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(
@@ -220,8 +216,7 @@ def j2(spark, d):
 )
 def j3(spark, d):
     cells = derived.grid_density(spark, d)
-    top = cells.agg(F.max("flight_count")).scalar()
-    return cells.select(*grid.CELL_HOUR, (F.col("flight_count") / top).alias("share"))
+    return cells.select(*grid.CELL_HOUR, (F.col("flight_count") / stress.busiest(cells)).alias("share"))
 
 
 CELLS_SQL = "(SELECT DISTINCT grid_lat, grid_lon FROM grid)"
@@ -507,9 +502,9 @@ def f11(spark, d):
     ),
 )
 def f12(spark, d):
-    size = F.size("points")
+    long_enough = lambda n: F.count_if(labels.at_least(F.col("points"), n))
     return derived.flights(spark, d).agg(
-        F.count_if(size >= 2).alias("two"), F.count_if(size >= 10).alias("ten"), F.count_if(size >= 5).alias("five")
+        long_enough(2).alias("two"), long_enough(defaults.MIN_FORECAST_POINTS).alias("ten"), long_enough(5).alias("five")
     )
 
 

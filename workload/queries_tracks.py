@@ -18,7 +18,7 @@ from workload.rounding import r, rd
     ),
 )
 def f1(spark, d):
-    rows = derived.state_vectors(spark, d).dropna(subset=["latitude", "longitude", "timestamp"])
+    rows = derived.state_vectors(spark, d).where(clean.located())
     return rows.groupBy("date").agg(F.count("*").alias("n"))
 
 
