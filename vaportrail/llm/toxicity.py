@@ -2,7 +2,7 @@
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +18,7 @@ SAMPLE = 25_000  # labelled rows of each class, at most about so many, that the
 VOCABULARY = 20_000  # words, as many stems, and as many words of the tone, that may carry a score
 PRIOR = 1.0  # pseudo-documents that hold a token, dealt to the classes at the base rate
 LEAST_Z, LEAST_ODDS = 4.0, 2.0  # of a token's likelihood ratio (as a z-score) and log-odds to count as evidence
+KEYS = 50_000  # tokens that a task counts before it hands them on
 FOLDS = 4  # of the sample: each is calibrated with the tokens of the others
 NEUTRAL = 10  # words without log-odds that every text is given, so that the tone of a short one stays near 0
 STEMS = (8, 7, 6, 5, 4, 3)  # lengths of beginnings that inflected forms share
@@ -176,10 +177,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, stem, counts): how many documents hold a word, or a word with this stem; summed up in part.
+def _document_counts(stems: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(token, stem, counts): how many documents hold a word and, if ``stems``, a word with this stem; summed up in part.
 
-    ``counts`` are the clean and toxic documents of the first fold, then those of the next.
+    ``counts`` are the clean and toxic documents of the first fold, then those of the next. A task holds KEYS tokens, and
+    those of one document more.
     """
 
     def rows(counts: dict) -> pa.RecordBatch:
@@ -188,24 +190,30 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         arrays = [pa.array(list(c), k) for c, k in zip(columns, types, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=["token", "stem", "counts"])
 
-    counts: dict[tuple[str, bool], list[int]] = {}
-    for batch in batches:
-        for fold, toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            words = words.as_py()
-            for key in [*((w, False) for w in words), *((s, True) for s in {s for w in words for s in stems_of(w)})]:
-                counts.setdefault(key, [0] * (2 * FOLDS))[2 * fold + toxic] += 1
-        if len(counts) > 100_000:
-            yield rows(counts)
-            counts = {}
-    yield rows(counts)
-
-
-def _counts(single: DataFrame, of: list[int]) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, bool], list[int]] = {}
+        for batch in batches:
+            for fold, toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = words.as_py()
+                keys = [(w, False) for w in words]
+                if stems:
+                    keys += [(s, True) for s in {s for w in words for s in stems_of(w)}]
+                for key in keys:
+                    counts.setdefault(key, [0] * (2 * FOLDS))[2 * fold + toxic] += 1
+                if len(counts) > KEYS:
+                    yield rows(counts)
+                    counts = {}
+        yield rows(counts)
+
+    return count
+
+
+def _counts(single: DataFrame, of: list[int], stems: bool) -> DataFrame:
     """(token, stem, counts) of all documents, where the counts at the places ``of`` make 3 or more."""
     held = [F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(2 * FOLDS)]
     return (
         single.select("fold", "toxic", "words")
-        .mapInArrow(_document_counts, "token string, stem boolean, counts array<long>")
+        .mapInArrow(_document_counts(stems), "token string, stem boolean, counts array<long>")
         .groupBy("token", "stem")
         .agg(*held)
         .where(sum((F.col(f"n{i}") for i in of), F.lit(0)) >= 3)
@@ -307,7 +315,7 @@ def fit(
     if not (n_toxic and n_clean):
         unstage(featured, single)
         return Model(weights=constant)
-    counts = stage(_counts(single, of=[2 * k + 1 for k in range(FOLDS)]), "toxicity-counts")
+    counts = stage(_counts(single, of=[2 * k + 1 for k in range(FOLDS)], stems=True), "toxicity-counts")
     model, parts = _learnt(counts, sizes), [_learnt(counts, sizes, k) for k in range(FOLDS)]
     model.weights = constant
     unstage(featured, counts)
@@ -406,7 +414,7 @@ def _tones(model: Model, single: DataFrame, left: list[tuple[int, int]]) -> dict
     keys = single.sparkSession.createDataFrame(left, "sketch long, toxic int")
     unexplained = single.join(F.broadcast(keys), ["sketch", "toxic"])
     sizes = {(r["toxic"], r["fold"]): r["count"] for r in unexplained.groupBy("toxic", "fold").count().collect()}
-    counts = stage(_counts(unexplained, of=list(range(2 * FOLDS))).where("not stem"), "toxicity-tones")
+    counts = stage(_counts(unexplained, of=list(range(2 * FOLDS)), stems=False), "toxicity-tones")
     model.tones = _tone_model(counts, sizes).tones
     parts = [_tone_model(counts, sizes, k) for k in range(FOLDS)]
     unstage(counts)
