@@ -167,6 +167,34 @@ def test_only_changed_dates_are_built_and_a_bad_one_stops_no_other(spark, tmp_pa
     assert ledger.by_date(spark, b).count() == 3
 
 
+def test_many_changed_dates_are_written_at_once_as_one_by_one(spark, tmp_path, monkeypatch):
+    raw, b, s, alone = tmp_path / "raw", str(tmp_path / "b"), str(tmp_path / "s"), str(tmp_path / "alone")
+    raw.mkdir()
+    days = [(DAY + datetime.timedelta(days=i), MIDNIGHT + i * 86400) for i in range(5)]
+    for i, (day, midnight) in enumerate(days):
+        archive(raw, f"{day}.csv", fleet(i + 2, day, midnight))
+    bronze.ingest_archives(spark, str(raw), b)
+    write, written = tables.write_table, []
+    monkeypatch.setattr(tables, "write_table", lambda df, path, *a, **k: (written.append(path), write(df, path, *a, **k)))
+    built = silver.build_changed(spark, b, s).collect()
+    assert len(written) == 4  # four tables, however many dates
+    counts = []
+    for day, _ in days:
+        counts.append(silver.build_silver(spark, b, alone, day, day))
+    assert [(r["flights"], r["cells"]) for r in built] == counts
+    for table in ("trajectories", "grid_density", "cell_hours", "cell_days"):
+        both = [spark.read.parquet(f"{root}/{table}") for root in (s, alone)]
+        assert both[0].exceptAll(both[1]).isEmpty() and both[1].exceptAll(both[0]).isEmpty()
+
+
+def test_a_date_built_to_nothing_counts_nothing(spark, layers, tmp_path):
+    b, s = layers
+    out = str(tmp_path / "again")
+    assert silver.build_dates(spark, b, out, [DAY, NEXT])[DAY][0] > 0
+    empty = silver.build_dates(spark, b, out, [DAY, NEXT], max_gap=0)  # every report is a segment of its own
+    assert [(flights, error) for flights, _, error in empty.values()] == [(0, None), (0, None)]
+
+
 def test_observed_counts_are_those_of_the_tables(spark, layers, tmp_path):
     b, s = layers
     out = str(tmp_path / "again")

@@ -46,8 +46,10 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schemas.struct_type(schema)).parquet(path)
 
 
-def between_dates(df: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows of an inclusive date range, pruned to its partitions; missing days are simply absent."""
+def between_dates(df: DataFrame, start=None, end=None, dates: list | None = None) -> DataFrame:
+    """Rows of an inclusive date range, or of the ``dates`` named, pruned to their partitions; missing days are simply absent."""
+    if dates is not None:
+        df = df.where(F.col("date").isin(dates))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
@@ -95,17 +97,17 @@ def append_bronze(bronze: DataFrame, path: str, rows_per_file: int = BRONZE_ROWS
     )
 
 
-def load_bronze(spark: SparkSession, path: str, date=None, start=None, end=None) -> DataFrame:
-    """Bronze rows of one date, a range, or all; order by :data:`FILE_ORDER` to keep the first of equal reports."""
-    return between_dates(read_table(spark, path, schemas.BRONZE), date or start, date or end)
+def load_bronze(spark: SparkSession, path: str, date=None, start=None, end=None, dates: list | None = None) -> DataFrame:
+    """Bronze rows of one date, a range, the dates named, or all; order by :data:`FILE_ORDER` to keep the first of equal reports."""
+    return between_dates(read_table(spark, path, schemas.BRONZE), date or start, date or end, dates)
 
 
-def load_trajectories(spark: SparkSession, silver: str, start=None, end=None) -> DataFrame:
-    return between_dates(read_table(spark, f"{silver}/trajectories", schemas.TRAJECTORY), start, end)
+def load_trajectories(spark: SparkSession, silver: str, start=None, end=None, dates: list | None = None) -> DataFrame:
+    return between_dates(read_table(spark, f"{silver}/trajectories", schemas.TRAJECTORY), start, end, dates)
 
 
-def load_grid(spark: SparkSession, silver: str, start=None, end=None) -> DataFrame:
-    return between_dates(read_table(spark, f"{silver}/grid_density", schemas.GRID), start, end)
+def load_grid(spark: SparkSession, silver: str, start=None, end=None, dates: list | None = None) -> DataFrame:
+    return between_dates(read_table(spark, f"{silver}/grid_density", schemas.GRID), start, end, dates)
 
 
 def load_states(spark: SparkSession, silver: str, start=None, end=None) -> tuple[DataFrame, DataFrame]:
@@ -120,8 +122,8 @@ def load_ordered_points(spark: SparkSession, silver: str, start=None, end=None)
     return between_dates(read_table(spark, f"{silver}/points_by_place", schemas.ORDERED_POINT), start, end)
 
 
-def load_points(spark: SparkSession, silver: str, start=None, end=None) -> DataFrame:
+def load_points(spark: SparkSession, silver: str, start=None, end=None, dates: list | None = None) -> DataFrame:
     """Track points in long form; only the ``points`` column (and the ids) are read."""
     from vaportrail.operators.tracks import explode_points
 
-    return explode_points(load_trajectories(spark, silver, start, end), "flight_id", "date")
+    return explode_points(load_trajectories(spark, silver, start, end, dates), "flight_id", "date")

@@ -27,7 +27,7 @@ def _once(kind, spark, d, make):
 
 
 def stored_silver(spark, d):
-    """Built from two thirds of the reports; then the others arrive, and each date is built anew on its own."""
+    """Built from two thirds of the reports; then the others arrive, and each date is built anew."""
 
     def make(path):
         source = new_stage_path(spark, "bronze")
@@ -36,8 +36,10 @@ def stored_silver(spark, d):
         tables.append_bronze(reports.where(~late), source)
         silver.build_silver(spark, source, path)
         tables.append_bronze(reports.where(late), source)
-        for row in reports.select("date").distinct().orderBy("date").collect():
-            silver.build_silver(spark, source, path, row["date"], row["date"])
+        dates = [row["date"] for row in reports.select("date").distinct().orderBy("date").collect()]
+        failed = {date: why for date, (_, _, why) in silver.build_dates(spark, source, path, dates).items() if why}
+        if failed:
+            raise RuntimeError(f"dates not built: {failed}")
 
     return _once("silver", spark, d, make)
 
