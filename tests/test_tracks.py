@@ -186,3 +186,35 @@ def test_flights_read_their_reports_once(spark, tmp_path):
     assert flights.count() == 1 and flights.collect()
     plan = flights._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_flights_are_built_without_a_sort_of_their_points(spark):
+    """As many rows as reports are gathered, and the flights are those of the long points."""
+    rng = random.Random(7)
+    some = lambda x: None if rng.random() < 0.2 else x
+    rows = [
+        report(MIDNIGHT + rng.randrange(40_000), f"b{i % 9:05d}", rng.uniform(-80, 80), rng.uniform(-170, 170), some(rng.uniform(0, 4e4)),
+               some(rng.uniform(0, 600)), some(rng.uniform(0, 360)), some(rng.choice([-900.0, 0.0, 900.0])))
+        for i in range(4000)
+    ]
+    rows += [report(MIDNIGHT + t, "short", alt=None, spd=None, hdg=h) for t, h in ((0, None), (3, 20.0), (7, 50.0))]
+    reports = clean.clean_reports(frame(spark, rows), ["_source_file", "latitude"])
+    flights = tracks.build_trajectories(reports)
+    plan = flights._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    by_id = lambda df: {r["flight_id"]: r for r in df.collect()}
+    got, want = by_id(flights), by_id(tracks.with_flight_ids(tracks.trajectories(tracks.build_points(reports))))
+    assert got.keys() == want.keys() and len(got) > 30
+    for key, r in want.items():
+        assert r["points"] == got[key]["points"] and r == got[key]
+    # what the steps say, flight by flight
+    long = tracks.with_flight_ids(tracks.steps(tracks.build_points(reports)))
+    summed = long.groupBy("flight_id").agg(
+        F.sum("step_nm").alias("nm"), F.sum("turn_deg").alias("turn"), F.sum("climb_start").alias("up"), F.sum("descent_start").alias("down"),
+        F.max("alt_ft").alias("alt"), F.avg("speed_kts").alias("speed"), (F.max("ts") - F.min("ts")).alias("sec"),
+    )
+    for key, r in by_id(summed).items():
+        f = got[key]
+        assert f["distance_nm"] == pytest.approx(r["nm"] or 0.0) and f["heading_change_total"] == pytest.approx(r["turn"] or 0.0)
+        assert (f["climb_count"], f["descent_count"], f["duration_sec"]) == (r["up"], r["down"], r["sec"])
+        assert f["max_alt_ft"] == (r["alt"] or 0.0) and f["avg_speed_kts"] == pytest.approx(r["speed"] or 0.0)
