@@ -39,3 +39,14 @@ def test_deviation_is_of_all_flights(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(live, "live_planes", lambda p, a, limit=1: asked.append(limit) or live_planes(p, a, limit))
     QUERIES["j8_deviation"][0](spark, sf_dir).collect()
     assert asked == [None]
+
+
+def test_planted_outliers_build_the_flights_once(spark, sf_dir, monkeypatch):
+    from workload import queries_gold
+
+    plans, stage = {}, queries_gold.stage
+    monkeypatch.setattr(
+        queries_gold, "stage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and stage(df, name)
+    )
+    QUERIES["m5_planted_outliers"][0](spark, sf_dir)
+    assert "Window" in plans.pop("features") and not any("Window" in plan for plan in plans.values())

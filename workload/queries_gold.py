@@ -357,14 +357,14 @@ def m2_m3_invariants(spark, d):
 )
 def m5_planted(spark, d):
     """Ten impossible flights among the others: scored highest and emitted at the default threshold."""
-    features = anomaly.flight_features(derived.flights(spark, d))
+    features = stage(anomaly.flight_features(derived.flights(spark, d)), "features")
     planted = features.orderBy("flight_id").limit(10).withColumns(
         {
             "flight_id": F.concat(F.lit("planted_"), "flight_id"),
             **{f: (F.col(f) * 40 + 9_000).cast(features.schema[f].dataType) for f in anomaly.FEATURES},
         }
     )
-    both = stage(features.unionByName(planted), "features")
+    both = stage(features.unionByName(planted), "planted")
     detector = anomaly.fit_detector(both)
     if detector is None:
         return spark.createDataFrame([], "scored long, planted_on_top long, planted_emitted long, emitted_below long")
