@@ -69,6 +69,11 @@ def test_the_time_range_reads_no_points_and_hours_reach_the_scan(spark, layers):
     assert sampling.hour_tracks(stored, 9).count() == 32 and sampling.hour_tracks(stored, 10).count() == 0
 
 
+def test_hours_of_the_time_index_are_worked_out_once(spark):
+    indexed = sampling.with_time_index(spark.createDataFrame([], FLIGHT))
+    assert indexed._jdf.queryExecution().optimizedPlan().toString().count("3600") == 1
+
+
 # --- cell states
 
 

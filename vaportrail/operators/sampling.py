@@ -44,17 +44,17 @@ def with_time_index(flights: DataFrame) -> DataFrame:
     """Adds what hour filters and the time range need as plain columns: first and last positive timestamp, first and last
     hour of day, and ``hours``, a mask with a bit for each hour of day that has a point."""
     stamps = F.filter(F.transform("points", lambda p: p["ts"]), lambda ts: ts > 0)
-    hours = F.transform(F.col("_stamps"), hour_of_day)
+    hours = F.array_distinct(F.transform(F.col("_stamps"), hour_of_day))  # worked out once, a few for each flight
     bit = lambda hour: F.call_function("shiftleft", F.lit(1), hour)
-    return flights.withColumn("_stamps", stamps).withColumns(
+    return flights.withColumn("_stamps", stamps).withColumn("_hours", hours).withColumns(
         {
             "first_ts": F.array_min("_stamps"),
             "last_ts": F.array_max("_stamps"),
-            "first_hour": F.array_min(hours).cast("tinyint"),
-            "last_hour": F.array_max(hours).cast("tinyint"),
-            "hours": F.aggregate(F.array_distinct(hours), F.lit(0), lambda mask, hour: mask + bit(hour)),
+            "first_hour": F.array_min("_hours").cast("tinyint"),
+            "last_hour": F.array_max("_hours").cast("tinyint"),
+            "hours": F.aggregate("_hours", F.lit(0), lambda mask, hour: mask + bit(hour)),
         }
-    ).drop("_stamps")
+    ).drop("_stamps", "_hours")
 
 
 def in_hour(hour: int) -> Column:
