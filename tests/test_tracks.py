@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from helpers import DAY, MIDNIGHT, frame, points_of, report
 from pyspark.sql import functions as F
 
-from vaportrail.operators import clean, tracks
+from vaportrail.operators import clean, flown, tracks
 
 
 def test_filters_run_before_the_first_row_is_kept(spark):
@@ -218,3 +219,78 @@ def test_flights_are_built_without_a_sort_of_their_points(spark):
         assert f["distance_nm"] == pytest.approx(r["nm"] or 0.0) and f["heading_change_total"] == pytest.approx(r["turn"] or 0.0)
         assert (f["climb_count"], f["descent_count"], f["duration_sec"]) == (r["up"], r["down"], r["sec"])
         assert f["max_alt_ft"] == (r["alt"] or 0.0) and f["avg_speed_kts"] == pytest.approx(r["speed"] or 0.0)
+
+
+def odd_reports(rng, planes=12, n=60):
+    """Reports with gaps, values that are missing or not numbers, steps over the poles, and flights of a few seconds."""
+    pick = lambda *xs: xs[rng.randrange(len(xs))]
+    rows = []
+    for i in range(planes):
+        ts, absent = MIDNIGHT + i, rng.randrange(6)
+        for _ in range(n):
+            ts += pick(1, 2, 3, 7, 20, 61, 290, 301)
+            seen = lambda k, x: None if absent == k or rng.random() < 0.2 else float("nan") if rng.random() < 0.01 else x
+            rows.append(
+                report(ts, f"a{i:05d}", rng.uniform(-90, 90), rng.uniform(-180, 180), seen(1, rng.uniform(0, 4e4)), seen(2, rng.uniform(0, 600)),
+                       seen(3, rng.uniform(0, 360)), seen(4, pick(-900.0, 0.0, 900.0)), call=pick("X1", None))
+            )
+    return rows
+
+
+def walked(points):
+    """The features of a flight, point by point."""
+    above = lambda x, y: x > y or x != x  # noqa: E731  a NaN is above all numbers
+    nm = turned = speeds = 0.0
+    timed, ups, downs, top, was, course, rate = 0, 0, 0, None, None, None, None
+    for p in points:
+        now = p["vrate_fpm"] or 0.0
+        if was is not None:
+            a, b, c, d = (math.radians(x) for x in (was["lat"], p["lat"], p["lat"] - was["lat"], p["lon"] - was["lon"]))
+            h = math.sin(c / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(d / 2) ** 2
+            nm += 3440.065 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+            ups += rate <= 0 and above(now, 500)
+            downs += (above(rate, 0) or rate == 0) and now < -500
+        if p["heading_deg"] is not None:
+            if course is not None:
+                turn = math.fmod(abs(course - p["heading_deg"]), 360)
+                turned += turn if turn != turn else min(turn, 360 - turn)
+            course = p["heading_deg"]
+        if p["speed_kts"] is not None:
+            speeds, timed = speeds + p["speed_kts"], timed + 1
+        if p["alt_ft"] is not None and (top is None or above(p["alt_ft"], top)):
+            top = p["alt_ft"]
+        was, rate = p, now
+    return [points[-1]["ts"] - points[0]["ts"], nm, top or 0.0, speeds / timed if timed else 0.0, turned, ups, downs]
+
+
+def test_flights_expanded_in_batches_are_those_of_the_long_points(spark):
+    reports = frame(spark, odd_reports(random.Random(8)))
+    found = tracks.build_trajectories(reports)
+    long = tracks.with_flight_ids(tracks.build_points(reports))
+    assert found.dtypes == tracks.with_flight_ids(tracks.trajectories(tracks.build_points(reports))).dtypes
+    known = {}
+    for p in long.orderBy("flight_id", "ts").collect():
+        known.setdefault(p["flight_id"], []).append(p)
+    flights = found.collect()
+    assert {r["flight_id"] for r in flights} == known.keys() and len(flights) > 50
+    features = ["duration_sec", "distance_nm", "max_alt_ft", "avg_speed_kts", "heading_change_total", "climb_count", "descent_count"]
+    for r in flights:
+        points = known[r["flight_id"]]
+        # a NaN equals no other, so texts are compared
+        assert repr([tuple(p) for p in r["points"]]) == repr([tuple(p[c] for c in tracks.POINT_FIELDS) for p in points])
+        assert [r[c] for c in features] == pytest.approx(walked(points), rel=1e-9, abs=1e-9, nan_ok=True)
+        assert r["callsign"] == (points[0]["callsign"] or "")
+
+
+def test_batches_are_cut_by_points():
+    sizes = np.array([3, 3, 1, 9, 1, 1, 1, 1])
+    cut = list(flown.pieces(sizes, 4))
+    assert len(cut) > 2 and sum(n for _, n in cut) == len(sizes)
+    assert [first for first, _ in cut] == [0, *np.cumsum([n for _, n in cut])[:-1]]
+    assert all(sizes[a : a + n].sum() <= 4 + 9 for a, n in cut)
+
+
+def test_the_points_of_a_flight_are_not_walked_one_by_one(spark):
+    found = tracks.build_trajectories(frame(spark, odd_reports(random.Random(9), 2, 5)))
+    asked = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in asked and "lambdafunction" not in asked

@@ -43,8 +43,9 @@ def thin_tracks(flights: DataFrame, every: int = SAMPLE_EVERY, min_raw: int = 5,
 def with_time_index(flights: DataFrame) -> DataFrame:
     """Adds what hour filters and the time range need as plain columns: first and last positive timestamp, first and last
     hour of day, and ``hours``, a mask with a bit for each hour of day that has a point."""
-    stamps = F.filter(F.transform("points", lambda p: p["ts"]), lambda ts: ts > 0)
-    hours = F.array_distinct(F.transform(F.col("_stamps"), hour_of_day))  # worked out once, a few for each flight
+    stamps = F.filter(F.col("points.ts"), lambda ts: ts > 0)
+    since_epoch = F.array_distinct(F.transform("_stamps", lambda ts: F.call_function("div", ts, F.lit(3600))))
+    hours = F.transform(since_epoch, lambda hour: F.pmod(hour, F.lit(24)).cast("int"))  # a few for each flight
     bit = lambda hour: F.call_function("shiftleft", F.lit(1), hour)
     return flights.withColumn("_stamps", stamps).withColumn("_hours", hours).withColumns(
         {
@@ -52,7 +53,7 @@ def with_time_index(flights: DataFrame) -> DataFrame:
             "last_ts": F.array_max("_stamps"),
             "first_hour": F.array_min("_hours").cast("tinyint"),
             "last_hour": F.array_max("_hours").cast("tinyint"),
-            "hours": F.aggregate("_hours", F.lit(0), lambda mask, hour: mask + bit(hour)),
+            "hours": F.aggregate("_hours", F.lit(0), lambda mask, hour: mask.bitwiseOR(bit(hour))),
         }
     ).drop("_stamps", "_hours")
 
