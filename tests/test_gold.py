@@ -228,3 +228,16 @@ def test_training_window_and_versions(spark):
     two = registry.next_version(models, one, run, F.lit(6))
     assert one.first()["data_version"] == "v20260121--001" and two.first()["data_version"] == "v20260121--002"
     assert two.first()["models"] == ["traj_pred_001", "anomaly_001"]
+
+
+def test_a_tree_splits_values_that_are_next_to_each_other(spark):
+    """The random threshold may be rounded up to the larger one."""
+    import math
+
+    from vaportrail.operators import forest
+
+    low = 0.1
+    rows = [(tree, key, x) for tree in range(20) for key, x in (("a", low), ("b", math.nextafter(low, 1.0)))]
+    nodes = forest.grow_forest(spark.createDataFrame(rows, "tree int, key string, x double"), "key", ["x"], 2).collect()
+    sizes = sorted((n["tree"], n["size"]) for n in nodes if n["feature"] < 0)
+    assert sizes == [(tree, 1) for tree in range(20) for _ in range(2)]

@@ -67,6 +67,8 @@ def grow_forest(
                 continue
             feature = int(rng.choice(usable))
             threshold = float(rng.uniform(low[feature], high[feature]))
+            # rounding may reach the upper end, which would leave the right side empty
+            threshold = min(threshold, float(np.nextafter(high[feature], low[feature])))
             goes_left = values[rows, feature] <= threshold
             nodes.append((tree, node, feature, threshold, next_id, next_id + 1, len(rows), depth))
             open_nodes.append((next_id, rows[goes_left], depth + 1))
