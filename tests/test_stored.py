@@ -265,6 +265,23 @@ def test_playback_of_nothing(spark):
     assert playback.frames(0, 100, 10, spark).count() == 11 and playback.frames(5, 4, 1, spark).count() == 0
 
 
+def test_playback_unpacks_only_flights_under_way(spark, tmp_path):
+    tracks = [flight(f"f{i}", [(1000 * i + ts, 1.0, 2.0, 3.0, 4.0, 5.0, 0.0) for ts in range(100)]) for i in range(50)]
+    path = str(tmp_path / "flights")
+    spark.createDataFrame(tracks, FLIGHT).write.parquet(path)
+    shown = playback.playback(spark.read.parquet(path), spark.createDataFrame([(7050.5,), (9000.0,), (9500.0,)], "t double"))
+    unpacked = plan(shown).split("Generate explode(points")[1:]
+    assert unpacked and all("LeftSemi" in below for below in unpacked)
+    assert sorted((r["flight_id"], r["t"]) for r in shown.collect()) == [("f7", 7050.5), ("f9", 9000.0)]
+
+
+def test_spans_read_only_the_time_of_points(spark, tmp_path):
+    path = str(tmp_path / "flights")
+    spark.createDataFrame([flight("a", [(1, 1.0, 2.0, 3.0, 4.0, 5.0, 0.0), (9, 1.0, 2.0, 3.0, 4.0, 5.0, 0.0)])], FLIGHT).write.parquet(path)
+    spans = playback.spans(spark.read.parquet(path))
+    assert "points:array<struct<ts:bigint>>" in plan(spans) and [tuple(r) for r in spans.collect()] == [("a", 1, 9)]
+
+
 # --- row numbers
 
 

@@ -2,7 +2,8 @@
 
 Points and moments of a flight are put in one time order. The last point before and the first point after each moment are
 carried along that order, so the cost grows with points plus moments, not with their product. A flight's time is cut into
-slices, and what stands at a slice's edges is carried over, so no window holds more than a slice of one flight.
+slices, and what stands at a slice's edges is carried over, so no window holds more than a slice of one flight. Flights that are under
+way at none of the moments are left out before their points are unpacked.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import Window
 
 from vaportrail.defaults import PLAYBACK_SLICE_SEC
 from vaportrail.functions.geo import initial_bearing
+from vaportrail.session import stage
 
 FIELDS = ["ts", "lat", "lon", "alt_ft", "heading_deg"]
 
@@ -26,8 +28,9 @@ def between_points(before: Column, after: Column, t: Column) -> dict[str, Column
 
 def spans(flights: DataFrame) -> DataFrame:
     """(flight_id, first, last) of every flight with points, which are in time order."""
-    first, last = F.get("points", F.lit(0))["ts"], F.try_element_at("points", F.lit(-1))["ts"]
-    return flights.where(F.size("points") > 0).select("flight_id", first.alias("first"), last.alias("last"))
+    stamps = F.col("points.ts")  # the only column of the points that is read
+    first, last = F.get(stamps, F.lit(0)), F.try_element_at(stamps, F.lit(-1))
+    return flights.where(F.size(stamps) > 0).select("flight_id", first.alias("first"), last.alias("last"))
 
 
 def moments_of(flight_spans: DataFrame, moments: DataFrame, slice_sec: int) -> DataFrame:
@@ -45,14 +48,16 @@ def playback(flights: DataFrame, moments: DataFrame, slice_sec: int = PLAYBACK_S
     """(flight_id, t, lat, lon, alt_ft, heading_deg) of every flight that is under way at each of the ``moments`` (column ``t``).
 
     Moments may be any number, in any order; repeated ones count once. Flights without points give no row. Reads ``flights`` twice, once for
-    the spans alone.
+    the spans alone. What is asked of which flight is stored, so that its size is known when the flights are picked.
     """
+    met = stage(moments_of(spans(flights), moments, slice_sec), "moments")
+    under_way = flights.join(met.select("flight_id").distinct(), "flight_id", "left_semi")
     point = F.struct(*[F.col(f"p.{c}").alias(c) for c in FIELDS])
     cut = F.floor(F.col("t") / slice_sec).alias("slice")
-    seen = flights.select("flight_id", F.explode("points").alias("p")).select(
+    seen = under_way.select("flight_id", F.explode("points").alias("p")).select(
         "flight_id", F.col("p.ts").cast("double").alias("t"), F.lit(False).alias("asked"), point.alias("p")
     )
-    asked = moments_of(spans(flights), moments, slice_sec).select(
+    asked = met.select(
         "flight_id", "t", F.lit(True).alias("asked"), F.lit(None).cast(seen.schema["p"].dataType).alias("p")
     )
     rows = seen.unionByName(asked).select("*", cut)
@@ -71,13 +76,13 @@ def playback(flights: DataFrame, moments: DataFrame, slice_sec: int = PLAYBACK_S
             "after": F.first("p", True).over(order.rowsBetween(0, Window.unboundedFollowing)),
         }
     ).where("asked")
-    met = swept.join(edges, own).select(
+    held = swept.join(edges, own).select(
         "flight_id", "t", F.coalesce("before", "carried").alias("before"), F.coalesce("after", "coming").alias("after")
     )
     # a point at the very moment comes before it in the order
-    met = met.withColumn("after", F.when(F.col("before.ts") == F.col("t"), F.col("before")).otherwise(F.col("after")))
+    held = held.withColumn("after", F.when(F.col("before.ts") == F.col("t"), F.col("before")).otherwise(F.col("after")))
     at = between_points(F.col("before"), F.col("after"), F.col("t"))
-    return met.select("flight_id", "t", *[c.alias(name) for name, c in at.items()])
+    return held.select("flight_id", "t", *[c.alias(name) for name, c in at.items()])
 
 
 def frames(start: float, end: float, step: float, spark) -> DataFrame:
