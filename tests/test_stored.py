@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import threading
 
 import pytest
 from helpers import DAY, FLIGHT, MIDNIGHT, flight, frame, report
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vaportrail.operators import cellstate, grid, numbering, percentiles, playback, sampling, spatial, stress, timetravel
 from vaportrail.plans import bronze, gold, silver
+from vaportrail.session import together
 from vaportrail.sources import ledger, tables
 
 NEXT = DAY + datetime.timedelta(days=1)
@@ -192,6 +194,41 @@ def test_many_changed_dates_are_written_at_once_as_one_by_one(spark, tmp_path, m
         assert both[0].exceptAll(both[1]).isEmpty() and both[1].exceptAll(both[0]).isEmpty()
 
 
+def test_densities_and_hour_states_are_written_at_the_same_time(spark, layers, tmp_path, monkeypatch):
+    write, meeting = tables.write_table, threading.Barrier(2, timeout=60)
+
+    def met(df, path, *a, **k):
+        if path.endswith(("grid_density", "cell_hours")):
+            meeting.wait()  # breaks when one of them waits for the other to end
+        return write(df, path, *a, **k)
+
+    monkeypatch.setattr(tables, "write_table", met)
+    flights, cells = silver.build_silver(spark, layers[0], str(tmp_path / "s"))
+    assert flights == spark.read.parquet(f"{tmp_path}/s/trajectories").count()
+    assert cells == spark.read.parquet(f"{tmp_path}/s/grid_density").count() > 0
+
+
+def test_an_error_of_jobs_that_run_together_is_raised(spark):
+    done = []
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: 1 // 0, lambda: done.append(spark.range(5).count()))
+    assert done == [5]
+
+
+def test_hours_skip_pages_of_a_date(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(silver, "FLIGHTS_PER_PAGE", 10)
+    hourly = [(f"{i:06x}", h) for h in range(24) for i in range(10)]
+    rows = [report(MIDNIGHT + 3600 * h + 100 + t, icao) for icao, h in hourly for t in (0, 60)]
+    source, out = str(tmp_path / "b"), str(tmp_path / "s")
+    tables.append_bronze(frame(spark, rows), source)
+    silver.build_silver(spark, source, out)
+    cut = sampling.hour_tracks(tables.load_trajectories(spark, out), 19)
+    executed = cut._jdf.queryExecution().executedPlan()
+    assert executed.executeCollect() is not None
+    assert executed.collectLeaves().head().metrics().apply("numOutputRows").value() < 60
+    assert cut.count() == 10 and len(hourly) == spark.read.parquet(f"{out}/trajectories").count()
+
+
 def test_a_date_built_to_nothing_counts_nothing(spark, layers, tmp_path):
     b, s = layers
     out = str(tmp_path / "again")

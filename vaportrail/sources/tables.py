@@ -24,11 +24,13 @@ def write_table(
     mode: str = "overwrite",
     only_own_partitions: bool = False,
     sort: list[str] | None = None,
+    page_rows: int | None = None,
 ) -> None:
     """Snappy Parquet in the declared schema, one folder per ``partition`` value, each file sorted by ``sort``.
 
     Overwriting replaces the table, or with ``only_own_partitions`` just those that ``df`` has rows for. Rows are rebalanced by partition value first:
-    small partitions end up in few files, and a partition holding much of the data is split over many tasks.
+    small partitions end up in few files, and a partition holding much of the data is split over many tasks. ``page_rows`` bounds the rows of
+    a page, for tables of few large rows: readers skip pages by their range of the sort columns where a whole file is one row group.
     """
     rows = schemas.conform(df, schema)
     if partition:
@@ -36,6 +38,8 @@ def write_table(
     if sort:  # lets readers skip row groups by these columns
         rows = rows.sortWithinPartitions(*([partition] if partition else []), *sort)
     writer = rows.write.mode(mode).option("compression", "snappy")
+    if page_rows:
+        writer = writer.option("parquet.page.row.count.limit", page_rows)
     if partition:
         replaced = "dynamic" if only_own_partitions else "static"
         writer = writer.partitionBy(partition).option("partitionOverwriteMode", replaced)
