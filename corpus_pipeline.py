@@ -7,11 +7,20 @@ from vaportrail.llm import decontaminate, minhash, mixing, secrets, toxicity
 from vaportrail.session import stage
 
 
+BATCH_ROWS = 1_000  # whole texts that go to a Python worker at a time: it and its executor keep the room of the largest batch
 NEAR_COPY_WORDS = 5  # of a shingle; the query op2_near_duplicates by itself takes two
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of BATCH_ROWS, or of as few as the session already asks for; 0 there is no bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    asked = int(spark.conf.get(name))
+    spark.conf.set(name, min(asked, BATCH_ROWS) if asked > 0 else BATCH_ROWS)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model learns from labelled documents of this stage's input."""
+    _small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_texts(docs, model, prefix="_toxic_").where("_toxic_predicted = 0").select(*docs.columns)
 
@@ -36,6 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows with null or repeated ids are judged like all others; texts without words are copies of nothing.
     """
+    _small_batches(spark)
     rows, row = _told_apart(docs)
     copies = minhash.near_duplicates(rows, id_col=row, words=NEAR_COPY_WORDS)
     dropped = stage(copies.where(~F.col("kept")).select(row), "pipeline-copies")
@@ -52,6 +62,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked where they stand; every document stays, and its length follows its text."""
+    _small_batches(spark)
     found = secrets.scan_versions(docs).where(F.size("findings") > 0)
     # by content, not by id: rows that share an id may have different texts
     finds = stage(found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")).distinct(), "pipeline-secrets")

@@ -1,11 +1,14 @@
 """Cards beside other numbers, rule versions on a kept ledger, maximal segments, and blocks of the nearest search."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vaportrail.llm import nearest, pii, secrets, toxicity
+from vaportrail.llm.words import ROWS, in_slices
 
 
 def luhn(number):
@@ -122,3 +125,26 @@ def test_search_block_finds_what_brute_force_finds():
         scores[q] = -np.inf
         assert best.ids[row].tolist() == ids[np.lexsort((ids, -scores))[:5]].tolist()
     assert 0 < verified <= 700 * len(queries)
+
+
+def test_words_of_a_batch_are_held_a_slice_at_a_time():
+    texts = [" ".join(f"w{i * 7 % 5000 + k}" for k in range(200)) for i in range(4000)] + ["", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(len(texts))], pa.int32())], names=["text", "toxic"])
+    tracemalloc.start()
+    made = []
+    for out in toxicity._features(iter([batch])):
+        made += [(out.num_rows, out)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert max(n for n, _ in made) <= ROWS and sum(n for n, _ in made) == len(texts)
+    words = [sorted(own) for _, out in made for own in out.column(3).to_pylist()]
+    assert words == [sorted(set(toxicity.tokens_of(text))) for text in texts]
+    assert [t for _, out in made for t in out.column(2).to_pylist()] == batch.column(1).to_pylist()
+
+
+def test_slices_keep_rows_and_their_order():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(a, b))}) for a, b in ((0, 0), (0, 7), (7, 8), (8, 20))]
+    sliced = list(in_slices(iter(batches), 5))
+    assert [b.num_rows for b in sliced] == [5, 2, 1, 5, 5, 2]
+    assert [n for b in sliced for n in b.column(0).to_pylist()] == list(range(20))

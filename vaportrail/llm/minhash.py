@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaportrail.llm.links import components
-from vaportrail.llm.words import WordHashes, as_long, ascii_words, mix
+from vaportrail.llm.words import WordHashes, as_long, ascii_words, in_slices, mix
 from vaportrail.session import new_stage_path, stage
 
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with a probability of 3e-6
@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         names = ["id", "n", "set_hi", "set_lo", "signature", "bands"]
-        for batch in batches:
+        for batch in in_slices(batches):
             n, hi, lo, signatures, bands = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py() or "", hashes, words)
@@ -202,7 +202,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, s = WordHashes(), None, None
-        for batch in batches:
+        for batch in in_slices(batches):
             linked = []
             for b, text_a, text_b in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 if last != (b.as_py(), text_b):

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaportrail.llm.words import in_slices
 from vaportrail.session import new_stage_path, stage
 
 
@@ -62,7 +63,7 @@ def _scan_blobs(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
         by_key = {r.key: r for r in rules}
         names = ["blob", "rules", "findings"]
         kind = pa.struct([("start", pa.int64()), ("rule", pa.string()), ("stop", pa.int64())])
-        for batch in batches:
+        for batch in in_slices(batches):
             findings = []
             for text, todo in zip(batch.column(1), batch.column(2), strict=True):
                 text = text.as_py() or ""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaportrail.llm.words import mix
+from vaportrail.llm.words import in_slices, mix
 from vaportrail.session import stage, unstage
 
 SAMPLE = 25_000  # labelled rows of each class, at most about so many, that the model is fitted on
@@ -164,7 +164,7 @@ def _fold(sketch: int) -> int:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sketch, fold, toxic, words): distinct words, and a MinHash by which near copies are told."""
-    for batch in batches:
+    for batch in in_slices(batches):
         sketches, words = [], []
         for text in batch.column(0):
             tokens = tokens_of(text.as_py())
@@ -339,7 +339,7 @@ def _chance(model: Model, parts: list[Model], texts: DataFrame, ids: DataFrame)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_fold = [_Scores(part, _Scores.LIMIT // FOLDS) for part in parts]
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
                 tokens = tokens_of(text.as_py())
@@ -450,7 +450,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", prefix: s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(model)
         constant, slope, tone_slope = model.weights
-        for batch in batches:
+        for batch in in_slices(batches):
             values, spans = [], []
             for text in batch.column(at):
                 tokens = tokens_of(text.as_py())

@@ -1,5 +1,7 @@
 """Words and hashes shared by the text operators."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 # a word is a run of anything but these ASCII blanks
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS = 250  # of a batch that are made into Python objects at a time
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
@@ -51,5 +54,12 @@ def texts(column: pa.Array):
         yield value.as_py() or ""
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``: a worker keeps the room it once took for what it makes of a batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def as_long(unsigned: np.ndarray) -> np.ndarray:
     return unsigned.view(np.int64)
